@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quilt.llm import bpe
+from quilt.llm import bpe, quality_model, warc
 from quilt.llm.common import table
 
 
@@ -23,5 +24,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {"op10_bpe": op10_bpe}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    return warc.read(warc.write(table(spark, sf_dir, "pages"), folder), folder).drop("url")
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+QUERIES = {"op4_quality_model": op4_quality_model, "op7_warc": op7_warc, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {}
