@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilt.llm import bpe, quality_model, warc
+from quilt.llm import bpe, html_text, quality_model, warc
 from quilt.llm.common import table
 
 
@@ -34,5 +34,9 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {"op4_quality_model": op4_quality_model, "op7_warc": op7_warc, "op10_bpe": op10_bpe}
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op4_quality_model": op4_quality_model, "op7_warc": op7_warc, "op9_html_text": op9_html_text, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {}
