@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilt.llm import bpe, html_text, quality_model, warc
+from quilt.llm import bpe, html_text, mixing, quality_model, sharding, warc
 from quilt.llm.common import table
 
 
@@ -38,5 +38,13 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op4_quality_model": op4_quality_model, "op7_warc": op7_warc, "op9_html_text": op9_html_text, "op10_bpe": op10_bpe}
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), n_shards=16)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).drop("th")
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op6_mixing": op6_mixing, "op4_quality_model": op4_quality_model, "op7_warc": op7_warc, "op9_html_text": op9_html_text, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {}
