@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilt.llm import bpe, html_text, mixing, quality_model, sharding, warc
+from quilt.llm import bpe, html_text, mixing, quality_model, quality_rules, sharding, warc
 from quilt.llm.common import table
 
 
@@ -46,5 +46,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).drop("th")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op6_mixing": op6_mixing, "op4_quality_model": op4_quality_model, "op7_warc": op7_warc, "op9_html_text": op9_html_text, "op10_bpe": op10_bpe}
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op4_quality_model": op4_quality_model, "op7_warc": op7_warc, "op9_html_text": op9_html_text, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {}
