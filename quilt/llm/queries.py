@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilt.llm import bpe, html_text, mixing, ngram_join, quality_model, quality_rules, sharding, warc
+from quilt.llm import bpe, html_text, mixing, ngram_join, quality_model, quality_rules, sharding, suffix_dedup, warc
 from quilt.llm.common import table
 
 
@@ -55,5 +55,9 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_ngram_join": op3_ngram_join, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op4_quality_model": op4_quality_model, "op7_warc": op7_warc, "op9_html_text": op9_html_text, "op10_bpe": op10_bpe}
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op3_ngram_join": op3_ngram_join, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op4_quality_model": op4_quality_model, "op7_warc": op7_warc, "op8_suffix_dedup": op8_suffix_dedup, "op9_html_text": op9_html_text, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {}
