@@ -69,7 +69,7 @@ _tables: dict[str, np.ndarray] = {}
 
 def _power_table(kind: str, n: int) -> np.ndarray:
     if kind not in _tables or len(_tables[kind]) < n:
-        _tables[kind] = _powers(_BASE if kind == "up" else _BASE_INVERSE, max(n, 1 << 20))
+        _tables[kind] = _powers(_BASE if kind == "up" else _BASE_INVERSE, max(n, 1 << 19))
     return _tables[kind][:n]
 
 
@@ -96,10 +96,18 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word, from one prefix sum over all bytes."""
-    if not len(start):
-        return np.zeros(0, "u8")
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True, segment: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of each word, from a prefix sum over the bytes of each segment."""
+    out = np.empty(len(start), "u8")
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + segment)))
+        out[i:j] = _hash_segment(raw[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i], lower)
+        i = j
+    return out
+
+
+def _hash_segment(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
     data = (_LOWER[raw] if lower else raw).astype("u8") + np.uint64(1)
     data = mix64(data) * _power_table("up", len(raw))
     sums = np.zeros(len(raw) + 1, "u8")
