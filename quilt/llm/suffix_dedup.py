@@ -77,7 +77,7 @@ def spans_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 ENTRY = np.dtype([("key", "u8"), ("block", "u8"), ("doc", "i8"), ("at", "u4"), ("n", "u4")])
 
 
-def entries(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int, segment: int = 1 << 19) -> np.ndarray:
+def entries(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int, segment: int = 1 << 18) -> np.ndarray:
     """The blocks of all texts: fingerprints, id, first window's start and number of windows."""
     out = []
     total = len(raw)
@@ -212,12 +212,33 @@ def _found(kind: int, e: np.ndarray) -> pa.RecordBatch:
 REPEAT, OPEN = 0, 1
 
 
+def pack(e: np.ndarray) -> bytes:
+    """Entries column by column, ids and starts in the fewest bytes that hold them."""
+    base = int(e["doc"].min())
+    doc, at = (e["doc"] - base).astype("u8"), e["at"]
+    kinds = [next(k for k in ("u1", "u2", "u4", "u8") if int(x.max()) <= np.iinfo(k).max) for x in (doc, at, e["n"])]
+    head = np.array([len(e), base], "i8").tobytes() + bytes(int(k[1]) for k in kinds)
+    return head + e["key"].tobytes() + e["block"].tobytes() + b"".join(x.astype(k).tobytes() for x, k in zip((doc, at, e["n"]), kinds, strict=True))
+
+
+def unpack(blob) -> np.ndarray:
+    n, base = np.frombuffer(blob, "i8", 2)
+    kinds = [f"u{k}" for k in np.frombuffer(blob, "u1", 3, 16)]
+    e = np.empty(n, ENTRY)
+    at = 19
+    for name, kind in zip(("key", "block", "doc", "at", "n"), ("u8", "u8", *kinds), strict=True):
+        e[name] = np.frombuffer(blob, kind, n, at)
+        at += int(n) * int(kind[1])
+    e["doc"] += base
+    return e
+
+
 def _send(e: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     """A sorted array, cut into buckets by the top of its key."""
     cuts = np.searchsorted(e["key"], np.array([(b << 64) // buckets for b in range(buckets)], "u8"))
     for b, (x, y) in enumerate(zip(cuts, [*cuts[1:], len(e)], strict=True)):
         if y > x:
-            yield b, e[x:y].tobytes()
+            yield b, pack(e[x:y])
 
 
 def _own(windows_too: bool):
@@ -237,12 +258,12 @@ def _own(windows_too: bool):
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if bucket < 0:
-                    yield _found(REPEAT, np.frombuffer(blob.as_buffer(), ENTRY))
+                    yield _found(REPEAT, unpack(blob.as_buffer()))
                     continue
                 if bucket != now:
                     yield from close(family)
                     now, family = bucket, Family()
-                for found in family.add(np.frombuffer(blob.as_buffer(), ENTRY)):
+                for found in family.add(unpack(blob.as_buffer())):
                     if len(found):
                         yield _found(REPEAT, found)
         yield from close(family)
@@ -258,7 +279,7 @@ def _emit(e: np.ndarray, buckets: int) -> pa.RecordBatch:
     kept, again = first_of_each(order(e))
     out = list(_send(kept, buckets))
     if len(again):
-        out.append((-1, again.tobytes()))
+        out.append((-1, pack(again)))
     return _batch(out)
 
 
