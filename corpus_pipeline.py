@@ -1,18 +1,62 @@
-"""A training-corpus pipeline over ``documents``; each stage is written as Parquet and reread by the next."""
+"""A training-corpus pipeline over ``documents``: five stages, each written and reread before the next.
+
+Rows keep the columns of ``documents`` up to the last stage. Quality rules reject rows; of each group of near-duplicates the row with
+the smallest id stays; long passages that stand earlier in the corpus are cut out of the texts (and n_chars follows); small sources
+are repeated as the mixture's weights ask, every document at least once; the last stage encodes the texts.
+
+A null id takes part in the quality rules and in mixing, and is never matched with others; repeated rows of one id count as near-duplicates;
+an empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quilt.llm import bpe, mixing, ngram_join, quality_rules, queries, suffix_dedup
+from quilt.llm.common import materialise, without
+
+KEY, TEXT = "doc_id", "text"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the rows that the quality rules reject; the verdict is on id and text together."""
+    judged = quality_rules.judge(docs.withColumn("_row", F.struct(F.col(KEY).alias("id"), F.xxhash64(TEXT).alias("h"))), key="_row")
+    rejected = judged.where("not kept").select("_row.id", "_row.h").distinct()
+    marked = docs.withColumn("_h", F.xxhash64(TEXT))
+    return without(marked, rejected, {KEY: "id", "_h": "h"}).drop("_h")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the smallest id stays, once."""
+    members, _ = ngram_join.join(docs, KEY, TEXT)
+    losers = members.where("id <> component_id").select("id").distinct()
+    left = without(docs, losers, {KEY: "id"})
+    again = materialise(docs.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1").select(F.col(KEY).alias("id")))
+    if again.isEmpty():
+        return left
+    once = left.join(again, F.col(KEY) == F.col("id"), "left_semi").dropDuplicates([KEY])
+    return without(left, again, {KEY: "id"}).unionByName(once)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out passages of 100 bytes and more that start earlier in the corpus."""
+    cut = suffix_dedup.strip(docs, KEY, TEXT)
+    return cut.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(TEXT).cast("long"))) if "n_chars" in docs.columns else cut
+
 
-from quilt.llm import bpe, queries
-from quilt.llm.common import materialise
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat small sources towards the target entropy, no source more than twice as often as the largest."""
+    return mixing.realise(docs, KEY, TEXT, target_entropy=0.99, repetition=2.0, floor_one=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, queries.vocabulary())
+    """Token counts and digests of the encoded and decoded texts."""
+    return bpe.digests(docs, queries.vocabulary(), KEY, TEXT)
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("quality_rules", quality), ("ngram_join", near_duplicates), ("suffix_dedup", repeats), ("mixing", mix), ("bpe", encode)]
+#: No SQL for quantile estimates, hash-ordered permutations and byte-pair merges; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

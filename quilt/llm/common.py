@@ -29,6 +29,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def without(rows: DataFrame, gone: DataFrame, on: dict[str, str], broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``rows`` that have no match in ``gone``; nulls match nulls. on: column of rows -> column of gone.
+
+    What goes is broadcast only if counted to be few, so that rows with long texts stay where they are; else both sides are shuffled.
+    """
+    gone = materialise(gone.select(*[F.col(b).alias(f"_gone_{i}") for i, b in enumerate(on.values())]))
+    match = F.lit(True)
+    for i, a in enumerate(on):
+        match = match & F.col(a).eqNullSafe(F.col(f"_gone_{i}"))
+    return rows.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, match, "left_anti")
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column without copying; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
