@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 
 import numpy as np
@@ -29,6 +30,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows from the driver, made of one literal, so that no Python worker takes part."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    kind = ", ".join(f"{n}: {c.strip().split(' ')[1]}" for n, c in zip(names, schema.split(","), strict=True))
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{kind}>>")).alias("x")).select("x.*")
+
+
 def without(rows: DataFrame, gone: DataFrame, on: dict[str, str], broadcast_rows: int = 1_000_000) -> DataFrame:
     """``rows`` that have no match in ``gone``; nulls match nulls. on: column of rows -> column of gone.
 

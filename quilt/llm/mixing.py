@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quilt.llm.common import WORD_SPACE, materialise
+from quilt.llm.common import WORD_SPACE, materialise, small_table
 
 _SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 
@@ -97,7 +97,7 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     quota = [(r.src, x, int(min(x * (budget or total), (repetition or math.inf) * t + 0.5)), r.t, max(1, -(-r.n // block_rows))) for r, x, t in zip(found, w, tokens, strict=True)]
     if floor_one:
         quota = [(s, x, max(q, t), t, b) for s, x, q, t, b in quota]
-    quota = spark.createDataFrame(quota, "src string, weight double, quota long, t long, blocks long")
+    quota = small_table(spark, quota, "src string, weight double, quota long, t long, blocks long")
     small = len(found) <= 10_000
     rows = rows.join(F.broadcast(quota) if small else quota, "src")
     rows = rows.withColumn("epochs", F.when(F.col("t") > 0, F.expr("quota div t")).otherwise(F.lit(1).cast("long"))).withColumn("rest", F.when(F.col("t") > 0, F.expr("quota % t")).otherwise(F.lit(0).cast("long")))

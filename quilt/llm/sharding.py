@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quilt.llm.common import materialise
+from quilt.llm.common import materialise, small_table
 
 _CODE_BITS, _TIE_BITS = 20, 32
 
@@ -35,7 +35,7 @@ def _codes(low_id: int, high_id: int) -> dict[str, Column]:
 def _split_keys(units: DataFrame, spark, chosen: list[tuple[int, int, float]], dims: list[str], bin_bits: int = 13) -> dict[int, int]:
     """node -> key at or above which a unit goes right. chosen: (node, dimension, weight wanted on the left)."""
     total_bits = _CODE_BITS + _TIE_BITS
-    want = spark.createDataFrame([(n, float(w)) for n, _, w in chosen], "node int, want double")
+    want = small_table(spark, [(n, float(w)) for n, _, w in chosen], "node int, want double")
     which = {n: d for n, d, _ in chosen}
     pick = F.create_map(*[x for n, d in which.items() for x in (F.lit(n), F.lit(d))])[F.col("node")]
     key = F.coalesce(*[F.when(pick == i, F.col(f"k_{d}")) for i, d in enumerate(dims)])
@@ -44,7 +44,7 @@ def _split_keys(units: DataFrame, spark, chosen: list[tuple[int, int, float]], d
     while done < total_bits:
         step = min(bin_bits, total_bits - done)
         shift = total_bits - done - step
-        rows = spark.createDataFrame([(n, p, b) for n, (p, b) in found.items()], "node int, prefix long, below double")
+        rows = small_table(spark, [(n, p, b) for n, (p, b) in found.items()], "node int, prefix long, below double")
         inside = units.join(F.broadcast(rows), "node").withColumn("key", key).where(F.expr(f"shiftright(key, {total_bits - done}) = prefix"))
         bins = inside.groupBy("node", "below", F.expr(f"shiftright(key, {shift})").alias("bin")).agg(F.sum("w").alias("w"))
         run = Window.partitionBy("node").orderBy("bin")
@@ -111,11 +111,11 @@ def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None
             else:
                 new[n] = (a, b)
                 rules.append((n, -1, 0, n, n))
-        level = spark.createDataFrame(rules, "node int, dim int, cut long, lo int, hi int")
+        level = small_table(spark, rules, "node int, dim int, cut long, lo int, hi int")
         key_of = F.coalesce(*[F.when(F.col("dim") == i, F.col(f"k_{d}")) for i, d in enumerate(dims)], F.lit(-1))
         placed = placed.join(F.broadcast(level), "node").withColumn("node", F.when(key_of < F.col("cut"), F.col("lo")).otherwise(F.col("hi"))).drop("dim", "cut", "lo", "hi")
         ranges = new
-    leaves = spark.createDataFrame([(n, a) for n, (a, _) in ranges.items()], "node int, shard int")
+    leaves = small_table(spark, [(n, a) for n, (a, _) in ranges.items()], "node int, shard int")
     unit_shard = placed.join(F.broadcast(leaves), "node").select(*unit, "shard")
     out = rows.join(unit_shard, unit).withColumn("block", F.expr(f"cast(pmod(xxhash64(id, crc, size, source, lang), {max(1, -(-n_rows // slot_rows))}) as int)"))
     out = materialise(out.select("id", "size", "crc", "tkey", "source", "lang", "shard", "block"))
