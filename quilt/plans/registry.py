@@ -1,10 +1,500 @@
-"""All registered queries of the graph engine with their SQL."""
+"""All registered queries of the graph engine, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import json
+import uuid
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quilt.functions import scalars, signature
+from quilt.functions.storage import materialise
+from quilt.operators import partitioners as P
+from quilt.operators import trie
+from quilt.operators.traversal import Graph, run
+from quilt.plans import workload as W
+from quilt.sources import adjacency, relational
+from quilt.sources.relational import CODES, OFFSETS, PRIME
+
+K = 4
+#: Labels of the small graph over which the sequential partitioners are compared with recursive SQL.
+SMALL = ("Region", "Nation", "Supplier", "Customer")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# the graph in both languages
+
+_KEYS = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Customer": ("customer", "c_custkey"), "Order": ("orders", "o_orderkey")}
+_LINKS = [("Nation", "n_nationkey", "Region", "n_regionkey", "nation"), ("Supplier", "s_suppkey", "Nation", "s_nationkey", "supplier"), ("Customer", "c_custkey", "Nation", "c_nationkey", "customer"), ("Order", "o_orderkey", "Customer", "o_custkey", "orders"), ("Order", "l_orderkey", "Part", "l_partkey", "lineitem"), ("Part", "l_partkey", "Supplier", "l_suppkey", "lineitem")]
+
+
+def graph_sql(labels: tuple[str, ...] = tuple(OFFSETS)) -> str:
+    v = " UNION ALL ".join(f"SELECT CAST({c} + {OFFSETS[x]} AS INTEGER) AS id, '{x}' AS label FROM {t}" for x, (t, c) in _KEYS.items() if x in labels)
+    e = " UNION ".join(f"SELECT CAST({ka} + {OFFSETS[a]} AS INTEGER) AS src, CAST({kb} + {OFFSETS[b]} AS INTEGER) AS dst, '{a}' AS src_label, '{b}' AS dst_label FROM {t}" for a, ka, b, kb, t in _LINKS if a in labels and b in labels)
+    return f"""WITH RECURSIVE v0 AS ({v}), v AS (SELECT id, label, CAST((row_number() OVER (ORDER BY id) - 1) % {K} AS INTEGER) AS part FROM v0),
+e AS ({e}), nb AS (SELECT x.v, x.u, v.label AS u_label, v.part AS u_part FROM (SELECT src AS v, dst AS u FROM e UNION SELECT dst, src FROM e) x JOIN v ON v.id = x.u)"""
+
+
+def graph(spark: SparkSession, sf_dir: str, labels: tuple[str, ...] = tuple(OFFSETS)) -> Graph:
+    v = P.round_robin(relational.sequence(relational.vertices(spark, sf_dir, labels), "id"), K)
+    return Graph(v.select("id", "label", "part"), relational.edges(spark, sf_dir, labels))
+
+
+G = graph_sql()
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation -> Customer -> Order over a round-robin partitioning: paths and crossings of each hop."""
+    g = graph(spark, sf_dir)
+    return run(g.get_all("Nation"), lambda t: t.neighbours("Customer"), lambda t: t.neighbours("Order"))[1]
+
+
+# sources and the graph view
+
+
+@query(f"{G} SELECT label, count(*) AS n FROM v GROUP BY label")
+def vertices_by_label(spark, d):
+    return relational.vertices(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"{G} SELECT src_label, dst_label, count(*) AS n, CAST(sum(src) AS BIGINT) AS s, CAST(sum(dst) AS BIGINT) AS d FROM e GROUP BY ALL")
+def edge_view(spark, d):
+    return relational.edges(spark, d).groupBy("src_label", "dst_label").agg(F.count("*").alias("n"), F.sum("src").alias("s"), F.sum("dst").alias("d"))
+
+
+@query("SELECT l_orderkey AS src, l_partkey AS dst, count(*) AS n FROM lineitem GROUP BY ALL")
+def edges_dedup(spark, d):
+    return spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count("*").alias("n"))
+
+
+@query(f"{G} SELECT v.id, v.label, (SELECT count(*) FROM e WHERE e.dst = v.id) AS n_in, (SELECT count(*) FROM e WHERE e.src = v.id) AS n_out, (SELECT coalesce(CAST(sum(src) AS BIGINT), 0) FROM e WHERE e.dst = v.id) AS s_in, (SELECT coalesce(CAST(sum(dst) AS BIGINT), 0) FROM e WHERE e.src = v.id) AS s_out FROM v")
+def neighbourhoods(spark, d):
+    n = adjacency.neighbourhoods(relational.vertices(spark, d), relational.edges(spark, d))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return n.select("id", "label", F.size("in").cast("long").alias("n_in"), F.size("out").cast("long").alias("n_out"), total("in").alias("s_in"), total("out").alias("s_out"))
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT 'user' AS kind FROM events UNION ALL SELECT 'next' FROM (SELECT lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS x FROM events) WHERE x IS NOT NULL) GROUP BY kind")
+def event_graph_edges(spark, d):
+    _, e = relational.event_graph(spark, d)
+    return e.groupBy(F.when(F.col("dst") < 100_000_000, "user").otherwise("next").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(graph_sql(("Region", "Nation")) + " SELECT v.id, v.label, coalesce((SELECT string_agg(CAST(e.src AS VARCHAR), ',' ORDER BY e.src) FROM e WHERE e.dst = v.id), '') AS ins, coalesce((SELECT string_agg(CAST(e.dst AS VARCHAR), ',' ORDER BY e.dst) FROM e WHERE e.src = v.id), '') AS outs FROM v")
+def json_neighbourhoods(spark, d):
+    """The smallest part of the graph, written as a JSON adjacency list of the music data set and read back; labels travel as ids' ranges."""
+    labels = ("Region", "Nation")
+    stand_in = {"Region": "Area", "Nation": "Country"}
+    n = adjacency.neighbourhoods(relational.vertices(spark, d, labels), relational.edges(spark, d, labels)).collect()
+    label = {r.id: stand_in[r.label] for r in n}
+    side = lambda ids: [{"rel": label[i], "id": i} for i in ids]
+    text = json.dumps([{"id": r.id, "label": label[r.id], "in": side(r["in"]), "out": side(r["out"])} for r in n])
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    import tempfile
+
+    path = f"{conf or tempfile.mkdtemp(prefix='graph-')}/json-{uuid.uuid4().hex}"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    back = adjacency.read_neighbourhoods(spark, path, "music")
+    names = F.create_map(*[F.lit(x) for k, v in stand_in.items() for x in (v, k)])
+    ids = lambda c: F.array_join(F.transform(F.array_sort(F.transform(c, lambda x: x["id"])), lambda x: x.cast("string")), ",")
+    return back.select("id", names[F.col("label")].alias("label"), ids("in").alias("ins"), ids("out").alias("outs"))
+
+
+@query(f"{graph_sql()}, walk AS (SELECT id, 0 AS level FROM v WHERE label = 'Region' UNION SELECT nb.u, level + 1 FROM walk JOIN nb ON nb.v = walk.id WHERE level < 3) SELECT level, count(*) AS n FROM (SELECT id, CAST(min(level) AS INTEGER) AS level FROM walk GROUP BY id) GROUP BY level")
+def bfs_levels(spark, d):
+    v, e = relational.vertices(spark, d), relational.edges(spark, d)
+    return relational.bfs_order(v, e, v.where("label = 'Region'").select("id"), 8).where("level < 4").groupBy("level").agg(F.count("*").alias("n"))
+
+
+# partitions
+
+
+@query(f"{G} SELECT id, label, part FROM v")
+def round_robin_assign(spark, d):
+    return graph(spark, d).vertices
+
+
+@query(f"{G} SELECT part, count(*) AS size FROM v GROUP BY part")
+def partition_sizes(spark, d):
+    return graph(spark, d).partitions()
+
+
+@query(f"{G} SELECT a.part, e.src_label, e.dst_label, count(*) AS n FROM e JOIN v a ON a.id = e.src GROUP BY ALL")
+def label_pairs_per_partition(spark, d):
+    g = graph(spark, d)
+    return P.label_pairs(g.vertices, g.edges)
+
+
+# traversal
+
+
+@query(f"{G} SELECT id AS v0 FROM v WHERE label = 'Customer' AND id % 7 = 3 AND part = 1")
+def get_where(spark, d):
+    return graph(spark, d).get_where((F.col("label") == "Customer") & (F.col("id") % 7 == 3) & (F.col("part") == 1)).paths()
+
+
+@query(f"{G} SELECT v.id AS v0, nb.u AS v1, CAST(v.part <> nb.u_part AS INTEGER) AS ipt_1 FROM v JOIN nb ON nb.v = v.id WHERE v.label = 'Nation' AND nb.u_label = 'Customer'")
+def traverse_all_neighbours(spark, d):
+    return graph(spark, d).get_all("Nation").neighbours("Customer").rows.select("v0", "v1", "ipt_1")
+
+
+@query(f"{G} SELECT v.id AS v0, nb.u AS v1, CAST(v.part <> nb.u_part AS INTEGER) AS ipt_1 FROM v JOIN nb ON nb.v = v.id WHERE v.label = 'Customer' AND nb.u_part = 1 AND nb.u % 5 = 0")
+def traverse_where(spark, d):
+    return graph(spark, d).get_all("Customer").neighbours_where((F.col("u_part") == 1) & (F.col("u") % 5 == 0)).rows.select("v0", "v1", "ipt_1")
+
+
+@query(f"{G} SELECT v.id AS v0, e.src AS v1, CAST(v.part <> w.part AS INTEGER) AS ipt_1 FROM v JOIN e ON e.dst = v.id JOIN v w ON w.id = e.src WHERE v.label = 'Supplier' AND e.src % 3 = 1 UNION ALL SELECT v.id, e.dst, CAST(v.part <> w.part AS INTEGER) FROM v JOIN e ON e.src = v.id JOIN v w ON w.id = e.dst WHERE v.label = 'Supplier' AND e.src % 3 = 1")
+def traverse_edges_where(spark, d):
+    return graph(spark, d).get_all("Supplier").edges_where(F.col("src") % 3 == 1).rows.select("v0", "v1", "ipt_1")
+
+
+def _optional_sql(match: str) -> str:
+    return f"{G} SELECT v.id AS v0, CASE WHEN EXISTS (SELECT 1 FROM e WHERE {match}) THEN 100 + v.id % 25 END AS v1, CAST(v.part <> w.part AS INTEGER) AS ipt_1 FROM v JOIN v w ON w.id = 100 + v.id % 25 WHERE v.label IN ('Supplier', 'Region')"
+
+
+def _optional(spark, d, kind):
+    wanted = F.lit(100) + F.col("at") % 25
+    return graph(spark, d).get_where(F.col("label").isin("Supplier", "Region")).optional(wanted, kind).rows.select("v0", "v1", "ipt_1")
+
+
+@query(_optional_sql("(e.src = v.id AND e.dst = w.id) OR (e.dst = v.id AND e.src = w.id)"))
+def traverse_edge(spark, d):
+    return _optional(spark, d, "edge")
+
+
+@query(_optional_sql("e.src = w.id AND e.dst = v.id"))
+def traverse_in_neighbour(spark, d):
+    return _optional(spark, d, "in")
+
+
+@query(_optional_sql("e.src = v.id AND e.dst = w.id"))
+def traverse_out_neighbour(spark, d):
+    return _optional(spark, d, "out")
+
+
+@query(f"{G}, t AS (SELECT v.id AS v0, nb.u AS v1 FROM v JOIN nb ON nb.v = v.id WHERE v.label = 'Customer' AND nb.u_label = 'Order') SELECT v0, v1 FROM t WHERE v0 IN (SELECT v0 FROM t GROUP BY v0 HAVING count(*) > 12)")
+def where_guard(spark, d):
+    return graph(spark, d).get_all("Customer").neighbours("Order").where_lists(12).paths()
+
+
+@query(f"{G} SELECT id AS v0 FROM v WHERE label = 'Order' AND (CAST(id AS BIGINT) * 2654435761) % 100 > 89")
+def sampled_frontier(spark, d):
+    return graph(spark, d).get_all("Order").sample().paths()
+
+
+@query(f"{G} SELECT v.id AS v0, nb.u AS v1 FROM v JOIN nb ON nb.v = v.id WHERE v.label = 'Supplier' AND nb.u_label = 'Part' ORDER BY 1, 2 LIMIT 100")
+def take_frontier(spark, d):
+    return graph(spark, d).get_all("Supplier").neighbours("Part").take(100).paths()
+
+
+def _hops_sql(start: str, steps: list[str | int | None]) -> str:
+    """Paths of each hop as a CTE; a number takes, None samples."""
+    ctes, hop = [f"t0 AS (SELECT id AS v0, id AS cur, part AS p, 0 AS ipt FROM v WHERE label = '{start}')"], 0
+    name, outs = "t0", ["SELECT 0 AS hop, count(*) AS n_paths, CAST(0 AS BIGINT) AS ipt FROM t0"]
+    for i, s in enumerate(steps):
+        cols = ", ".join(f"v{j}" for j in range(hop + 1))
+        if isinstance(s, str):
+            ctes.append(f"s{i} AS (SELECT {', '.join(f't.v{j}' for j in range(hop + 1))}, nb.u AS v{hop + 1}, nb.u AS cur, nb.u_part AS p, CAST(t.p <> nb.u_part AS INTEGER) AS ipt FROM {name} t JOIN nb ON nb.v = t.cur WHERE nb.u_label = '{s}')")
+            hop += 1
+            outs.append(f"SELECT {hop}, count(*), CAST(coalesce(sum(ipt), 0) AS BIGINT) FROM s{i}")
+        elif s is None:
+            ctes.append(f"s{i} AS (SELECT * FROM {name} WHERE (CAST(cur AS BIGINT) * 2654435761) % 100 > 89)")
+        else:
+            ctes.append(f"s{i} AS (SELECT * FROM {name} ORDER BY {cols} LIMIT {s})")
+        name = f"s{i}"
+    return f"{G}, {', '.join(ctes)} {' UNION ALL '.join(outs)}"
+
+
+def _workload(q):
+    def f(spark, d):
+        start, steps = W.QUERIES["tables"][q]
+        return run(start(graph(spark, d)), *steps)[1]
+
+    f.__name__ = f"workload_{q}"
+    return f
+
+
+query(_hops_sql("Region", ["Nation", "Customer", None, "Order"]))(_workload("q1"))
+query(_hops_sql("Customer", [100, "Order", "Part", 100, "Order", 100, "Customer"]))(_workload("q2"))
+query(_hops_sql("Nation", ["Supplier", None, "Part"]))(_workload("q3"))
+
+
+@query(_hops_sql("Nation", ["Customer", "Order"]))
+def ipt_per_hop(spark, d):
+    return flagship(spark, d)
+
+
+# factors and signatures
+
+_CODE = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CODES.items()) + " END"
+_SRC, _DST = _CODE.format("src_label"), _CODE.format("dst_label")
+
+
+def _coded(e: DataFrame) -> DataFrame:
+    return e.withColumn("sc", scalars.label_code(F.col("src_label"), CODES)).withColumn("dc", scalars.label_code(F.col("dst_label"), CODES))
+
+
+@query(f"{G} SELECT src, dst, CAST(abs({_SRC} - {_DST}) % {PRIME} + 1 AS INTEGER) AS factor FROM e")
+def edge_factors(spark, d):
+    return _coded(relational.edges(spark, d)).select("src", "dst", scalars.edge_factor(F.col("sc"), F.col("dc"), PRIME).alias("factor"))
+
+
+@query(f"{G} SELECT v.id, CAST(({_CODE.format('label')} + (SELECT count(*) FROM nb WHERE nb.v = v.id) + 1) % {PRIME} + 1 AS INTEGER) AS factor FROM v")
+def degree_factors(spark, d):
+    g = graph(spark, d)
+    deg = g.neighbours().groupBy("v").agg(F.count("*").cast("int").alias("deg"))
+    code = scalars.label_code(F.col("label"), CODES)
+    return g.vertices.join(deg, F.col("id") == F.col("v"), "left").select("id", scalars.degree_factor(code, F.coalesce("deg", F.lit(0)), PRIME).alias("factor"))
+
+
+_SIG = f"list_sort([({_DST} + 1) % {PRIME} + 1, ({_SRC} + 1) % {PRIME} + 1, abs({_SRC} - {_DST}) % {PRIME} + 1])"
+
+
+@query(f"{G} SELECT src, dst, array_to_string({_SIG}, ',') AS sig, CAST(list_product({_SIG}) AS BIGINT) AS value FROM e")
+def edge_signature(spark, d):
+    zero = F.lit(0)
+    s = _coded(relational.edges(spark, d)).select("src", "dst", signature.for_edge_col(F.col("sc"), F.col("dc"), zero, zero, PRIME).alias("s"))
+    return s.select("src", "dst", signature.show_col(F.col("s")).alias("sig"), signature.value_col(F.col("s")).cast("long").alias("value"))
+
+
+@query(f"{graph_sql(SMALL)} SELECT dst, array_to_string(list_sort(flatten(list({_SIG}))), ',') AS sig FROM e WHERE src_label = 'Supplier' GROUP BY dst")
+def signature_combine(spark, d):
+    zero = F.lit(0)
+    e = _coded(relational.edges(spark, d, SMALL)).where("src_label = 'Supplier'").withColumn("s", signature.for_edge_col(F.col("sc"), F.col("dc"), zero, zero, PRIME))
+    return e.groupBy("dst").agg(signature.show_col(signature.merge_all_col(F.col("s"))).alias("sig"))
+
+
+# the trie: patterns are paths, so their connected edge sets are the ranges of each path
+
+_ROWS = W.pattern_rows(W.PATTERNS["tables"], CODES)
+_PE = "pe(query, e, src, src_code, dst, dst_code) AS (VALUES " + ", ".join(map(str, _ROWS)) + ")"
+_RANGES = f"""WITH {_PE}, r AS (SELECT a.query, a.e AS i, b.e AS j FROM pe a JOIN pe b ON a.query = b.query AND a.e <= b.e),
+f AS (SELECT r.query, i, j, abs(src_code - dst_code) % {PRIME} + 1 AS f FROM r JOIN pe ON pe.query = r.query AND pe.e BETWEEN i AND j
+UNION ALL SELECT query, i, j, (code + n) % {PRIME} + 1 FROM (SELECT r.query, i, j, v, code, unnest(range(1, CAST(count(*) AS BIGINT) + 1)) AS n FROM r JOIN (SELECT query, e, src AS v, src_code AS code FROM pe UNION ALL SELECT query, e, dst, dst_code FROM pe) x ON x.query = r.query AND x.e BETWEEN i AND j GROUP BY r.query, i, j, v, code)),
+s AS (SELECT query, i, j, CAST(j - i + 1 AS INTEGER) AS depth, string_agg(CAST(f AS VARCHAR), ',' ORDER BY f) AS sig FROM f GROUP BY query, i, j)"""
+_ADDS = "adds(query, n) AS (VALUES ('q1', 16), ('q2', 2), ('q3', 22))"
+
+
+def _trie(spark):
+    subsets, growth = trie.subgraphs(W.patterns(spark, W.PATTERNS["tables"], CODES), PRIME)
+    adds = W.draw_counts(W.draws(spark, W.fixed_stream(W.MIX, set(W.MIX)), W.DRAWS))
+    return subsets, growth, adds
+
+
+@query(f"{_RANGES} SELECT query, depth, i AS first_edge, sig FROM s")
+def pattern_subgraphs(spark, d):
+    subsets, _, _ = _trie(spark)
+    return subsets.select("query", "depth", F.array_min(F.transform("edges", lambda x: x["e"])).alias("first_edge"), signature.show_col(F.col("sig")).alias("sig"))
+
+
+@query(f"{_RANGES}, {_ADDS} SELECT depth, sig, CAST(sum(n) AS BIGINT) AS support FROM (SELECT DISTINCT query, depth, sig FROM s) JOIN adds USING (query) GROUP BY depth, sig")
+def trie_nodes(spark, d):
+    subsets, _, adds = _trie(spark)
+    return trie.nodes(subsets, adds).select("depth", signature.show_col(F.col("sig")).alias("sig"), "support")
+
+
+@query(f"{_RANGES} SELECT DISTINCT p.depth, p.sig AS parent_sig, c.sig AS child_sig FROM s p JOIN s c ON c.query = p.query AND ((c.i = p.i AND c.j = p.j + 1) OR (c.i = p.i - 1 AND c.j = p.j)) UNION SELECT DISTINCT 0, '', sig FROM s WHERE depth = 1")
+def trie_edges(spark, d):
+    _, growth, adds = _trie(spark)
+    show = lambda c: signature.show_col(F.col(c)).alias(c)
+    return trie.edges(growth, adds).select("depth", show("parent_sig"), show("child_sig")).distinct()
+
+
+_MOTIFS = f"{_RANGES}, {_ADDS}, nodes AS (SELECT depth, sig, CAST(sum(n) AS BIGINT) AS support FROM (SELECT DISTINCT query, depth, sig FROM s) JOIN adds USING (query) GROUP BY depth, sig), links AS (SELECT DISTINCT p.depth, p.sig AS parent, c.sig AS child FROM s p JOIN s c ON c.query = p.query AND ((c.i = p.i AND c.j = p.j + 1) OR (c.i = p.i - 1 AND c.j = p.j)))"
+
+
+def _motif_sql(threshold: float) -> str:
+    return _MOTIFS.replace("WITH ", "WITH RECURSIVE ", 1) + f", keep AS (SELECT depth, sig, support FROM nodes WHERE depth = 1 AND support / 40.0 >= {threshold} UNION SELECT n.depth, n.sig, n.support FROM keep JOIN links l ON l.depth = keep.depth AND l.parent = keep.sig JOIN nodes n ON n.depth = keep.depth + 1 AND n.sig = l.child WHERE n.support / 40.0 >= {threshold})"
+
+
+@query(_motif_sql(0.4) + " SELECT depth, sig, support FROM keep")
+def motifs(spark, d):
+    subsets, growth, adds = _trie(spark)
+    return trie.motifs(trie.nodes(subsets, adds), trie.edges(growth, adds), W.DRAWS, 0.4).select("depth", signature.show_col(F.col("sig")).alias("sig"), "support")
+
+
+@query(graph_sql().replace("WITH RECURSIVE", "WITH RECURSIVE m(sig) AS (" + _motif_sql(0.4) + " SELECT sig FROM keep WHERE depth = 1), ", 1) + f" SELECT src, dst FROM e WHERE array_to_string({_SIG}, ',') IN (SELECT sig FROM m)")
+def motif_edges(spark, d):
+    """Edges that begin a motif: a semi join with the root's children."""
+    subsets, growth, adds = _trie(spark)
+    m = trie.motifs(trie.nodes(subsets, adds), trie.edges(growth, adds), W.DRAWS, 0.4).where("depth = 1").select(F.col("sig").alias("s"))
+    zero = F.lit(0)
+    return _coded(relational.edges(spark, d)).withColumn("s", signature.for_edge_col(F.col("sc"), F.col("dc"), zero, zero, PRIME)).join(m, "s", "left_semi").select("src", "dst")
+
+
+# partitioner scores against a frozen partitioning
+
+_FROZEN = f"{graph_sql(SMALL)}, sizes AS (SELECT part, count(*) AS size FROM v GROUP BY part), n AS (SELECT count(*) AS n FROM v), cnt AS (SELECT v.id, s.part, s.size, count(nb.u) AS c FROM v CROSS JOIN sizes s LEFT JOIN nb ON nb.v = v.id AND nb.u_part = s.part WHERE v.label = 'Supplier' GROUP BY ALL)"
+
+
+def _frozen(spark, d):
+    g = graph(spark, d, SMALL)
+    sizes = g.partitions()
+    n = g.vertices.count()
+    # partitions are k rows
+    grid = g.vertices.where("label = 'Supplier'").select("id").crossJoin(F.broadcast(sizes))
+    near = g.neighbours().groupBy(F.col("v").alias("id"), F.col("u_part").alias("part")).agg(F.count("*").alias("c"))
+    return g, n, grid.join(near, ["id", "part"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+
+
+@query(f"{_FROZEN}, sc AS (SELECT id, part, size, CAST(c * (1 - size // (SELECT n // {K} FROM n)) AS BIGINT) AS score FROM cnt) SELECT id, part, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, size, part DESC) AS r FROM sc) WHERE r = 1")
+def ldg_scores_frozen(spark, d):
+    _, n, grid = _frozen(spark, d)
+    scored = grid.withColumn("score", (F.col("c") * scalars.ldg_weight(F.col("size"), n // K)).cast("long"))
+    return scored.groupBy("id").agg(F.max(F.struct("score", -F.col("size"), "part")).alias("m")).select("id", "m.part", "m.score")
+
+
+@query(f"{_FROZEN}, a AS (SELECT sqrt({K}) * (SELECT count(*) FROM e) / pow(n, 1.5) AS alpha, n FROM n), sc AS (SELECT id, part, size, c - alpha * 0.75 * sqrt(size) AS score FROM cnt, a WHERE size < 1.1 * n / {K}) SELECT id, part, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, size, part DESC) AS r FROM sc) WHERE r = 1")
+def fennel_scores_frozen(spark, d):
+    g, n, grid = _frozen(spark, d)
+    alpha = scalars.fennel_alpha(K, g.edges.count(), n)
+    scored = grid.where(scalars.under_fennel_limit(F.col("size"), n, K)).withColumn("score", scalars.fennel_score(F.col("c"), F.col("size"), alpha))
+    return scored.groupBy("id").agg(F.max(F.struct("score", -F.col("size"), "part")).alias("m")).select("id", "m.part", F.round("m.score", 9).alias("score"))
+
+
+@query(f"{graph_sql(SMALL)}, sizes AS (SELECT part, count(*) + part AS size FROM v GROUP BY part) SELECT e.src, e.dst, CASE WHEN a.size < 410 * 1.1 AND b.size < 410 * 1.1 THEN CASE WHEN b.size < a.size THEN b.part ELSE a.part END WHEN b.size < 410 * 1.1 THEN b.part WHEN a.size < 410 * 1.1 THEN a.part ELSE (SELECT arg_min(part, size) FROM sizes) END AS part FROM e JOIN v x ON x.id = e.src JOIN v y ON y.id = e.dst JOIN sizes a ON a.part = x.part JOIN sizes b ON b.part = y.part")
+def greedy_choice_frozen(spark, d):
+    g = graph(spark, d, SMALL)
+    sizes = g.partitions().withColumn("size", F.col("size") + F.col("part"))
+    least = sizes.agg(F.min_by("part", F.struct("size", "part")).alias("least"))
+    end = lambda c: g.vertices.join(F.broadcast(sizes), "part").select(F.col("id").alias(c), F.col("part").alias(f"{c}_part"), F.col("size").alias(f"{c}_size"))
+    ok = lambda c: scalars.under_greedy_limit(F.col(f"{c}_size"), 410)
+    rows = g.edges.select("src", "dst").join(end("src"), "src").join(end("dst"), "dst").crossJoin(F.broadcast(least))
+    smaller = F.when(F.col("dst_size") < F.col("src_size"), F.col("dst_part")).otherwise(F.col("src_part"))
+    return rows.select("src", "dst", F.when(ok("src") & ok("dst"), smaller).when(ok("dst"), F.col("dst_part")).when(ok("src"), F.col("src_part")).otherwise(F.col("least")).alias("part"))
+
+
+_LABEL_SIZES = f"{G}, sizes AS (SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS part, count(*) AS size FROM v GROUP BY label), m AS (SELECT part AS mp, size AS ms FROM sizes ORDER BY size, part LIMIT 1)"
+
+
+def _label_sizes(spark, d):
+    """Sizes of very unequal partitions: one for each label."""
+    counts = relational.vertices(spark, d).groupBy("label").agg(F.count("*").alias("size"))
+    names = sorted(OFFSETS)
+    return counts.select(F.coalesce(*[F.when(F.col("label") == x, i) for i, x in enumerate(names)]).alias("part"), "size")
+
+
+@query(f"{_LABEL_SIZES} SELECT part, size, CAST(ceil((size // (ms + 1)) * (1 / CASE WHEN part = mp AND size = ms THEN 1.0 ELSE 1.5 END)) AS INTEGER) AS ration FROM sizes, m")
+def rations(spark, d):
+    s = _label_sizes(spark, d)
+    least = s.agg(F.min(F.struct("size", "part")).alias("m")).select(F.col("m.part").alias("mp"), F.col("m.size").alias("ms"))
+    return s.crossJoin(F.broadcast(least)).select("part", "size", scalars.ration(F.col("size"), F.col("part"), F.col("ms"), F.col("mp"), 1.5).alias("ration"))
+
+
+@query(f"{_LABEL_SIZES} SELECT part, round((part + 1) * (1 - size / CAST((SELECT count(*) // 6 FROM v) AS DOUBLE)) * 0.6, 9) AS bid FROM sizes")
+def bids(spark, d):
+    s = _label_sizes(spark, d)
+    n = relational.vertices(spark, d).count()
+    return s.select("part", F.round(scalars.bid(F.col("part") + 1, F.col("size"), n // 6, F.lit(0.6)), 9).alias("bid"))
+
+
+# sequential partitioners
+
+_SMALL_N = f"{graph_sql(SMALL)}, o AS (SELECT id, label, CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS seq FROM v), n AS (SELECT count(*) AS n, (SELECT count(*) FROM e) AS m FROM o), step AS MATERIALIZED (SELECT o.seq, o.id, coalesce((SELECT list(p.seq) FROM nb JOIN o p ON p.id = nb.u WHERE nb.v = o.id), []) AS nbrs, n, m FROM o, n)"
+
+
+def _fold_sql(score: str, allowed: str) -> str:
+    zero = "[" + ", ".join(["0"] * K) + "]"
+    pick = f"list_max([x for x in [{{'s': {score}, 'z': -sizes[q + 1], 'q': q}} for q in range({K})] if {allowed}])"
+    return f"""{_SMALL_N}, fold AS (SELECT 0 AS i, CAST([] AS INTEGER[]) AS parts, CAST({zero} AS BIGINT[]) AS sizes
+UNION ALL SELECT i + 1, list_append(parts, p), [sizes[q + 1] + CASE WHEN q = p THEN 1 ELSE 0 END for q in range({K})] FROM (SELECT i, parts, sizes, CAST({pick}.q AS INTEGER) AS p FROM fold JOIN step ON step.seq = fold.i + 1))
+SELECT o.id, f.parts[o.seq] AS part FROM o, (SELECT parts FROM fold ORDER BY i DESC LIMIT 1) f"""
+
+
+_NEAR = "len([y for y in nbrs if y <= i AND parts[y] = q])"
+
+
+def _ordered_neighbourhoods(spark, d):
+    v = relational.sequence(relational.vertices(spark, d, SMALL), "id")
+    e = relational.edges(spark, d, SMALL)
+    n = adjacency.neighbourhoods(v, e).select("id", F.array_distinct(F.concat("in", "out")).alias("near"))
+    return materialise(v.join(n, "id")), e
+
+
+@query(_fold_sql(f"{_NEAR} * (1 - sizes[q + 1] // (n // {K}))", "true"))
+def ldg_assign(spark, d):
+    rows, _ = _ordered_neighbourhoods(spark, d)
+    return P.assign(rows, P.LDG(K, capacity=rows.count() // K), ["id", "near"], "id int, part int").select("id", "part")
+
+
+@query(_fold_sql(f"{_NEAR} - (sqrt({K}) * m / pow(n, 1.5)) * 0.75 * sqrt(sizes[q + 1])", f"-x.z < 1.1 * n / {K}"))
+def fennel_assign(spark, d):
+    rows, e = _ordered_neighbourhoods(spark, d)
+    return P.assign(rows, P.Fennel(K, n_vertices=rows.count(), n_edges=e.count()), ["id", "near"], "id int, part int").select("id", "part")
+
+
+def _edge_stream(spark, d, labels=tuple(OFFSETS)):
+    return relational.sequence(_coded(relational.edges(spark, d, labels)), "src", "dst").select("seq", "src", "dst", "sc", "dc")
+
+
+def motif_partitioner(spark, k: int, capacity: int, t: int, threshold: float = 0.4, **more) -> P.MotifPartitioner:
+    subsets, growth, adds = _trie(spark)
+    edges = trie.edges(growth, adds)
+    nodes = trie.motifs(trie.nodes(subsets, adds), edges, W.DRAWS, threshold).withColumn("support", F.col("support") / W.DRAWS)
+    return P.MotifPartitioner(k, capacity, P.Trie.of(nodes, edges), PRIME, t=t, **more)
+
+
+_EDGE_OUT = "src int, dst int, part int"
+
+
+@query()
+def greedy_assign(spark, d):
+    """Edges of the small graph, none of which begins a motif, so that all are placed at once."""
+    rows = _edge_stream(spark, d, SMALL)
+    p = P.MotifPartitioner(K, rows.count() // K, P.Trie({}, {}), PRIME)
+    return P.assign(rows, p, ["src", "dst", "sc", "dc"], _EDGE_OUT)
+
+
+@query()
+def motif_partition_assign(spark, d):
+    """All edges through the motif-aware partitioner with a window of 100, what still waits at the end included."""
+    rows = _edge_stream(spark, d)
+    return P.assign(rows, motif_partitioner(spark, K, max(1, rows.count() // K), 100, ration="balanced", end_flush=True), ["src", "dst", "sc", "dc"], _EDGE_OUT)
+
+
+@query()
+def motif_partition_reference(spark, d):
+    """The same with the recorded ration and without a flush, over the small graph: at most 99 edges stay unassigned."""
+    rows = _edge_stream(spark, d, SMALL)
+    return P.assign(rows, motif_partitioner(spark, K, max(1, rows.count() // K), 100, threshold=0.3), ["src", "dst", "sc", "dc"], _EDGE_OUT)
+
+
+# workloads
+
+
+@query("SELECT * FROM (VALUES ('q1', 16), ('q2', 2), ('q3', 22)) t(query, n)")
+def fixed_stream_mix(spark, d):
+    return W.draw_counts(W.draws(spark, W.fixed_stream(W.MIX, set(W.MIX)), W.DRAWS)).select("query", F.col("n").cast("int").alias("n"))
+
+
+@query()
+def periodic_stream_mix(spark, d):
+    return W.draw_counts(W.draws(spark, W.periodic_stream(["q1", "q2", "q3"]), W.DRAWS))
+
+
+@query("SELECT CAST(sum(o_orderkey % 1000) AS BIGINT) AS time_ms, CAST(sum(o_custkey % 7) AS BIGINT) AS ipt FROM orders")
+def result_sum(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return W.result_sum(o.select((F.col("o_orderkey") % 1000).alias("time_ms"), (F.col("o_custkey") % 7).alias("ipt")))
+
+
+@query()
+def experiment_report(spark, d):
+    """The recorded mix over the round-robin partitioning: draws, time and crossings of each query."""
+    g = graph(spark, d)
+    g = Graph(materialise(g.vertices), materialise(g.edges))
+    return W.experiment(g, "tables", W.fixed_stream(W.MIX, set(W.MIX)), W.DRAWS)
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
