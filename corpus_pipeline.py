@@ -14,17 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quilt.llm import bpe, mixing, ngram_join, quality_rules, queries, suffix_dedup
-from quilt.llm.common import materialise, without
+from quilt.llm.common import fresh, materialise, without
 
 KEY, TEXT = "doc_id", "text"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the rows that the quality rules reject; the verdict is on id and text together."""
-    judged = quality_rules.judge(docs.withColumn("_row", F.struct(F.col(KEY).alias("id"), F.xxhash64(TEXT).alias("h"))), key="_row")
-    rejected = judged.where("not kept").select("_row.id", "_row.h").distinct()
-    marked = docs.withColumn("_h", F.xxhash64(TEXT))
-    return without(marked, rejected, {KEY: "id", "_h": "h"}).drop("_h")
+    row, h = fresh(docs, "_row", "_h")
+    judged = quality_rules.judge(docs.withColumn(row, F.struct(F.col(KEY).alias("id"), F.xxhash64(TEXT).alias("h"))), key=row)
+    rejected = judged.where("not kept").select(f"{row}.id", f"{row}.h").distinct()
+    return without(docs.withColumn(h, F.xxhash64(TEXT)), rejected, {KEY: "id", h: "h"}).drop(h)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +32,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     members, _ = ngram_join.join(docs, KEY, TEXT)
     losers = members.where("id <> component_id").select("id").distinct()
     left = without(docs, losers, {KEY: "id"})
-    again = materialise(docs.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1").select(F.col(KEY).alias("id")))
+    (twin,) = fresh(docs, "_again")
+    again = materialise(docs.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(KEY).alias("id")))
     if again.isEmpty():
         return left
-    once = left.join(again, F.col(KEY) == F.col("id"), "left_semi").dropDuplicates([KEY])
-    return without(left, again, {KEY: "id"}).unionByName(once)
+    once = left.join(again, F.col(KEY) == F.col(twin), "left_semi").dropDuplicates([KEY])
+    return without(left, again, {KEY: twin}).unionByName(once)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

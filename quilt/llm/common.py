@@ -7,7 +7,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space and U+0009 to U+000D.
@@ -38,15 +38,28 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{kind}>>")).alias("x")).select("x.*")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until none is a column of ``df`` in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def without(rows: DataFrame, gone: DataFrame, on: dict[str, str], broadcast_rows: int = 1_000_000) -> DataFrame:
     """``rows`` that have no match in ``gone``; nulls match nulls. on: column of rows -> column of gone.
 
     What goes is broadcast only if counted to be few, so that rows with long texts stay where they are; else both sides are shuffled.
     """
-    gone = materialise(gone.select(*[F.col(b).alias(f"_gone_{i}") for i, b in enumerate(on.values())]))
+    names = fresh(rows, *[f"_gone_{i}" for i in range(len(on))])
+    gone = materialise(gone.select(*[F.col(b).alias(n) for b, n in zip(on.values(), names, strict=True)]))
     match = F.lit(True)
-    for i, a in enumerate(on):
-        match = match & F.col(a).eqNullSafe(F.col(f"_gone_{i}"))
+    for a, n in zip(on, names, strict=True):
+        match = match & F.col(a).eqNullSafe(F.col(n))
     return rows.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, match, "left_anti")
 
 
@@ -166,29 +179,51 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.nd
     return runs, at
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of ``edges``; alternating large and small stars.
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Integer arrays as one compressed blob, byte plane by byte plane, so that rarely used high bytes cost little."""
+    import zstandard
 
-    Every round is a map-side combined minimum and one equi-join; links stay distributed. Self-links and repeated links are fine.
-    """
-    import pyspark
+    head = np.array([len(arrays), *[x for a in arrays for x in (a.dtype.itemsize, len(a))]], "i8").tobytes()
+    planes = b"".join(np.ascontiguousarray(a.view("u1").reshape(len(a), a.dtype.itemsize).T).tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(head + planes)
 
-    e = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null").distinct())
-    nodes = materialise(e.select(F.col("u").alias("node")).union(e.select(F.col("v"))).distinct())
-    e = materialise(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+
+def unsqueeze(blob) -> list[np.ndarray]:
+    """The arrays of :func:`squeeze`, unsigned."""
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(data, "i8", 1)[0])
+    sizes = np.frombuffer(data, "i8", 2 * n, 8).reshape(n, 2).tolist()
+    out, at = [], 8 + 16 * n
+    for width, count in sizes:
+        planes = np.frombuffer(data, "u1", width * count, at).reshape(width, count)
+        out.append(np.ascontiguousarray(planes.T).view(f"u{width}").reshape(count))
+        at += width * count
+    return out
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(node, component): the smallest node reachable, for every node with a link to another; alternating large and small stars.
+
+    Every round is one job of map-side combined minima and equi-joins; links stay distributed. The table of minima is broadcast only
+    while the links were counted to be few. Self-links and repeated links are fine.
+    """
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     before = None
     while True:
+        seen = Observation()
+        e = materialise(e.observe(seen, F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h")))
+        now = seen.get
+        if now == before:
+            break
+        before = now
+        few = (lambda x: F.broadcast(x)) if now["n"] <= broadcast_rows else (lambda x: x)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large.where("u <> v"))
+        large = both.join(few(least), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        small = small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        e = materialise(small)
-        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
-    assert isinstance(e, pyspark.sql.DataFrame)
-    return nodes.join(e.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
+        small = large.join(few(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        e = small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

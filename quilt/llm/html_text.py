@@ -247,7 +247,7 @@ def inherit(found: list[Block]) -> None:
         elif b.main or b.verdict == "near":
             good = any(s[1] == "good" for s in sides) or not any(s[1] == "bad" for s in sides)
         else:
-            good = min(sides, key=lambda s: (abs(s[0] - i), s[1] == "good"))[1] == "good"
+            good = min(sides, key=lambda s: (abs(s[0] - i), s[1] != "good"))[1] == "good"
         b.verdict = "kept" if good else "dropped"
 
 

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quilt.llm.common import WORD_SPACE, materialise, small_table
+from quilt.llm.common import WORD_SPACE, fresh, materialise, small_table
 
 _SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 
@@ -118,8 +118,10 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 def realise(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixture itself: rows of ``docs``, each as often as the plan draws it, with the columns of ``docs``."""
-    drawn = plan(docs, key, text, source, **options).where("copies > 0").select(F.col(key).alias("_k"), F.col("source").alias("_s"), F.col("th").alias("_h"), F.col("copies").alias("_n"))
+    k, s, h, n, th, copy = fresh(docs, "_k", "_s", "_h", "_n", "_th", "_copy")
+    drawn = plan(docs, key, text, source, **options).where("copies > 0").select(F.col(key).alias(k), F.col("source").alias(s), F.col("th").alias(h), F.col("copies").alias(n))
     # rows with equal id, source and text share their plan, so one row of it stands for all of them
-    drawn = drawn.groupBy("_k", "_s", "_h").agg(F.max("_n").alias("_n"))
-    joined = docs.withColumn("_th", F.xxhash64(F.col(text))).join(drawn, F.col(key).eqNullSafe(F.col("_k")) & F.col(source).cast("string").eqNullSafe(F.col("_s")) & (F.col("_th") == F.col("_h")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    drawn = drawn.groupBy(k, s, h).agg(F.max(n).alias(n))
+    marked = docs.withColumn(th, F.xxhash64(F.col(text)))
+    joined = marked.join(drawn, F.col(key).eqNullSafe(F.col(k)) & F.col(source).cast("string").eqNullSafe(F.col(s)) & (F.col(th) == F.col(h)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quilt.llm.common import components, materialise, mix64, shingles, text_bytes
+from quilt.llm.common import components, materialise, mix64, shingles, small_table, squeeze, text_bytes, unsqueeze
 
 #: Bits of a shortened hash within its fragment.
 _BITS = 26
@@ -100,20 +100,16 @@ def _scatter(size: int, fragments: int, piece_bytes: int):
                 x = packed[cuts[f] : cuts[f + 1]]
                 if len(x):
                     tokens = (x >> np.uint64(16)) & np.uint64((1 << 32) - 1)
-                    steps = np.diff(tokens, prepend=np.uint64(0))
-                    wide = bool(steps.max() > 65535)
                     frags.append(f)
-                    blobs.append(bytes([wide]) + steps.astype("u4" if wide else "u2").tobytes() + (x & np.uint64(65535)).astype("u2").tobytes())
+                    blobs.append(squeeze(np.diff(tokens, prepend=np.uint64(0)).astype("u4"), (x & np.uint64(65535)).astype("u2")))
             yield pa.RecordBatch.from_arrays([pa.array(frags, pa.int64()), pa.array([number] * len(frags), pa.int64()), pa.array(blobs, pa.binary())], names=["frag", "batch", "blob"])
 
     return run
 
 
-def _postings(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    wide = blob[0]
-    n = (len(blob) - 1) // (6 if wide else 4)
-    steps = np.frombuffer(blob, "u4" if wide else "u2", n, 1)
-    return np.cumsum(steps.astype("u8")), np.frombuffer(blob, "u2", n, 1 + n * (4 if wide else 2)).astype("u8")
+def _postings(blob) -> tuple[np.ndarray, np.ndarray]:
+    steps, row = unsqueeze(blob)
+    return np.cumsum(steps.astype("u8")), row.astype("u8")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +141,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = cuts[i], cuts[i + 1]
             if b > a:
                 numbers.append(number)
-                blobs.append((key[a:b] >> np.uint64(36)).astype("u4").tobytes() + (key[a:b] & np.uint64(65535)).astype("u2").tobytes() + many[a:b].astype("u2").tobytes())
+                blobs.append(squeeze(np.diff(key[a:b] >> np.uint64(36), prepend=np.uint64(0)).astype("u4"), (key[a:b] & np.uint64(65535)).astype("u2"), many[a:b].astype("u2")))
         return pa.RecordBatch.from_arrays([pa.array([frag] * len(numbers), pa.int64()), pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], names=["frag", "batch", "blob"])
 
     now, held = None, []
@@ -170,10 +166,9 @@ def _prefixes(percent: int):
         ids, n, one, two, send = np.frombuffer(meta, "u8").reshape(5, -1)
         keys = []
         for frag, x in held:
-            m = len(x) // 8
-            token, row, df = np.frombuffer(x, "u4", m), np.frombuffer(x, "u2", m, 4 * m), np.frombuffer(x, "u2", m, 6 * m)
+            steps, row, df = unsqueeze(x)
             # the order within a document: frequency, then fragment and hash
-            keys.append((row, df, np.uint64(frag) << np.uint64(_BITS) | token.astype("u8")))
+            keys.append((row, df, np.uint64(frag) << np.uint64(_BITS) | np.cumsum(steps.astype("u8"))))
         count = n.astype("i8")
         if keys:
             row, df, token = (np.concatenate(c) for c in zip(*keys, strict=True))
@@ -219,7 +214,6 @@ def describe(docs: DataFrame, key: str, text: str, size: int = 5, percent: int =
 
 def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int = 5, percent: int = 75, fragments: int = 4, broadcast_ids: int = 1_000_000) -> DataFrame:
     """Of ``pairs`` (a, b), those whose sets reach the similarity; overlaps are counted in each fragment and summed."""
-    pairs = materialise(pairs)
     ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     # the ids filter the texts before these leave the scan's task; beyond that size, by a shuffled join
     wanted = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
@@ -233,19 +227,24 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int = 5
             for i, d in zip(b.column(0).to_pylist(), range(b.num_rows), strict=True):
                 s = h[at[d] : at[d + 1]]
                 cuts = [*np.searchsorted(s, bounds), len(s)]
-                out += [(i, f, len(s), s[cuts[f] : cuts[f + 1]].tobytes()) for f in range(fragments)]
+                # six bytes of a hash and its fragment tell n-grams of two documents apart
+                out += [(i, f, len(s), s[cuts[f] : cuts[f + 1]].view("u1").reshape(-1, 8)[:, :6].tobytes()) for f in range(fragments)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["id", "f", "n", "h"])
 
     sets = texts.mapInArrow(cut, "id long, f int, n long, h binary").dropDuplicates(["id", "f"])
-    left = pairs.join(sets.select(F.col("id").alias("a"), "f", F.col("n").alias("na"), F.col("h").alias("ha")), "a")
+    # both joins and the de-duplication are by id and fragment, so the sets are shuffled once and the left ones once more
+    asked = pairs.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
+    left = asked.join(sets.select(F.col("id").alias("a"), "f", F.col("n").alias("na"), F.col("h").alias("ha")), ["a", "f"])
     both = left.join(sets.select(F.col("id").alias("b"), "f", F.col("n").alias("nb"), F.col("h").alias("hb")), ["b", "f"])
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             common = []
             for x, y in zip(b.column(4), b.column(5), strict=True):
-                s = np.concatenate([np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")])
-                s.sort()
+                raw = np.concatenate([np.frombuffer(x.as_buffer(), "u1"), np.frombuffer(y.as_buffer(), "u1")]).reshape(-1, 6)
+                wide = np.zeros((len(raw), 8), "u1")
+                wide[:, :6] = raw
+                s = np.sort(wide.view("u8").ravel())
                 common.append(int((s[1:] == s[:-1]).sum()))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "o"])
 
@@ -254,39 +253,58 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int = 5
     return materialise(sums.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b", "o", (F.col("na") + F.col("nb") - F.col("o")).alias("u")))
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, star_rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, star_rounds: int = 6) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
     members: (id, n_shingles, class_id, component_id) a row for each document; class_id is the smallest id with the same set.
     links: verified (a, b, o, u) between classes, enough to connect each component: pairs are left out only where both are in one component already.
     """
     found = describe(docs, key, text, size, percent)
-    heads = materialise(found.where(F.size("tokens") > 0).groupBy("n", "s1", "s2").agg(F.min("id").alias("v"), F.first("tokens").alias("tokens")))
-    postings = materialise(heads.select("v", "n", F.explode("tokens").alias("token")))
+    heads = found.where(F.size("tokens") > 0).groupBy("n", "s1", "s2").agg(F.min("id").alias("v"), F.first("tokens").alias("tokens"))
+    postings = heads.select("v", "n", F.explode("tokens").alias("token"))
+    # a token of one class only can't make a pair
+    held = materialise(postings.join(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "token").withColumn("c", F.col("v")))
     close = lambda x, y: F.least(x, y) * 100 >= percent * F.greatest(x, y)
-    links = None
-    label = postings.select("v").distinct().withColumn("c", F.col("v"))
-    for _ in range(star_rounds):
-        # a leader for each token; every other component that has the token tries it
-        held = postings.join(label, "v")
-        lead = held.groupBy("token").agg(F.min(F.struct("n", "v", "c")).alias("m"), F.max("c").alias("most"), F.min("c").alias("least")).where("least < most").select("token", "m.*")
-        lead = lead.select("token", F.col("n").alias("ln"), F.col("v").alias("lv"), F.col("c").alias("lc"))
-        star = held.join(lead, "token").where((F.col("c") != F.col("lc")) & close(F.col("n"), F.col("ln")))
-        votes = star.groupBy("v", "lv").agg(F.count("*").alias("votes"))
-        best = votes.groupBy("v").agg(F.max(F.struct("votes", "lv")).alias("m")).select(F.least("v", "m.lv").alias("a"), F.greatest("v", "m.lv").alias("b")).distinct()
-        new = verify(best, docs, key, text, size, percent)
-        if new.isEmpty():
+    spark = docs.sparkSession
+    links = tested = None
+    stuck = False
+    for step in range(star_rounds + 1):
+        # pairs of different components at each token; few enough, or after the last star round, all of them are tried
+        per = held.groupBy("token", "c").agg(F.count("*").alias("k"))
+        open_ = per.groupBy("token").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"), F.count("*").alias("cs")).where("cs > 1")
+        open_ = materialise(open_.select("token", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), "s"))
+        cost, rows = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0))).first()
+        if not rows:
             break
-        links = new if links is None else materialise(links.union(new))
-        label = relabel(postings, links)
-    # what is left: all pairs that share a token across components
-    held = postings.join(label, "v")
-    mixed = held.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("token")
-    held = materialise(held.join(mixed, "token"))
-    x, y = (held.select("token", F.col("v").alias(v), F.col("n").alias(f"n{v}"), F.col("c").alias(f"c{v}")) for v in ("a", "b"))
-    across = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    new = verify(across, docs, key, text, size, percent)
-    links = new if links is None else materialise(links.union(new))
+        here = held.join(open_.select("token"), "token")
+        last = stuck or step == star_rounds or cost <= 2 * rows
+        if last:
+            x, y = (here.select("token", F.col("v").alias(v), F.col("n").alias(f"n{v}"), F.col("c").alias(f"c{v}")) for v in ("a", "b"))
+            tried = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+        else:
+            # a leader for each token; every class of another component tries the leader it shares most tokens with
+            lead = here.groupBy("token").agg(F.min(F.struct("n", "v", "c")).alias("m")).select("token", F.col("m.n").alias("ln"), F.col("m.v").alias("lv"), F.col("m.c").alias("lc"))
+            star = here.join(lead, "token").where((F.col("c") != F.col("lc")) & close(F.col("n"), F.col("ln")))
+            votes = star.groupBy(F.least("v", "lv").alias("a"), F.greatest("v", "lv").alias("b"), "v").agg(F.count("*").alias("votes"))
+            if tested is not None:
+                votes = votes.join(tested, ["a", "b"], "left_anti")
+            tried = votes.groupBy("v").agg(F.max(F.struct("votes", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        if tested is not None:
+            tried = tried.join(tested, ["a", "b"], "left_anti")
+        tried = materialise(tried)
+        if not last and tried.isEmpty():
+            stuck = True
+            continue
+        new = verify(tried, docs, key, text, size, percent)
+        links = new if links is None else links.union(new)
+        if last:
+            break
+        tested = tried if tested is None else tested.union(tried)
+        label = components(links)
+        held = held.drop("c").join(label.select(F.col("node").alias("v"), F.col("component").alias("c")), "v", "left")
+        held = materialise(held.select("token", "v", "n", F.coalesce("c", "v").alias("c")))
+    if links is None:
+        links = small_table(spark, [], "a long, b long, o long, u long")
     # documents, classes and links together
     groups = found.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("class_id"))
     classes = found.select("id", "n", "s1", "s2").join(groups, ["n", "s1", "s2"], "left")
@@ -298,8 +316,3 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     comp = components(edges.union(same)).select(F.col("node").alias("class_id"), "component")
     members = classes.join(comp, "class_id", "left").select("id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
     return members, links
-
-
-def relabel(postings: DataFrame, links: DataFrame) -> DataFrame:
-    comp = components(links)
-    return materialise(postings.select("v").distinct().join(comp.withColumnRenamed("node", "v"), "v", "left").select("v", F.coalesce("component", "v").alias("c")))

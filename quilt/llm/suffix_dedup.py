@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quilt.llm.common import _power_table, materialise, mix64, text_bytes
+from quilt.llm.common import _power_table, fresh, materialise, mix64, text_bytes
 from quilt.llm.ngram_join import pieces
 
 GRAM = 32
@@ -328,10 +328,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
 
 
 def cut_out(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, **options) -> DataFrame:
-    """The columns of ``docs``, and _n_bytes, _n_removed, _n_spans, _kept (the remaining bytes)."""
+    """The columns of ``docs``, and four more at the end: bytes, removed bytes, removed runs, the remaining bytes."""
     found = repeats(docs, key, text, length, **options)
-    joined = docs.join(found.withColumnRenamed("doc", "_doc").withColumnRenamed("starts", "_starts"), F.col(key) == F.col("_doc"), "left").drop("_doc")
-    names = [*docs.columns, "_n_bytes", "_n_removed", "_n_spans", "_kept"]
+    doc, starts = fresh(docs, "_doc", "_starts")
+    joined = docs.join(found.select(F.col("doc").alias(doc), F.col("starts").alias(starts)), F.col(key) == F.col(doc), "left").drop(doc)
+    more = fresh(docs, "_n_bytes", "_n_removed", "_n_spans", "_kept")
+    names = [*docs.columns, *more]
     at_text, at_starts = docs.columns.index(text), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,14 +366,17 @@ def cut_out(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
 
     from pyspark.sql.types import StructType
 
-    schema = StructType(list(docs.schema.fields)).add("_n_bytes", "long").add("_n_removed", "long").add("_n_spans", "long").add("_kept", "binary")
+    schema = StructType(list(docs.schema.fields))
+    for name, kind in zip(more, ("long", "long", "long", "binary"), strict=True):
+        schema = schema.add(name, kind)
     return joined.mapInArrow(run, schema)
 
 
 def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, **options) -> DataFrame:
     """``docs`` with repeats removed from the text; a character that a removal cuts through goes whole. A null text stays null."""
     cut = cut_out(docs, key, text, length, **options)
-    whole = F.when(F.col(text).isNull(), F.lit(None)).when(F.col("_n_removed") == 0, F.col(text)).otherwise(_decode(F.col("_kept")))
+    _, removed, _, kept = cut.columns[len(docs.columns) :]
+    whole = F.when(F.col(text).isNull(), F.lit(None)).when(F.col(removed) == 0, F.col(text)).otherwise(_decode(F.col(kept)))
     return cut.select(*[whole.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
