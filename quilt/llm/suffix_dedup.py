@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quilt.llm.common import _power_table, fresh, materialise, mix64, text_bytes
+from quilt.llm.common import _power_table, fresh, materialise, mix64, squeeze, text_bytes, unsqueeze
 from quilt.llm.ngram_join import pieces
 
 GRAM = 32
@@ -74,7 +74,7 @@ def spans_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix64((sums[end] - sums[start]) * _power_table("down", len(raw))[start] + (end - start).astype("u8") * _M[1])
 
 
-ENTRY = np.dtype([("key", "u8"), ("block", "u8"), ("doc", "i8"), ("at", "u4"), ("n", "u4")])
+ENTRY = np.dtype([("key", "u8"), ("block", "u8"), ("doc", "i8"), ("at", "u4"), ("n", "u2"), ("d", "u2")])
 
 
 def entries(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int, segment: int = 1 << 18) -> np.ndarray:
@@ -100,26 +100,55 @@ def entries(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int,
         last = np.append(cut, hi - lo)[np.searchsorted(cut, first) + 1] if len(cut) else np.full(len(first), hi - lo)
         e = np.zeros(len(first), ENTRY)
         e["key"], e["block"] = h[anchor[first]], spans_hash(part, first, last - 1 + length) + (anchor[first] - first).astype("u8") * _M[2]
-        e["doc"], e["at"], e["n"] = ids[owner[first]], first + lo - offsets[owner[first]], last - first
+        e["doc"], e["at"], e["n"], e["d"] = ids[owner[first]], first + lo - offsets[owner[first]], last - first, anchor[first] - first
         out.append(e)
     return np.concatenate(out) if out else np.zeros(0, ENTRY)
 
 
-def windows(raw: np.ndarray, offset: int, doc: int, at: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
-    """Every window of the given blocks of one text as an entry of its own."""
-    start = np.repeat(at.astype("i8"), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    e = np.zeros(len(start), ENTRY)
-    lo, hi = int(start.min()), int(start.max()) + length
-    text = raw[offset + lo : offset + hi]
-    e["block"] = spans_hash(text, start - lo, start - lo + length)
-    e["key"] = spans_hash(text ^ np.uint8(0xA5), start - lo, start - lo + length)
-    e["doc"], e["at"], e["n"] = doc, start, 1
-    return e
+#: Windows of a block that go to one owner together, by their distance from the anchor, so that a hot anchor is spread over several owners.
+_STRIDE = 16
+
+
+def pack_windows(raw: np.ndarray, docs: np.ndarray, start: np.ndarray, n: np.ndarray, d: np.ndarray, at: np.ndarray, length: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Blocks with the fingerprint of each of their windows, by owner. start: where a block begins in raw; at: in its own text."""
+    # cut blocks where the windows' distance from the anchor passes a multiple of the stride
+    steps = (d.astype("i8") // _STRIDE) - ((d.astype("i8") - n + 1) // _STRIDE) + 1
+    b = np.repeat(np.arange(len(n)), steps)
+    k = np.arange(len(b)) - np.repeat(np.cumsum(steps) - steps, steps)
+    top = np.minimum(d[b].astype("i8"), (d[b].astype("i8") // _STRIDE - k) * _STRIDE + _STRIDE - 1)
+    bottom = np.maximum(d[b].astype("i8") - n[b] + 1, (d[b].astype("i8") // _STRIDE - k) * _STRIDE)
+    skip, count = d[b].astype("i8") - top, top - bottom + 1
+    key = spans_hash(raw, start[b] + d[b], start[b] + d[b] + GRAM)
+    owner = (mix64(key + (top // _STRIDE).astype("u8") * _M[3]) >> np.uint64(20)) % np.uint64(buckets)
+    by = np.argsort(owner, kind="stable")
+    b, skip, count, key, owner = b[by], skip[by], count[by], key[by], owner[by]
+    first = start[b] + skip
+    w = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    prints = spans_hash(raw, w, w + length)
+    ends = np.cumsum(count)
+    cuts = np.searchsorted(owner, np.arange(buckets + 1, dtype="u8"))
+    for o in range(buckets):
+        x, y = cuts[o], cuts[o + 1]
+        if y > x:
+            lo, hi = (ends[x - 1] if x else 0), ends[y - 1]
+            yield o, squeeze(key[x:y], docs[b[x:y]], (at[b[x:y]] + skip[x:y]).astype("u4"), count[x:y].astype("u2"), prints[lo:hi])
+
+
+def unpack_windows(blob) -> np.ndarray:
+    """One entry a window, sorted."""
+    key, doc, at, count, prints = unsqueeze(blob)
+    e = np.zeros(len(prints), ENTRY)
+    count = count.astype("i8")
+    e["key"], e["block"], e["doc"], e["n"] = np.repeat(key, count), prints, np.repeat(doc.view("i8"), count), 1
+    e["at"] = np.repeat(at.astype("i8"), count) + np.arange(len(prints)) - np.repeat(np.cumsum(count) - count, count)
+    return order(e)
 
 
 def order(e: np.ndarray) -> np.ndarray:
     """Sorted as a suffix array; equal blocks by their place in the corpus."""
-    e = e[np.lexsort((e["at"], e["doc"]))] if len(e) and (np.diff(e["doc"]) < 0).any() else e
+    doc, at = e["doc"], e["at"]
+    if ((doc[1:] < doc[:-1]) | ((doc[1:] == doc[:-1]) & (at[1:] < at[:-1]))).any():
+        e = e[np.lexsort((at, doc))]
     e = e[np.argsort(e["block"], kind="stable")]
     return e[np.argsort(e["key"], kind="stable")]
 
@@ -144,33 +173,20 @@ class Family:
     def add(self, batch: np.ndarray) -> Iterator[np.ndarray]:
         """Merge-scan a sorted batch without repeats against every level; yields entries found to be repeats."""
         for k, level in list(self.levels.items()):
-            # suffixes with equal leading bytes adjoin; blocks with several candidates are compared one step after another
-            at = np.searchsorted(level["key"], batch["key"], side="left")
             alive_level, alive_batch = np.ones(len(level), bool), np.ones(len(batch), bool)
-            open_ = np.arange(len(batch))
-            while len(open_):
-                here = at[open_]
-                inside = here < len(level)
-                open_, here = open_[inside], here[inside]
-                close = level["key"][here] == batch["key"][open_]
-                open_, here = open_[close], here[close]
-                # equal keys are sorted by block, so each step moves on until the block is reached
-                less = level["block"][here] < batch["block"][open_]
-                equal = level["block"][here] == batch["block"][open_]
-                i, j = open_[equal], here[equal]
+            # suffixes with equal leading bytes adjoin; within such a run the block is found by bisection
+            low, high = np.searchsorted(level["key"], batch["key"], side="left"), np.searchsorted(level["key"], batch["key"], side="right")
+            i = np.flatnonzero(low < high)
+            if len(i):
+                j = _lower_bound(level["block"], batch["block"][i], low[i], high[i])
+                there = (j < high[i]) & (level["block"][np.minimum(j, len(level) - 1)] == batch["block"][i])
+                i, j = i[there], j[there]
                 later = (batch["doc"][i] > level["doc"][j]) | ((batch["doc"][i] == level["doc"][j]) & (batch["at"][i] > level["at"][j]))
                 earlier = (batch["doc"][i] < level["doc"][j]) | ((batch["doc"][i] == level["doc"][j]) & (batch["at"][i] < level["at"][j]))
-                alive_batch[i[later]] = False
-                alive_batch[i[~later & ~earlier]] = False
+                alive_batch[i[~earlier]] = False
                 alive_level[j[earlier]] = False
                 yield batch[i[later]]
                 yield level[j[earlier]]
-                open_ = open_[less]
-                # bisect within the run of equal keys
-                if len(open_):
-                    at[open_] += 1
-                    if len(open_) > 64:
-                        at[open_] = _lower_bound(level, batch[open_], at[open_])
             if not alive_level.all():
                 self.levels[k] = level[alive_level]
             batch = batch[alive_batch]
@@ -189,47 +205,38 @@ class Family:
         return order(np.concatenate(list(self.levels.values()))) if self.levels else np.zeros(0, ENTRY)
 
 
-def _lower_bound(level: np.ndarray, wanted: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """First place at or after ``low`` whose (key, block) is not below the wanted one, by bisection for all at once."""
-    low, high = low.copy(), np.full(len(low), len(level))
-    while (low < high).any():
+def _lower_bound(values: np.ndarray, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The first place in each [low, high) whose value is not below the wanted one, by bisection for all at once."""
+    low, high = low.copy(), high.copy()
+    while (open_ := low < high).any():
         mid = (low + high) // 2
-        inside = np.minimum(mid, len(level) - 1)
-        below = (mid < len(level)) & ((level["key"][inside] < wanted["key"]) | ((level["key"][inside] == wanted["key"]) & (level["block"][inside] < wanted["block"]))) & (low < high)
+        below = open_ & (values[np.minimum(mid, len(values) - 1)] < wanted)
         low = np.where(below, mid + 1, low)
-        high = np.where(below | (low >= high), high, mid)
+        high = np.where(open_ & ~below, mid, high)
     return low
 
 
-_FOUND = "kind int, doc long, at long, n long"
+_FOUND = "kind int, doc long, run long"
+#: Kinds of rows between the passes.
+REPEAT, OPEN = 0, 1
 
 
 def _found(kind: int, e: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(e), kind, "i4")), pa.array(e["doc"].astype("i8")), pa.array(e["at"].astype("i8")), pa.array(e["n"].astype("i8"))], names=["kind", "doc", "at", "n"])
-
-
-#: Kinds of rows between the passes.
-REPEAT, OPEN = 0, 1
+    """Blocks as rows; a run is start << 32 | anchor's distance << 16 | number of windows."""
+    run = e["at"].astype("i8") << 32 | e["d"].astype("i8") << 16 | e["n"].astype("i8")
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(e), kind, "i4")), pa.array(e["doc"].astype("i8")), pa.array(run)], names=["kind", "doc", "run"])
 
 
 def pack(e: np.ndarray) -> bytes:
-    """Entries column by column, ids and starts in the fewest bytes that hold them."""
-    base = int(e["doc"].min())
-    doc, at = (e["doc"] - base).astype("u8"), e["at"]
-    kinds = [next(k for k in ("u1", "u2", "u4", "u8") if int(x.max()) <= np.iinfo(k).max) for x in (doc, at, e["n"])]
-    head = np.array([len(e), base], "i8").tobytes() + bytes(int(k[1]) for k in kinds)
-    return head + e["key"].tobytes() + e["block"].tobytes() + b"".join(x.astype(k).tobytes() for x, k in zip((doc, at, e["n"]), kinds, strict=True))
+    """Entries column by column, compressed."""
+    base = e["doc"].min() if len(e) else np.int64(0)
+    return squeeze(np.array([base], "i8"), *[np.ascontiguousarray(e[c]) for c in ("key", "block", "at", "n", "d")], (e["doc"] - base).astype("u8"))
 
 
 def unpack(blob) -> np.ndarray:
-    n, base = np.frombuffer(blob, "i8", 2)
-    kinds = [f"u{k}" for k in np.frombuffer(blob, "u1", 3, 16)]
-    e = np.empty(n, ENTRY)
-    at = 19
-    for name, kind in zip(("key", "block", "doc", "at", "n"), ("u8", "u8", *kinds), strict=True):
-        e[name] = np.frombuffer(blob, kind, n, at)
-        at += int(n) * int(kind[1])
-    e["doc"] += base
+    base, key, block, at, n, d, doc = unsqueeze(blob)
+    e = np.empty(len(key), ENTRY)
+    e["key"], e["block"], e["at"], e["n"], e["d"], e["doc"] = key, block, at, n, d, doc.view("i8") + base.view("i8")[0]
     return e
 
 
@@ -241,34 +248,62 @@ def _send(e: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
             yield b, pack(e[x:y])
 
 
-def _own(windows_too: bool):
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task of a bucket's owner: one family; repeats, and first blocks whose leading bytes also stand before another block."""
 
     def close(family: Family) -> Iterator[pa.RecordBatch]:
         e = family.merged()
-        if windows_too and len(e):
+        if len(e):
             same = e["key"][1:] == e["key"][:-1]
             mixed = np.zeros(len(e), bool)
             mixed[1:] |= same
             mixed[:-1] |= same
             yield _found(OPEN, e[mixed])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, family = None, Family()
-        for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if bucket < 0:
-                    yield _found(REPEAT, unpack(blob.as_buffer()))
-                    continue
-                if bucket != now:
-                    yield from close(family)
-                    now, family = bucket, Family()
-                for found in family.add(unpack(blob.as_buffer())):
-                    if len(found):
-                        yield _found(REPEAT, found)
-        yield from close(family)
-
-    return run
+    now, family = None, Family()
+    for b in batches:
+        for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            e = unpack(blob.as_buffer())
+            if bucket < 0:
+                yield _found(REPEAT, e)
+                continue
+            if bucket != now:
+                yield from close(family)
+                now, family = bucket, Family()
+            for found in family.add(e):
+                if len(found):
+                    yield _found(REPEAT, found)
+    yield from close(family)
+
+
+def _own_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for single windows; there is nothing left open."""
+    now, family = None, Family()
+    for b in batches:
+        for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if bucket != now:
+                now, family = bucket, Family()
+            kept, again = first_of_each(unpack_windows(blob.as_buffer()))
+            for found in (again, *family.add(kept)):
+                if len(found):
+                    yield _found(REPEAT, found)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adjoining and overlapping runs of windows of each document as one: start << 32 | number of windows."""
+    for b in batches:
+        out = []
+        for runs in b.column(1):
+            x = np.sort(np.asarray(runs.values, "i8"))
+            start = x >> 32
+            reach = np.maximum.accumulate(start + (x & 0xFFFF))
+            new = np.ones(len(x), bool)
+            new[1:] = start[1:] > reach[:-1]
+            stop = reach[np.append(np.flatnonzero(new)[1:] - 1, len(x) - 1)]
+            out.append(start[new] << 32 | (stop - start[new]))
+        lengths = np.array([len(x) for x in out], "i4")
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, "i8")))
+        yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc", "runs"])
 
 
 def _batch(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -283,8 +318,8 @@ def _emit(e: np.ndarray, buckets: int) -> pa.RecordBatch:
     return _batch(out)
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, buckets: int | None = None, batch_bytes: int = 16 << 20, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(doc, starts array<long>): start << 16 | windows of every run of removed windows, grouped by document."""
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, buckets: int | None = None, batch_bytes: int = 16 << 20, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """(doc, runs array<long>): start << 32 | number of every maximal run of removed windows, a row for each document that has any."""
     if length < 2 * GRAM:
         raise ValueError(f"repeats of at least {2 * GRAM} bytes only")
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -298,40 +333,42 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
                 yield _emit(e, buckets)
 
     sent = rows.mapInArrow(scan, "bucket long, blob binary")
-    found = materialise(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_own(True), _FOUND))
+    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_own, _FOUND)
+    found = materialise(found.groupBy("kind", "doc").agg(F.collect_list("run").alias("runs")))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        for b in batches:
-            raw, offsets = text_bytes(b.column(1))
-            at = b.column(2)
-            for i, doc in enumerate(b.column(0).to_pylist()):
-                x = np.unique(np.asarray(at[i].values, "i8"))
-                e = windows(raw, int(offsets[i]), doc, x >> 16, x & 0xFFFF, length)
-                held.append(e)
-                size += len(e)
-                if size > 1 << 19:
-                    yield _emit(np.concatenate(held), buckets)
-                    held, size = [], 0
-        if held:
-            yield _emit(np.concatenate(held), buckets)
-
-    open_ = found.where(F.col("kind") == OPEN).groupBy("doc").agg(F.collect_list(F.shiftleft("at", 16).bitwiseOR(F.col("n"))).alias("at"))
-    open_ = materialise(open_)
-    n_open = open_.agg(F.sum(F.size("at"))).first()[0] or 0
+        for whole in pieces(batches, batch_bytes // 4, 1 << 20):
+            raw, offsets = text_bytes(whole.column(1))
+            runs = whole.column(2)
+            counts = np.diff(np.asarray(runs.offsets, "i8"))
+            x = np.asarray(runs.flatten(), "i8")
+            doc = np.repeat(np.arange(len(counts)), counts)
+            at, d, n = x >> 32, x >> 16 & 0xFFFF, x & 0xFFFF
+            ids = np.asarray(whole.column(0), "i8")
+            start = offsets[:-1][doc] + at
+            for lo in range(0, len(x), 1 << 13):  # a bounded number of windows at a time
+                part = slice(lo, lo + (1 << 13))
+                a, z = int(start[part].min()), int((start[part] + n[part]).max()) + length - 1
+                yield _batch(list(pack_windows(raw[a:z], ids[doc[part]], start[part] - a, n[part], d[part], at[part], length, buckets)))
+
+    open_ = found.where(F.col("kind") == OPEN).select("doc", "runs")
+    n_open = open_.agg(F.sum(F.size("runs"))).first()[0] or 0
     # a checked size lets the texts stay where they are; beyond it, they are shuffled to their open blocks
     again = rows.join(F.broadcast(open_) if n_open <= broadcast_rows else open_, "doc").mapInArrow(resolve, "bucket long, blob binary")
-    more = again.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_own(False), _FOUND)
-    all_ = found.where(F.col("kind") == REPEAT).union(more)
-    return all_.groupBy("doc").agg(F.collect_list(F.shiftleft("at", 16).bitwiseOR(F.col("n"))).alias("starts"))
+    more = again.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_own_windows, _FOUND)
+    more = more.groupBy("doc").agg(F.collect_list("run").alias("runs"))
+    both = found.where(F.col("kind") == REPEAT).select("doc", "runs").union(more)
+    return materialise(both.groupBy("doc").agg(F.flatten(F.collect_list("runs")).alias("runs")).mapInArrow(_merge, "doc long, runs array<long>"))
 
 
 def cut_out(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, **options) -> DataFrame:
     """The columns of ``docs``, and four more at the end: bytes, removed bytes, removed runs, the remaining bytes."""
     found = repeats(docs, key, text, length, **options)
+    n_runs = found.agg(F.sum(F.size("runs"))).first()[0] or 0
+    few = n_runs <= options.get("broadcast_rows", 2_000_000)
     doc, starts = fresh(docs, "_doc", "_starts")
-    joined = docs.join(found.select(F.col("doc").alias(doc), F.col("starts").alias(starts)), F.col(key) == F.col(doc), "left").drop(doc)
+    found = found.select(F.col("doc").alias(doc), F.col("runs").alias(starts))
+    joined = docs.join(F.broadcast(found) if few else found, F.col(key) == F.col(doc), "left").drop(doc)
     more = fresh(docs, "_n_bytes", "_n_removed", "_n_spans", "_kept")
     names = [*docs.columns, *more]
     at_text, at_starts = docs.columns.index(text), len(docs.columns)
@@ -351,13 +388,13 @@ def cut_out(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
                         spans.append(0)
                         kept.append(data[a:z])
                         continue
-                    x = np.sort(np.asarray(s.values, "i8"))
-                    start, end = x >> 16, np.minimum((x >> 16) + (x & 0xFFFF) + length - 1, z - a)
-                    reach = np.maximum.accumulate(end)
+                    x = np.asarray(s.values, "i8")
+                    begin, end = x >> 32, np.minimum((x >> 32) + (x & 0xFFFFFFFF) + length - 1, z - a)
+                    # runs of windows may be apart while the bytes that they cover meet
                     new = np.ones(len(x), bool)
-                    new[1:] = start[1:] > reach[:-1]
-                    begin = start[new]
-                    stop = reach[np.append(np.flatnonzero(new)[1:] - 1, len(x) - 1)]
+                    new[1:] = begin[1:] > end[:-1]
+                    stop = end[np.append(np.flatnonzero(new)[1:] - 1, len(x) - 1)]
+                    begin = begin[new]
                     removed.append(int((stop - begin).sum()))
                     spans.append(len(begin))
                     edges = [0, *np.column_stack([begin, stop]).ravel().tolist(), z - a]
