@@ -63,38 +63,44 @@ class Block:
 
     __slots__ = ("boiler", "linked", "main", "pieces", "region", "tag", "text", "verdict")
 
-    def __init__(self, tag: str, boiler: bool, main: bool, region: int):
+    def __init__(self, tag: str, boiler: int, main: bool, region: int):
         self.tag, self.boiler, self.main, self.region = tag, boiler, main, region
         self.pieces: list[str] = []
         self.linked, self.text, self.verdict = 0, "", ""
 
 
-def _hints(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool]:
-    """Whether an element's name, role, class or id marks boilerplate, and whether they mark content."""
-    boiler = tag in _BOILER_TAGS or (tag == "header" and not inside_main)
+#: How surely a container is boilerplate: a name that is usual for outer parts of a page yields to an article inside it.
+SOFT, HARD = 1, 2
+
+
+def _hints(tag: str, attributes: str, inside_main: bool) -> tuple[int, bool]:
+    """How surely an element's name, role, class or id mark boilerplate, and whether they mark content."""
+    boiler = HARD if tag in _BOILER_TAGS or (tag == "header" and not inside_main) else 0
     main = tag in ("article", "main")
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name in ("class", "id"):
+            if name in ("class", "id") and tag not in ("body", "html", "main"):
                 words = set(_NAME_WORDS.findall(value))
-                if tag not in ("body", "html") and not main:
-                    boiler |= not words.isdisjoint(_BOILER_WORDS) or (not inside_main and not words.isdisjoint(_OUTER_WORDS) and words.isdisjoint(_MAIN_WORDS))
-                    main |= tag in ("div", "section", "td") and not words.isdisjoint(_MAIN_WORDS)
+                if not words.isdisjoint(_BOILER_WORDS):
+                    boiler = HARD
+                elif not inside_main and not main and not words.isdisjoint(_OUTER_WORDS) and words.isdisjoint(_MAIN_WORDS):
+                    boiler = max(boiler, SOFT)
+                main |= tag in ("div", "section", "td") and not words.isdisjoint(_MAIN_WORDS)
             elif name == "role":
-                boiler |= value in _BOILER_ROLES
+                boiler = HARD if value in _BOILER_ROLES else boiler
                 main |= value in ("main", "article")
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-                boiler = True
+                boiler = HARD
     return boiler, main and not boiler
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, with decoded and normalised text; empty ones are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # element, boilerplate, content, region
+    stack: list[tuple[str, int, bool, int]] = []  # element, boilerplate, content, region
     regions = 0
-    links, now = 0, Block("", False, False, 0)
+    links, now = 0, Block("", 0, False, 0)
 
     def add(text: str) -> None:
         if text:
@@ -107,7 +113,7 @@ def blocks(page: str) -> list[Block]:
             now.text = _SPACES.sub(" ", references.unescape("".join(now.pieces))).strip()
             if now.text:
                 out.append(now)
-        top = stack[-1] if stack else ("", False, False, 0)
+        top = stack[-1] if stack else ("", 0, False, 0)
         return Block(tag, top[1], top[2], top[3])
 
     def pop(depth: int) -> None:
@@ -145,14 +151,14 @@ def blocks(page: str) -> list[Block]:
                 if now_at >= 0:
                     cut(tag)
                     pop(now_at)
-                    now = Block(stack[-1][0], *stack[-1][1:]) if stack else Block("", False, False, 0)
+                    now = Block(stack[-1][0], *stack[-1][1:]) if stack else Block("", 0, False, 0)
                 else:
                     now = cut(tag)
             else:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         inner = stack[i][1]
-                        outer = stack[i - 1] if i else ("", False, False, 0)
+                        outer = stack[i - 1] if i else ("", 0, False, 0)
                         if inner != outer[1]:
                             cut(tag)
                         pop(i)
@@ -170,7 +176,7 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             add(" ")
             continue
-        top = stack[-1] if stack else ("", False, False, 0)
+        top = stack[-1] if stack else ("", 0, False, 0)
         if tag in _BLOCK:
             for i in range(len(stack) - 1, -1, -1):  # a paragraph ends where a block begins, a list item where the next one begins
                 if stack[i][0] == "p" or (tag == "li" and stack[i][0] == "li"):
@@ -179,13 +185,15 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] in _BLOCK:
                     break
-            top = stack[-1] if stack else ("", False, False, 0)
+            top = stack[-1] if stack else ("", 0, False, 0)
         boiler, main = _hints(tag, t[3], top[2])
         region = top[3]
         if main and not top[2]:
             regions += 1
             region = regions
-        entry = (tag, top[1] or boiler, (top[2] or main) and not (top[1] or boiler), region)
+        outer = 0 if main and top[1] == SOFT else top[1]
+        boiler = max(outer, boiler)
+        entry = (tag, boiler, (top[2] or main) and not boiler, region)
         if tag in _BLOCK:
             now = cut(tag)
             if tag not in _VOID:
@@ -258,7 +266,7 @@ def main_text(page: str | None) -> str:
     found = blocks(page)
     if any(b.main for b in found):  # the page marks its content itself: what lies outside is not the article
         for b in found:
-            b.boiler |= not b.main
+            b.boiler = b.boiler if b.main else HARD
     classify(found)
     inherit(found)
     return "\n".join(b.text for b in found if b.verdict in ("good", "kept"))

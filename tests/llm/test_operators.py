@@ -419,6 +419,7 @@ def test_family_keeps_first_occurrences():
         ("<article><p>a < b and c > d</p><p><span class=promo>Sale!</span>Kept here.</p><ul><li><a href=1>Link</a></li></ul>", "a < b and c > d\nKept here."),
         ("<title>x</title><div>" + "The sea was calm and the wind was low on that day, as it had been for all of the week. " * 4 + "</div><div>Short one.</div><div><a href=q>click</a></div>", ("The sea was calm and the wind was low on that day, as it had been for all of the week. " * 4).strip() + "\nShort one."),
         ("<article><p>cut off <a hre", "cut off"),
+        ("<div id=top><article><p>Inside the page's top.</p><article class=comment><p>A reader's word.</p></article></article></div>", "Inside the page's top."),
         ("<!-- never closed <p>text", ""),
     ],
 )
