@@ -99,7 +99,8 @@ def entries(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int,
         cut = np.flatnonzero(new | ~valid)
         last = np.append(cut, hi - lo)[np.searchsorted(cut, first) + 1] if len(cut) else np.full(len(first), hi - lo)
         e = np.zeros(len(first), ENTRY)
-        e["key"], e["block"] = h[anchor[first]], spans_hash(part, first, last - 1 + length) + (anchor[first] - first).astype("u8") * _M[2]
+        # least hashes are small numbers; mixed once more they spread evenly over the buckets
+        e["key"], e["block"] = mix64(h[anchor[first]] ^ _M[3]), spans_hash(part, first, last - 1 + length) + (anchor[first] - first).astype("u8") * _M[2]
         e["doc"], e["at"], e["n"], e["d"] = ids[owner[first]], first + lo - offsets[owner[first]], last - first, anchor[first] - first
         out.append(e)
     return np.concatenate(out) if out else np.zeros(0, ENTRY)
@@ -318,7 +319,7 @@ def _emit(e: np.ndarray, buckets: int) -> pa.RecordBatch:
     return _batch(out)
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, buckets: int | None = None, batch_bytes: int = 16 << 20, broadcast_rows: int = 2_000_000) -> DataFrame:
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, buckets: int | None = None, batch_bytes: int = 8 << 20, broadcast_rows: int = 2_000_000) -> DataFrame:
     """(doc, runs array<long>): start << 32 | number of every maximal run of removed windows, a row for each document that has any."""
     if length < 2 * GRAM:
         raise ValueError(f"repeats of at least {2 * GRAM} bytes only")
@@ -337,7 +338,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     found = materialise(found.groupBy("kind", "doc").agg(F.collect_list("run").alias("runs")))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in pieces(batches, batch_bytes // 4, 1 << 20):
+        for whole in pieces(batches, batch_bytes // 8, 1 << 20):
             raw, offsets = text_bytes(whole.column(1))
             runs = whole.column(2)
             counts = np.diff(np.asarray(runs.offsets, "i8"))
