@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     losers = members.where("id <> component_id").select("id").distinct()
     left = without(docs, losers, {KEY: "id"})
     (twin,) = fresh(docs, "_again")
-    again = materialise(docs.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(KEY).alias("id")))
+    again = materialise(docs.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(KEY).alias(twin)))
     if again.isEmpty():
         return left
     once = left.join(again, F.col(KEY) == F.col(twin), "left_semi").dropDuplicates([KEY])
