@@ -136,22 +136,34 @@ def pack_windows(raw: np.ndarray, docs: np.ndarray, start: np.ndarray, n: np.nda
 
 
 def unpack_windows(blob) -> np.ndarray:
-    """One entry a window, sorted."""
+    """One entry a window; its key mixes the anchor's fingerprint with the window's, so that keys hardly repeat."""
     key, doc, at, count, prints = unsqueeze(blob)
     e = np.zeros(len(prints), ENTRY)
     count = count.astype("i8")
-    e["key"], e["block"], e["doc"], e["n"] = np.repeat(key, count), prints, np.repeat(doc.view("i8"), count), 1
+    e["key"], e["block"], e["doc"], e["n"] = mix64(np.repeat(key, count) + prints * _M[1]), prints, np.repeat(doc.view("i8"), count), 1
     e["at"] = np.repeat(at.astype("i8"), count) + np.arange(len(prints)) - np.repeat(np.cumsum(count) - count, count)
-    return order(e)
+    return e
 
 
 def order(e: np.ndarray) -> np.ndarray:
-    """Sorted as a suffix array; equal blocks by their place in the corpus."""
-    doc, at = e["doc"], e["at"]
-    if ((doc[1:] < doc[:-1]) | ((doc[1:] == doc[:-1]) & (at[1:] < at[:-1]))).any():
-        e = e[np.lexsort((at, doc))]
-    e = e[np.argsort(e["block"], kind="stable")]
-    return e[np.argsort(e["key"], kind="stable")]
+    """Sorted as a suffix array, by key and block; equal blocks by their place in the corpus.
+
+    The leading bits of the key are sorted together with the row number in one plain sort; the few runs that agree in these bits are put right afterwards.
+    """
+    n = len(e)
+    if n < 2:
+        return e
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    packed = np.sort(e["key"] >> bits << bits | np.arange(n, dtype="u8"))
+    e = e[(packed & np.uint64((1 << int(bits)) - 1)).astype("i8")]
+    same = packed[1:] >> bits == packed[:-1] >> bits
+    if same.any():
+        run = np.zeros(n, bool)
+        run[1:] |= same
+        run[:-1] |= same
+        part = e[run]
+        e[run] = part[np.lexsort((part["at"], part["doc"], part["block"], part["key"]))]
+    return e
 
 
 def first_of_each(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,11 +188,13 @@ class Family:
         for k, level in list(self.levels.items()):
             alive_level, alive_batch = np.ones(len(level), bool), np.ones(len(batch), bool)
             # suffixes with equal leading bytes adjoin; within such a run the block is found by bisection
-            low, high = np.searchsorted(level["key"], batch["key"], side="left"), np.searchsorted(level["key"], batch["key"], side="right")
-            i = np.flatnonzero(low < high)
+            keys = np.ascontiguousarray(level["key"])
+            low = np.searchsorted(keys, batch["key"])
+            i = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == batch["key"]) if len(keys) else np.zeros(0, "i8")
             if len(i):
-                j = _lower_bound(level["block"], batch["block"][i], low[i], high[i])
-                there = (j < high[i]) & (level["block"][np.minimum(j, len(level) - 1)] == batch["block"][i])
+                high = np.searchsorted(keys, batch["key"][i], side="right")
+                j = _lower_bound(level["block"], batch["block"][i], low[i], high)
+                there = (j < high) & (level["block"][np.minimum(j, len(level) - 1)] == batch["block"][i])
                 i, j = i[there], j[there]
                 later = (batch["doc"][i] > level["doc"][j]) | ((batch["doc"][i] == level["doc"][j]) & (batch["at"][i] > level["at"][j]))
                 earlier = (batch["doc"][i] < level["doc"][j]) | ((batch["doc"][i] == level["doc"][j]) & (batch["at"][i] < level["at"][j]))
@@ -217,6 +231,25 @@ def _lower_bound(values: np.ndarray, wanted: np.ndarray, low: np.ndarray, high:
     return low
 
 
+#: Entries that an owner gathers before it sorts them as one batch of its family.
+BATCH = 1 << 17
+
+
+def gathered(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(bucket, entries, whether they end the bucket) in runs of about BATCH entries; the task's rows are sorted by bucket."""
+    now, held, size = None, [], 0
+    for b in batches:
+        for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if held and (bucket != now or size >= BATCH):
+                yield now, np.concatenate(held), bucket != now
+                held, size = [], 0
+            now = bucket
+            held.append(read(blob.as_buffer()))
+            size += len(held[-1])
+    if held:
+        yield now, np.concatenate(held), True
+
+
 _FOUND = "kind int, doc long, run long"
 #: Kinds of rows between the passes.
 REPEAT, OPEN = 0, 1
@@ -261,33 +294,30 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mixed[:-1] |= same
             yield _found(OPEN, e[mixed])
 
-    now, family = None, Family()
-    for b in batches:
-        for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            e = unpack(blob.as_buffer())
-            if bucket < 0:
-                yield _found(REPEAT, e)
-                continue
-            if bucket != now:
-                yield from close(family)
-                now, family = bucket, Family()
-            for found in family.add(e):
-                if len(found):
-                    yield _found(REPEAT, found)
-    yield from close(family)
+    family = Family()
+    for bucket, e, ends in gathered(batches, unpack):
+        if bucket < 0:
+            yield _found(REPEAT, e)
+            continue
+        kept, again = first_of_each(order(e))
+        for found in (again, *family.add(kept)):
+            if len(found):
+                yield _found(REPEAT, found)
+        if ends:
+            yield from close(family)
+            family = Family()
 
 
 def _own_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same for single windows; there is nothing left open."""
-    now, family = None, Family()
-    for b in batches:
-        for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if bucket != now:
-                now, family = bucket, Family()
-            kept, again = first_of_each(unpack_windows(blob.as_buffer()))
-            for found in (again, *family.add(kept)):
-                if len(found):
-                    yield _found(REPEAT, found)
+    family = Family()
+    for _, e, ends in gathered(batches, unpack_windows):
+        kept, again = first_of_each(order(e))
+        for found in (again, *family.add(kept)):
+            if len(found):
+                yield _found(REPEAT, found)
+        if ends:
+            family = Family()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
