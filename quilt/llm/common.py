@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import tempfile
 
@@ -38,6 +39,12 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{kind}>>")).alias("x")).select("x.*")
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of finished rounds' shuffle files now; they go only once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until none is a column of ``df`` in any case."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quilt.llm.common import components, materialise, mix64, shingles, small_table, squeeze, text_bytes, unsqueeze
+from quilt.llm.common import components, materialise, mix64, release, shingles, small_table, squeeze, text_bytes, unsqueeze
 
 #: Bits of a shortened hash within its fragment.
 _BITS = 26
@@ -280,7 +280,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
         last = stuck or step == star_rounds or cost <= 2 * rows
         if last:
             x, y = (here.select("token", F.col("v").alias(v), F.col("n").alias(f"n{v}"), F.col("c").alias(f"c{v}")) for v in ("a", "b"))
-            tried = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+            met = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close(F.col("na"), F.col("nb")))
+            met = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+            # what two sets share lies in both prefixes, or behind the one that ends first: k and the longer rest bound the overlap
+            rest = F.greatest(*[F.ceil(F.col(c) * percent / F.lit(100)) - 1 for c in ("na", "nb")])
+            most = F.col("k") + rest
+            tried = met.where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b")
         else:
             # a leader for each token; every class of another component tries the leader it shares most tokens with
             lead = here.groupBy("token").agg(F.min(F.struct("n", "v", "c")).alias("m")).select("token", F.col("m.n").alias("ln"), F.col("m.v").alias("lv"), F.col("m.c").alias("lc"))
@@ -296,6 +301,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
             stuck = True
             continue
         new = verify(tried, docs, key, text, size, percent)
+        release(spark)
         links = new if links is None else links.union(new)
         if last:
             break
