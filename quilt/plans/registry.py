@@ -19,7 +19,8 @@ from quilt.sources import adjacency, relational
 from quilt.sources.relational import CODES, OFFSETS, PRIME
 
 K = 4
-#: Labels of the small graph over which the sequential partitioners are compared with recursive SQL.
+#: Labels of the small graph over which the sequential partitioners are compared with recursive SQL; each such query has a twin
+#: named ..._whole over all labels.
 SMALL = ("Region", "Nation", "Supplier", "Customer")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -270,13 +271,22 @@ def edge_signature(spark, d):
     return s.select("src", "dst", signature.show_col(F.col("s")).alias("sig"), signature.value_col(F.col("s")).cast("long").alias("value"))
 
 
-@query(f"{graph_sql(SMALL)} SELECT dst, array_to_string(list_sort(flatten(list({_SIG}))), ',') AS sig FROM e WHERE src_label = 'Supplier' GROUP BY dst")
-def signature_combine(spark, d):
+def _combined(edges: DataFrame) -> DataFrame:
     zero = F.lit(0)
-    e = _coded(relational.edges(spark, d, SMALL)).where("src_label = 'Supplier'").withColumn("s", signature.for_edge_col(F.col("sc"), F.col("dc"), zero, zero, PRIME))
+    e = _coded(edges).withColumn("s", signature.for_edge_col(F.col("sc"), F.col("dc"), zero, zero, PRIME))
     return e.groupBy("dst").agg(signature.show_col(signature.merge_all_col(F.col("s"))).alias("sig"))
 
 
+@query(f"{graph_sql(SMALL)} SELECT dst, array_to_string(list_sort(flatten(list({_SIG}))), ',') AS sig FROM e WHERE src_label = 'Supplier' GROUP BY dst")
+def signature_combine(spark, d):
+    return _combined(relational.edges(spark, d, SMALL).where("src_label = 'Supplier'"))
+
+
+@query(f"{G} SELECT dst, array_to_string(list_sort(flatten(list({_SIG}))), ',') AS sig FROM e GROUP BY dst")
+def signature_combine_whole(spark, d):
+    return _combined(relational.edges(spark, d))
+
+
 # the trie: patterns are paths, so their connected edge sets are the ranges of each path
 
 _ROWS = W.pattern_rows(W.PATTERNS["tables"], CODES)
@@ -337,46 +347,81 @@ def motif_edges(spark, d):
 
 # partitioner scores against a frozen partitioning
 
-_FROZEN = f"{graph_sql(SMALL)}, sizes AS (SELECT part, count(*) AS size FROM v GROUP BY part), n AS (SELECT count(*) AS n FROM v), cnt AS (SELECT v.id, s.part, s.size, count(nb.u) AS c FROM v CROSS JOIN sizes s LEFT JOIN nb ON nb.v = v.id AND nb.u_part = s.part WHERE v.label = 'Supplier' GROUP BY ALL)"
+_CNT = "sizes AS (SELECT part, count(*) AS size FROM v GROUP BY part), n AS (SELECT count(*) AS n FROM v), cnt AS (SELECT v.id, s.part, s.size, count(nb.u) AS c FROM v CROSS JOIN sizes s LEFT JOIN nb ON nb.v = v.id AND nb.u_part = s.part"
+_FROZEN = f"{graph_sql(SMALL)}, {_CNT} WHERE v.label = 'Supplier' GROUP BY ALL)"
+_FROZEN_WHOLE = f"{G}, {_CNT} GROUP BY ALL)"
+_LDG_FROZEN = f", sc AS (SELECT id, part, size, CAST(c * (1 - size // (SELECT n // {K} FROM n)) AS BIGINT) AS score FROM cnt) SELECT id, part, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, size, part DESC) AS r FROM sc) WHERE r = 1"
+_FENNEL_FROZEN = f", a AS (SELECT sqrt({K}) * (SELECT count(*) FROM e) / pow(n, 1.5) AS alpha, n FROM n), sc AS (SELECT id, part, size, c - alpha * 0.75 * sqrt(size) AS score FROM cnt, a WHERE size < 1.1 * n / {K}) SELECT id, part, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, size, part DESC) AS r FROM sc) WHERE r = 1"
 
 
-def _frozen(spark, d):
-    g = graph(spark, d, SMALL)
-    sizes = g.partitions()
-    n = g.vertices.count()
+def _frozen(g: Graph, of: DataFrame) -> DataFrame:
+    """(id, part, size, c): neighbours of each vertex of ``of`` in each partition."""
     # partitions are k rows
-    grid = g.vertices.where("label = 'Supplier'").select("id").crossJoin(F.broadcast(sizes))
+    grid = of.select("id").crossJoin(F.broadcast(g.partitions()))
     near = g.neighbours().groupBy(F.col("v").alias("id"), F.col("u_part").alias("part")).agg(F.count("*").alias("c"))
-    return g, n, grid.join(near, ["id", "part"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    return grid.join(near, ["id", "part"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
 
 
-@query(f"{_FROZEN}, sc AS (SELECT id, part, size, CAST(c * (1 - size // (SELECT n // {K} FROM n)) AS BIGINT) AS score FROM cnt) SELECT id, part, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, size, part DESC) AS r FROM sc) WHERE r = 1")
-def ldg_scores_frozen(spark, d):
-    _, n, grid = _frozen(spark, d)
-    scored = grid.withColumn("score", (F.col("c") * scalars.ldg_weight(F.col("size"), n // K)).cast("long"))
+def _ldg_frozen(g: Graph, of: DataFrame) -> DataFrame:
+    n = g.vertices.count()
+    scored = _frozen(g, of).withColumn("score", (F.col("c") * scalars.ldg_weight(F.col("size"), n // K)).cast("long"))
     return scored.groupBy("id").agg(F.max(F.struct("score", -F.col("size"), "part")).alias("m")).select("id", "m.part", "m.score")
 
 
-@query(f"{_FROZEN}, a AS (SELECT sqrt({K}) * (SELECT count(*) FROM e) / pow(n, 1.5) AS alpha, n FROM n), sc AS (SELECT id, part, size, c - alpha * 0.75 * sqrt(size) AS score FROM cnt, a WHERE size < 1.1 * n / {K}) SELECT id, part, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, size, part DESC) AS r FROM sc) WHERE r = 1")
-def fennel_scores_frozen(spark, d):
-    g, n, grid = _frozen(spark, d)
+def _fennel_frozen(g: Graph, of: DataFrame) -> DataFrame:
+    n = g.vertices.count()
     alpha = scalars.fennel_alpha(K, g.edges.count(), n)
-    scored = grid.where(scalars.under_fennel_limit(F.col("size"), n, K)).withColumn("score", scalars.fennel_score(F.col("c"), F.col("size"), alpha))
+    scored = _frozen(g, of).where(scalars.under_fennel_limit(F.col("size"), n, K)).withColumn("score", scalars.fennel_score(F.col("c"), F.col("size"), alpha))
     return scored.groupBy("id").agg(F.max(F.struct("score", -F.col("size"), "part")).alias("m")).select("id", "m.part", F.round("m.score", 9).alias("score"))
 
 
-@query(f"{graph_sql(SMALL)}, sizes AS (SELECT part, count(*) + part AS size FROM v GROUP BY part) SELECT e.src, e.dst, CASE WHEN a.size < 410 * 1.1 AND b.size < 410 * 1.1 THEN CASE WHEN b.size < a.size THEN b.part ELSE a.part END WHEN b.size < 410 * 1.1 THEN b.part WHEN a.size < 410 * 1.1 THEN a.part ELSE (SELECT arg_min(part, size) FROM sizes) END AS part FROM e JOIN v x ON x.id = e.src JOIN v y ON y.id = e.dst JOIN sizes a ON a.part = x.part JOIN sizes b ON b.part = y.part")
-def greedy_choice_frozen(spark, d):
+@query(_FROZEN + _LDG_FROZEN)
+def ldg_scores_frozen(spark, d):
+    g = graph(spark, d, SMALL)
+    return _ldg_frozen(g, g.vertices.where("label = 'Supplier'"))
+
+
+@query(_FROZEN_WHOLE + _LDG_FROZEN)
+def ldg_scores_frozen_whole(spark, d):
+    g = graph(spark, d)
+    return _ldg_frozen(g, g.vertices)
+
+
+@query(_FROZEN + _FENNEL_FROZEN)
+def fennel_scores_frozen(spark, d):
     g = graph(spark, d, SMALL)
-    sizes = g.partitions().withColumn("size", F.col("size") + F.col("part"))
+    return _fennel_frozen(g, g.vertices.where("label = 'Supplier'"))
+
+
+@query(_FROZEN_WHOLE + _FENNEL_FROZEN)
+def fennel_scores_frozen_whole(spark, d):
+    g = graph(spark, d)
+    return _fennel_frozen(g, g.vertices)
+
+
+def _greedy_frozen(g: Graph, sizes: DataFrame, capacity: int) -> DataFrame:
     least = sizes.agg(F.min_by("part", F.struct("size", "part")).alias("least"))
     end = lambda c: g.vertices.join(F.broadcast(sizes), "part").select(F.col("id").alias(c), F.col("part").alias(f"{c}_part"), F.col("size").alias(f"{c}_size"))
-    ok = lambda c: scalars.under_greedy_limit(F.col(f"{c}_size"), 410)
+    ok = lambda c: scalars.under_greedy_limit(F.col(f"{c}_size"), capacity)
     rows = g.edges.select("src", "dst").join(end("src"), "src").join(end("dst"), "dst").crossJoin(F.broadcast(least))
     smaller = F.when(F.col("dst_size") < F.col("src_size"), F.col("dst_part")).otherwise(F.col("src_part"))
     return rows.select("src", "dst", F.when(ok("src") & ok("dst"), smaller).when(ok("dst"), F.col("dst_part")).when(ok("src"), F.col("src_part")).otherwise(F.col("least")).alias("part"))
 
 
+@query(f"{graph_sql(SMALL)}, sizes AS (SELECT part, count(*) + part AS size FROM v GROUP BY part) SELECT e.src, e.dst, CASE WHEN a.size < 410 * 1.1 AND b.size < 410 * 1.1 THEN CASE WHEN b.size < a.size THEN b.part ELSE a.part END WHEN b.size < 410 * 1.1 THEN b.part WHEN a.size < 410 * 1.1 THEN a.part ELSE (SELECT arg_min(part, size) FROM sizes) END AS part FROM e JOIN v x ON x.id = e.src JOIN v y ON y.id = e.dst JOIN sizes a ON a.part = x.part JOIN sizes b ON b.part = y.part")
+def greedy_choice_frozen(spark, d):
+    g = graph(spark, d, SMALL)
+    return _greedy_frozen(g, g.partitions().withColumn("size", F.col("size") + F.col("part")), 410)
+
+
+@query(f"{G}, n AS (SELECT count(*) AS n FROM v), sizes AS (SELECT part, count(*) + part * (SELECT n // 50 FROM n) AS size FROM v GROUP BY part), lim AS (SELECT (n // {K}) * 1.1 AS lim FROM n) SELECT e.src, e.dst, CASE WHEN a.size < lim AND b.size < lim THEN CASE WHEN b.size < a.size THEN b.part ELSE a.part END WHEN b.size < lim THEN b.part WHEN a.size < lim THEN a.part ELSE (SELECT arg_min(part, size) FROM sizes) END AS part FROM e JOIN v x ON x.id = e.src JOIN v y ON y.id = e.dst JOIN sizes a ON a.part = x.part JOIN sizes b ON b.part = y.part CROSS JOIN lim")
+def greedy_choice_frozen_whole(spark, d):
+    """Sizes grow by 8 % of the fair share with each partition, so that two of the four are over the limit."""
+    g = graph(spark, d)
+    n = g.vertices.count()
+    return _greedy_frozen(g, g.partitions().withColumn("size", F.col("size") + F.col("part") * (n // 50)), n // K)
+
+
 _LABEL_SIZES = f"{G}, sizes AS (SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS part, count(*) AS size FROM v GROUP BY label), m AS (SELECT part AS mp, size AS ms FROM sizes ORDER BY size, part LIMIT 1)"
 
 
@@ -417,25 +462,36 @@ SELECT o.id, f.parts[o.seq] AS part FROM o, (SELECT parts FROM fold ORDER BY i D
 _NEAR = "len([y for y in nbrs if y <= i AND parts[y] = q])"
 
 
-def _ordered_neighbourhoods(spark, d):
-    v = relational.sequence(relational.vertices(spark, d, SMALL), "id")
-    e = relational.edges(spark, d, SMALL)
+def _ordered_neighbourhoods(spark, d, labels):
+    v = relational.sequence(relational.vertices(spark, d, labels), "id")
+    e = relational.edges(spark, d, labels)
     n = adjacency.neighbourhoods(v, e).select("id", F.array_distinct(F.concat("in", "out")).alias("near"))
     return materialise(v.join(n, "id")), e
 
 
 @query(_fold_sql(f"{_NEAR} * (1 - sizes[q + 1] // (n // {K}))", "true"))
-def ldg_assign(spark, d):
-    rows, _ = _ordered_neighbourhoods(spark, d)
+def ldg_assign(spark, d, labels=SMALL):
+    rows, _ = _ordered_neighbourhoods(spark, d, labels)
     return P.assign(rows, P.LDG(K, capacity=rows.count() // K), ["id", "near"], "id int, part int").select("id", "part")
 
 
 @query(_fold_sql(f"{_NEAR} - (sqrt({K}) * m / pow(n, 1.5)) * 0.75 * sqrt(sizes[q + 1])", f"-x.z < 1.1 * n / {K}"))
-def fennel_assign(spark, d):
-    rows, e = _ordered_neighbourhoods(spark, d)
+def fennel_assign(spark, d, labels=SMALL):
+    rows, e = _ordered_neighbourhoods(spark, d, labels)
     return P.assign(rows, P.Fennel(K, n_vertices=rows.count(), n_edges=e.count()), ["id", "near"], "id int, part int").select("id", "part")
 
 
+@query()
+def ldg_assign_whole(spark, d):
+    """Every vertex of the graph; brute force stands in for the recursive SQL, which keeps a list of all parts in each row."""
+    return ldg_assign(spark, d, tuple(OFFSETS))
+
+
+@query()
+def fennel_assign_whole(spark, d):
+    return fennel_assign(spark, d, tuple(OFFSETS))
+
+
 def _edge_stream(spark, d, labels=tuple(OFFSETS)):
     return relational.sequence(_coded(relational.edges(spark, d, labels)), "src", "dst").select("seq", "src", "dst", "sc", "dc")
 
@@ -451,13 +507,18 @@ _EDGE_OUT = "src int, dst int, part int"
 
 
 @query()
-def greedy_assign(spark, d):
+def greedy_assign(spark, d, labels=SMALL):
     """Edges of the small graph, none of which begins a motif, so that all are placed at once."""
-    rows = _edge_stream(spark, d, SMALL)
+    rows = _edge_stream(spark, d, labels)
     p = P.MotifPartitioner(K, rows.count() // K, P.Trie({}, {}), PRIME)
     return P.assign(rows, p, ["src", "dst", "sc", "dc"], _EDGE_OUT)
 
 
+@query()
+def greedy_assign_whole(spark, d):
+    return greedy_assign(spark, d, tuple(OFFSETS))
+
+
 @query()
 def motif_partition_assign(spark, d):
     """All edges through the motif-aware partitioner with a window of 100, what still waits at the end included."""
@@ -466,12 +527,17 @@ def motif_partition_assign(spark, d):
 
 
 @query()
-def motif_partition_reference(spark, d):
+def motif_partition_reference(spark, d, labels=SMALL):
     """The same with the recorded ration and without a flush, over the small graph: at most 99 edges stay unassigned."""
-    rows = _edge_stream(spark, d, SMALL)
+    rows = _edge_stream(spark, d, labels)
     return P.assign(rows, motif_partitioner(spark, K, max(1, rows.count() // K), 100, threshold=0.3), ["src", "dst", "sc", "dc"], _EDGE_OUT)
 
 
+@query()
+def motif_partition_reference_whole(spark, d):
+    return motif_partition_reference(spark, d, tuple(OFFSETS))
+
+
 # workloads
 
 
