@@ -45,7 +45,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def link(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = 0.93, sample: int = 20_000, radius: int = 18, many: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
+def link(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = 0.93, sample: int = 20_000, radius: int = 18) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows (key, cid, valid) of the input; links (a, b, cosine) between classes a < b; see :func:`near_duplicates`."""
     rows = vectors.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("x"))
     top = rows.where("x is not null").groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
@@ -54,13 +54,12 @@ def link(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     valid = F.coalesce(F.col("label").isNotNull() & (F.size("x") == d) & good & F.exists("x", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("valid", valid).withColumn("cid", F.when(F.col("valid"), F.xxhash64("x", "label")))
     classes = materialise(rows.where("valid").groupBy("cid").agg(F.first("label").alias("label"), F.first("x").alias("x"), F.count("*").alias("m"), F.min("id").alias("rep")))
-    n = classes.count()
-    if not n:
+    if not classes.count():
         return rows.select("id", "cid", "valid"), vectors.sparkSession.createDataFrame([], "a long, b long, cosine double")
     learned = np.array([r.x for r in classes.orderBy(F.xxhash64("cid"), "cid").select("x").limit(sample).collect()], "f8")
     bits = min(64, d)
     mean, projection = learn_rotation(unit(learned), bits)
-    tables = min(4 if n <= many else 3, max(1, bits // 4))
+    tables = min(4, max(1, bits // 4))  # at every size: fewer, longer substrings would lose pairs
     edges = [bits * t // tables for t in range(tables + 1)]
     masks = [(1 << (b - a)) - 1 for a, b in zip(edges, edges[1:], strict=False)]
 

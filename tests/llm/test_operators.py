@@ -138,6 +138,20 @@ def test_embeddings(spark):
     assert [tuple(x) for x in embedding_dedup.near_duplicates(none).collect()] == [(1, 0, 1, True)]
 
 
+def test_embeddings_of_a_large_table_use_the_same_tables(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    base = r.normal(size=(3000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = r.normal(size=base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    partners = 0.931 * base + (1 - 0.931**2) ** 0.5 * side
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate([*base, *partners])], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(type(df), "count", lambda self: 5_000_000)  # what a table of so many classes says
+    _, links = embedding_dedup.link(df)
+    assert len(links.collect()) >= 0.99 * 3000
+
+
 # n-gram join
 
 
