@@ -39,6 +39,15 @@ def test_json(spark, tmp_path):
     assert {(r.id, r.label) for r in adjacency.to_vertices(n).collect()} == {(1, "Entity"), (2, "Activity"), (3, "Agent")}
 
 
+def test_json_lines_of_many_files(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    for i, part in enumerate((GOOD[:1], GOOD[1:])):
+        (folder / f"part-{i}.txt").write_text("".join(json.dumps(x) + "\n" for x in part))
+    want = adjacency.read_neighbourhoods(spark, write(tmp_path, GOOD), "provenance")
+    assert sorted(map(repr, adjacency.read_neighbourhoods(spark, str(folder), "provenance", lines=True).collect())) == sorted(map(repr, want.collect()))
+
+
 @pytest.mark.parametrize(
     "bad",
     [
