@@ -63,7 +63,7 @@ class Block:
 
     __slots__ = ("boiler", "linked", "main", "pieces", "region", "tag", "text", "verdict")
 
-    def __init__(self, tag: str, boiler: int, main: bool, region: int):
+    def __init__(self, tag: str, boiler: int, main: int, region: int):
         self.tag, self.boiler, self.main, self.region = tag, boiler, main, region
         self.pieces: list[str] = []
         self.linked, self.text, self.verdict = 0, "", ""
@@ -71,12 +71,14 @@ class Block:
 
 #: How surely a container is boilerplate: a name that is usual for outer parts of a page yields to an article inside it.
 SOFT, HARD = 1, 2
+#: How surely a container marks content: by a word of its class or id, or as an article or main element or role=main, which alone silence the rest of the page.
+NAMED, MARKED = 1, 2
 
 
-def _hints(tag: str, attributes: str, inside_main: bool) -> tuple[int, bool]:
-    """How surely an element's name, role, class or id mark boilerplate, and whether they mark content."""
+def _hints(tag: str, attributes: str, inside_main: int) -> tuple[int, int]:
+    """How surely an element's name, role, class or id mark boilerplate, and how surely they mark content."""
     boiler = HARD if tag in _BOILER_TAGS or (tag == "header" and not inside_main) else 0
-    main = tag in ("article", "main")
+    main = MARKED if tag in ("article", "main") else 0
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -86,21 +88,22 @@ def _hints(tag: str, attributes: str, inside_main: bool) -> tuple[int, bool]:
                     boiler = HARD
                 elif not inside_main and not main and not words.isdisjoint(_OUTER_WORDS) and words.isdisjoint(_MAIN_WORDS):
                     boiler = max(boiler, SOFT)
-                main |= tag in ("div", "section", "td") and not words.isdisjoint(_MAIN_WORDS)
+                if tag in ("div", "section", "td") and not words.isdisjoint(_MAIN_WORDS):
+                    main = max(main, NAMED)
             elif name == "role":
                 boiler = HARD if value in _BOILER_ROLES else boiler
-                main |= value in ("main", "article")
+                main = MARKED if value == "main" else max(main, NAMED) if value == "article" else main
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
                 boiler = HARD
-    return boiler, main and not boiler
+    return boiler, 0 if boiler else main
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, with decoded and normalised text; empty ones are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, int]] = []  # element, boilerplate, content, region
+    stack: list[tuple[str, int, int, int]] = []  # element, boilerplate, content, region
     regions = 0
-    links, now = 0, Block("", 0, False, 0)
+    links, now = 0, Block("", 0, 0, 0)
 
     def add(text: str) -> None:
         if text:
@@ -113,7 +116,7 @@ def blocks(page: str) -> list[Block]:
             now.text = _SPACES.sub(" ", references.unescape("".join(now.pieces))).strip()
             if now.text:
                 out.append(now)
-        top = stack[-1] if stack else ("", 0, False, 0)
+        top = stack[-1] if stack else ("", 0, 0, 0)
         return Block(tag, top[1], top[2], top[3])
 
     def pop(depth: int) -> None:
@@ -151,14 +154,14 @@ def blocks(page: str) -> list[Block]:
                 if now_at >= 0:
                     cut(tag)
                     pop(now_at)
-                    now = Block(stack[-1][0], *stack[-1][1:]) if stack else Block("", 0, False, 0)
+                    now = Block(stack[-1][0], *stack[-1][1:]) if stack else Block("", 0, 0, 0)
                 else:
                     now = cut(tag)
             else:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         inner = stack[i][1]
-                        outer = stack[i - 1] if i else ("", 0, False, 0)
+                        outer = stack[i - 1] if i else ("", 0, 0, 0)
                         if inner != outer[1]:
                             cut(tag)
                         pop(i)
@@ -176,7 +179,7 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             add(" ")
             continue
-        top = stack[-1] if stack else ("", 0, False, 0)
+        top = stack[-1] if stack else ("", 0, 0, 0)
         if tag in _BLOCK:
             for i in range(len(stack) - 1, -1, -1):  # a paragraph ends where a block begins, a list item where the next one begins
                 if stack[i][0] == "p" or (tag == "li" and stack[i][0] == "li"):
@@ -185,15 +188,15 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] in _BLOCK:
                     break
-            top = stack[-1] if stack else ("", 0, False, 0)
+            top = stack[-1] if stack else ("", 0, 0, 0)
         boiler, main = _hints(tag, t[3], top[2])
         region = top[3]
-        if main and not top[2]:
+        if main > top[2]:
             regions += 1
             region = regions
         outer = 0 if main and top[1] == SOFT else top[1]
         boiler = max(outer, boiler)
-        entry = (tag, boiler, (top[2] or main) and not boiler, region)
+        entry = (tag, boiler, 0 if boiler else max(top[2], main), region)
         if tag in _BLOCK:
             now = cut(tag)
             if tag not in _VOID:
@@ -214,11 +217,11 @@ def classify(found: list[Block], short: int = 70, long: int = 200, low: float =
     for b in found:
         size = len(b.text)
         density = min(1.0, b.linked / max(1, size))
-        if b.boiler or (density > links and (not b.main or (b.tag == "li" or density > 0.9 and size < short))):
+        if b.boiler or (density > links and (b.main < MARKED or (b.tag == "li" or density > 0.9 and size < short))):
             b.verdict = "bad"
-        elif b.main:
+        elif b.main == MARKED:
             b.verdict = "good" if size >= 15 or b.tag in ("h1", "h2", "h3", "h4", "h5", "h6") else "short"
-        elif "©" in b.text[:200] and size < long:
+        elif not b.main and "©" in b.text[:200] and size < long:
             b.verdict = "bad"
         else:
             words = _WORD.findall(b.text.lower())
@@ -228,7 +231,7 @@ def classify(found: list[Block], short: int = 70, long: int = 200, low: float =
             elif stop >= high:
                 b.verdict = "good" if size >= long else "near"
             else:
-                b.verdict = "near" if stop >= low else "bad"
+                b.verdict = "near" if stop >= low else "short" if b.main else "bad"
 
 
 def inherit(found: list[Block]) -> None:
@@ -264,7 +267,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    if any(b.main for b in found):  # the page marks its content itself: what lies outside is not the article
+    if any(b.main == MARKED for b in found):  # the page marks its content itself: what lies outside is not the article
         for b in found:
             b.boiler = b.boiler if b.main else HARD
     classify(found)

@@ -441,6 +441,14 @@ def test_html(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_a_class_name_does_not_silence_the_page():
+    prose = "This is what the reporter had to say about it, and it was more than they would have said if they had not been there at the time. " * 3
+    for mark in ("article-title", "post-meta", "entry-head", "content-top", "story"):
+        assert html_text.main_text(f"<div class='{mark}'><h1>T</h1></div><p>{prose}</p>") == f"T\n{prose.strip()}"
+    assert html_text.main_text(f"<div class=content><p>{prose}</p></div><article><p>The article.</p></article><p>{prose}</p>") == f"{prose.strip()}\nThe article."
+    assert html_text.main_text("<div class=content><p>" + "日本語の文章" * 20 + "</p></div>") == "日本語の文章" * 20
+
+
 def test_html_operator(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (2, "u", "<article><p>Grüße</p></article>", "y"), (2, "u", "<article><p>Grüße</p></article>", "y")], "page_id long, url string, html string, text string")
     assert sorted(tuple(x) for x in html_text.extract(df).collect()) == sorted([(1, None, "", 0), (2, "u", "Grüße", 5), (2, "u", "Grüße", 5)], key=str)
