@@ -1,17 +1,20 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams (by document frequency, then hash) is cut into fragments by hash range. A fragment sees the n-grams
-of all documents in its range, so it counts their frequencies exactly and alone. What it tells each document is which of its n-grams
-occur elsewhere; summed over fragments this bounds every overlap, and most documents drop out. The others keep the rarest of their
-shared n-grams, as many as the prefix principle asks for. Documents that share one become candidate pairs: first each with one
-leader, and, once links have merged documents into components, all pairs across components. Pairs are verified by
-vertical partitioning again: hash sets cut into fragments, partial overlaps counted per fragment, summed per pair.
-
-Hashes of n-grams have 64 bits in the verification; the fragments that only select candidates carry shortened ones, whose collisions can only
-add candidates. Equal sets form one class before pairs are made, and each batch of documents sends a set once.
-
-Edge cases: null, empty and white-space texts have no n-gram and link with nothing; texts with fewer words than n are one n-gram; rows with a
-null id are left out; rows with equal ids and different texts are joined through their id; an empty table gives an empty table.
+The global order of n-grams (by the number of different sets that hold them, then hash) is cut into fragments by hash range. A fragment
+sees the n-grams of all documents in its range, so it counts their frequencies exactly and alone. What it tells each document is which of its
+n-grams other sets hold too; summed over fragments this bounds every overlap, and most documents drop out. The others keep the rarest of their
+shared n-grams, as many as the prefix principle asks for. Sets that share one become candidate pairs, if their sizes and shared n-grams still
+allow a link: first each with one leader, and, once links have merged sets into components, all pairs across components. Pairs are
+verified by vertical partitioning again: sets are cut into fragments, partial overlaps counted per fragment, and summed per pair.
+
+Equal sets form one class before pairs are made. Hashes of n-grams have 64 bits in the verification; the fragments that only select candidates
+carry shortened ones, whose collisions can only add candidates.
+
+Edge cases: null, empty and white-space texts have no n-gram and link with nothing; texts with fewer words than n are one n-gram; texts of any length
+are read whole; repeated rows are one class; rows with equal ids and different texts are classes of their own, which belong to one component
+through their id; a row with a null id keeps its size and links with nothing (its class and component are null); sets at the threshold exactly
+link, and ties in frequency are broken by hash; an empty table gives an empty table. Only ``key`` and ``text`` are read, so further columns
+can't clash.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quilt.llm.common import components, materialise, mix64, release, shingles, small_table, squeeze, text_bytes, unsqueeze
+from quilt.llm.common import components, materialise, mix64, shingles, small_table, squeeze, text_bytes, unsqueeze
 
-#: Bits of a shortened hash within its fragment.
-_BITS = 26
+#: Bits of a shortened hash within its fragment, and of a row's number within its batch.
+_BITS, _ROW = 28, 16
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -48,8 +51,12 @@ def distinct_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
 
 def signatures(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each set."""
-    one, two = np.concatenate([[0], np.cumsum(mix64(h))]).astype("u8"), np.concatenate([[0], np.cumsum(mix64(h ^ _SALT))]).astype("u8")
-    return one[at[1:]] - one[at[:-1]], two[at[1:]] - two[at[:-1]]
+    out = []
+    for x in (mix64(h), mix64(h ^ _SALT)):
+        sums = np.zeros(len(h) + 1, "u8")
+        np.cumsum(x, out=sums[1:])
+        out.append(sums[at[1:]] - sums[at[:-1]])
+    return out[0], out[1]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int, most_rows: int) -> Iterator[pa.RecordBatch]:
@@ -71,84 +78,125 @@ def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int, most_rows: int) -
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _scatter(size: int, fragments: int, piece_bytes: int):
-    """Task of the first pass: a row for each batch and fragment with its (hash, row number) postings, and one with the batch's sets."""
+def _blobs(frags: list[int], numbers: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(frags, pa.int64()), pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], names=["frag", "batch", "blob"])
+
+
+class _Batch:
+    """Sets of several pieces of a task: ids, sizes, signatures, and the postings of those sets that are new to the batch."""
+
+    def __init__(self) -> None:
+        self.rows = self.postings = 0
+        self.columns: list[tuple[np.ndarray, ...]] = []
+        self.packed: list[np.ndarray] = []
+        self.seen: set[tuple[int, int]] = set()
+
+    def add(self, b: pa.RecordBatch, size: int, fragments: int) -> None:
+        h, at = distinct_sets(*text_bytes(b.column(1)), size)
+        n = np.diff(at)
+        one, two = signatures(h, at)
+        known = np.asarray(b.column(0).is_valid())
+        send = np.zeros(len(n), bool)
+        for i in np.flatnonzero(known & (n > 0)).tolist():
+            if (mark := (int(one[i]), int(two[i]))) not in self.seen:
+                self.seen.add(mark)
+                send[i] = True
+        self.columns.append((np.asarray(b.column(0).fill_null(0), "i8").view("u8"), n.astype("u8"), one, two, send.astype("u8"), known.astype("u8")))
+        use = np.repeat(send, n)
+        token = mix64(h[use] ^ _SALT)
+        place = (token >> np.uint64(32)) % np.uint64(fragments) << np.uint64(_BITS) | token & np.uint64((1 << _BITS) - 1)
+        row = np.repeat(np.arange(self.rows, self.rows + len(n), dtype="u8")[send], n[send])
+        self.packed.append(place << np.uint64(_ROW) | row)
+        self.rows, self.postings = self.rows + len(n), self.postings + len(token)
+
+    def send(self, number: int, fragments: int) -> pa.RecordBatch:
+        """A row for each fragment with its postings and the signatures of the rows these name, and one with the batch's sets."""
+        meta = np.concatenate([np.concatenate(c) for c in zip(*self.columns, strict=True)])
+        one = np.concatenate([c[2] for c in self.columns])
+        packed = np.concatenate(self.packed)
+        self.packed = []
+        packed.sort()
+        cuts = np.searchsorted(packed, np.arange(fragments + 1, dtype="u8") << np.uint64(_BITS + _ROW))
+        frags, blobs = [-1 - number], [meta.tobytes()]
+        for f in range(fragments):
+            x = packed[cuts[f] : cuts[f + 1]]
+            if len(x):
+                tokens, row = x >> np.uint64(_ROW) & np.uint64((1 << _BITS) - 1), x & np.uint64((1 << _ROW) - 1)
+                mark = one[np.unique(row).astype("i8")]
+                frags.append(f)
+                # six bytes of a signature tell sets that share an n-gram apart
+                blobs.append(squeeze(np.diff(tokens, prepend=np.uint64(0)).astype("u4"), row.astype("u2"), mark.astype("u4"), (mark >> np.uint64(32)).astype("u2")))
+        return _blobs(frags, [number] * len(frags), blobs)
+
+
+def _scatter(size: int, fragments: int, piece_bytes: int, batch_postings: int):
+    """Task of the first pass: batches of sets, a row for each batch and fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k = TaskContext.get().partitionId(), 0
-        for b in pieces(batches, piece_bytes, 1 << 16):
-            h, at = distinct_sets(*text_bytes(b.column(1)), size)
-            n = np.diff(at)
-            one, two = signatures(h, at)
-            # of equal sets in the batch only the first is sent
-            order = np.lexsort((np.arange(len(n)), two, one))
-            same = np.zeros(len(n), bool)
-            same[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
-            send = ~same & (n > 0)
-            row = np.repeat(np.arange(len(n), dtype="u8"), n)
-            use = np.repeat(send, n)
-            token = mix64(h[use] ^ _SALT)
-            frag = (token >> np.uint64(32)) % np.uint64(fragments)
-            packed = np.sort(frag << np.uint64(48) | (token & np.uint64((1 << _BITS) - 1)) << np.uint64(16) | row[use])
-            cuts = np.searchsorted(packed, np.arange(fragments + 1, dtype="u8") << np.uint64(48))
-            number = part << 24 | k
-            k += 1
-            ids = np.asarray(b.column(0), "i8")
-            meta = np.concatenate([ids.view("u8"), n.astype("u8"), one, two, send.astype("u8")]).tobytes()
-            frags, blobs = [-1 - number], [meta]
-            for f in range(fragments):
-                x = packed[cuts[f] : cuts[f + 1]]
-                if len(x):
-                    tokens = (x >> np.uint64(16)) & np.uint64((1 << 32) - 1)
-                    frags.append(f)
-                    blobs.append(squeeze(np.diff(tokens, prepend=np.uint64(0)).astype("u4"), (x & np.uint64(65535)).astype("u2")))
-            yield pa.RecordBatch.from_arrays([pa.array(frags, pa.int64()), pa.array([number] * len(frags), pa.int64()), pa.array(blobs, pa.binary())], names=["frag", "batch", "blob"])
+        number, batch = TaskContext.get().partitionId() << 24, _Batch()
+        for b in pieces(batches, piece_bytes, 1 << (_ROW - 2)):
+            batch.add(b, size, fragments)
+            if batch.postings >= batch_postings or batch.rows > (1 << _ROW) - (1 << (_ROW - 2)):
+                yield batch.send(number, fragments)
+                number, batch = number + 1, _Batch()
+        if batch.rows:
+            yield batch.send(number, fragments)
 
     return run
 
 
-def _postings(blob) -> tuple[np.ndarray, np.ndarray]:
-    steps, row = unsqueeze(blob)
-    return np.cumsum(steps.astype("u8")), row.astype("u8")
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task of the second pass: for each fragment, which postings occur elsewhere, and in how many sets; sent back to their batches."""
+    """Task of the second pass: for each fragment, which postings other sets have too, and how many sets; sent back to their batches."""
 
     def flush(frag: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        parts = [_postings(x) for _, x in held]
-        token = np.concatenate([t for t, _ in parts])
-        where = np.repeat(np.arange(len(parts), dtype="u8"), [len(t) for t, _ in parts])
-        row = np.concatenate([r for _, r in parts])
-        if len(parts) < 1 << 20:
-            key = np.sort(token << np.uint64(36) | where << np.uint64(16) | row)
-        else:
-            raise ValueError("too many batches for one fragment; raise the number of fragments or the batch size")
-        token = key >> np.uint64(36)
-        first = np.ones(len(key), bool)
+        tokens, rows, marks, sizes = [], [], [], []
+        for _, blob in held:
+            steps, row, low, high = unsqueeze(blob)
+            tokens.append(np.cumsum(steps.astype("u8")))
+            rows.append(row)
+            mark = low.astype("u8") | high.astype("u8") << np.uint64(32)
+            marks.append(mark[np.searchsorted(np.unique(row), row)])
+            sizes.append(len(row))
+        token, row, mark = np.concatenate(tokens), np.concatenate(rows), np.concatenate(marks)
+        del tokens, rows, marks
+        # tokens with their places in one plain sort; only those that occur again are looked at closer
+        key = np.sort(token << np.uint64(64 - _BITS) | np.arange(len(token), dtype="u8"))
+        token, place = key >> np.uint64(64 - _BITS), (key & np.uint64((1 << 64 - _BITS) - 1)).astype("i8")
+        del key
+        same = token[1:] == token[:-1]
+        again = np.zeros(len(token), bool)
+        again[1:] |= same
+        again[:-1] |= same
+        token, place = token[again], place[again]
+        mark = mark[place]
+        order = np.lexsort((mark, token))
+        token, place, mark = token[order], place[order], mark[order]
+        first = np.ones(len(token), bool)
         first[1:] = token[1:] != token[:-1]
+        other = first.copy()
+        other[1:] |= mark[1:] != mark[:-1]
         starts = np.flatnonzero(first)
-        df = np.diff(np.append(starts, len(key)))
-        many = np.repeat(df, df)
+        df = np.add.reduceat(other.astype("i8"), starts) if len(starts) else np.zeros(0, "i8")
+        many = np.repeat(df, np.diff(np.append(starts, len(token))))
         shared = many > 1
-        key, many = key[shared], np.minimum(many[shared], 65535).astype("u8")
-        where = key >> np.uint64(16) & np.uint64((1 << 20) - 1)
-        order = np.argsort(where, kind="stable")
-        key, many, where = key[order], many[order], where[order]
-        cuts = np.searchsorted(where, np.arange(len(parts) + 1, dtype="u8"))
+        token, place, many = token[shared], place[shared], np.minimum(many[shared], 65535).astype("u2")
+        order = np.argsort(place)
+        token, place, many = token[order], place[order], many[order]
+        ends = np.cumsum(sizes)
+        cuts = np.searchsorted(place, np.concatenate([[0], ends]))
         numbers, blobs = [], []
         for i, (number, _) in enumerate(held):
             a, b = cuts[i], cuts[i + 1]
             if b > a:
                 numbers.append(number)
-                blobs.append(squeeze(np.diff(key[a:b] >> np.uint64(36), prepend=np.uint64(0)).astype("u4"), (key[a:b] & np.uint64(65535)).astype("u2"), many[a:b].astype("u2")))
-        return pa.RecordBatch.from_arrays([pa.array([frag] * len(numbers), pa.int64()), pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], names=["frag", "batch", "blob"])
+                blobs.append(squeeze(np.diff(token[a:b], prepend=np.uint64(0)).astype("u4"), row[place[a:b]], many[a:b]))
+        return _blobs([frag] * len(numbers), numbers, blobs)
 
     now, held = None, []
     for b in batches:
         for frag, number, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if frag < 0:  # the sets of a batch go on to the next pass
-                yield pa.RecordBatch.from_arrays([pa.array([frag], pa.int64()), pa.array([number], pa.int64()), pa.array([blob], pa.binary())], names=["frag", "batch", "blob"])
+                yield _blobs([frag], [number], [blob])
                 continue
             if frag != now and held:
                 yield flush(now, held)
@@ -163,13 +211,14 @@ def _prefixes(percent: int):
     """Task of the third pass: the documents of a batch, each with the rarest shared n-grams that the prefix principle asks for."""
 
     def flush(meta: bytes, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        ids, n, one, two, send = np.frombuffer(meta, "u8").reshape(5, -1)
+        ids, n, one, two, _, known = np.frombuffer(meta, "u8").reshape(6, -1)
         keys = []
         for frag, x in held:
             steps, row, df = unsqueeze(x)
             # the order within a document: frequency, then fragment and hash
             keys.append((row, df, np.uint64(frag) << np.uint64(_BITS) | np.cumsum(steps.astype("u8"))))
         count = n.astype("i8")
+        shared = np.zeros(len(n), "i8")
         if keys:
             row, df, token = (np.concatenate(c) for c in zip(*keys, strict=True))
             order = np.lexsort((token, df, row))
@@ -182,7 +231,9 @@ def _prefixes(percent: int):
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(n)))]), pa.int32()), pa.array(token[kept].view("i8")))
         else:
             lists = pa.array([[]] * len(n), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(ids.view("i8")), pa.array(count), pa.array(one.view("i8")), pa.array(two.view("i8")), lists], names=["id", "n", "s1", "s2", "tokens"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids.view("i8"), mask=known == 0), pa.array(count), pa.array(one.view("i8")), pa.array(two.view("i8")), pa.array(shared), lists], names=["id", "n", "s1", "s2", "shared", "tokens"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, meta, held = None, b"", []
@@ -202,73 +253,129 @@ def _prefixes(percent: int):
     return run
 
 
-def describe(docs: DataFrame, key: str, text: str, size: int = 5, percent: int = 75, fragments: int | None = None, piece_bytes: int = 16 << 20) -> DataFrame:
-    """(id, n, s1, s2, tokens): size and signature of each document's set, and the prefix of its shared n-grams."""
-    fragments = fragments or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of text whose n-grams one fragment counts at a time in memory, where the input is large.
+FRAGMENT_BYTES = 32 << 20
+
+
+def describe(docs: DataFrame, key: str, text: str, size: int = 5, percent: int = 75, fragments: int | None = None, piece_bytes: int = 4 << 20, batch_postings: int = 3 << 20) -> DataFrame:
+    """(id, n, s1, s2, shared, tokens): a row for each document: size and signature of its set, how many of its n-grams other sets have too
+    (0 where an equal set speaks for it), and the prefix of these."""
+    if not fragments:
+        total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        fragments = min(1 << 20, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_BYTES)))
     schema = "frag long, batch long, blob binary"
-    sent = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_scatter(size, fragments, piece_bytes), schema)
+    sent = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_scatter(size, fragments, piece_bytes, batch_postings), schema)
     counted = sent.repartition(fragments, "frag").sortWithinPartitions("frag", "batch").mapInArrow(_count, schema)
-    back = counted.repartition(fragments, "batch").sortWithinPartitions("batch", "frag").mapInArrow(_prefixes(percent), "id long, n long, s1 long, s2 long, tokens array<long>")
+    back = counted.repartition(fragments, "batch").sortWithinPartitions("batch", "frag").mapInArrow(_prefixes(percent), "id long, n long, s1 long, s2 long, shared long, tokens array<long>")
     return materialise(back)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int = 5, percent: int = 75, fragments: int = 4, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose sets reach the similarity; overlaps are counted in each fragment and summed."""
-    ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+def fragment_sets(classes: DataFrame, docs: DataFrame, key: str, text: str, size: int = 5, fragments: int = 4, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """(v, f, n, h): the set of each class (v, id, n, s1, s2) in fragments, its hashes sorted."""
+    ids = materialise(classes.select("id").distinct())
     # the ids filter the texts before these leave the scan's task; beyond that size, by a shuffled join
     wanted = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 4 << 20, 1 << 16):
+        for b in pieces(batches, 1 << 20, 1 << 12):
             h, at = distinct_sets(*text_bytes(b.column(1)), size)
+            one, two = signatures(h, at)
             bounds = [np.uint64((f << 64) // fragments) for f in range(fragments)]
             out: list[tuple] = []
-            for i, d in zip(b.column(0).to_pylist(), range(b.num_rows), strict=True):
+            for d in np.flatnonzero(np.diff(at)).tolist():
                 s = h[at[d] : at[d + 1]]
                 cuts = [*np.searchsorted(s, bounds), len(s)]
-                # six bytes of a hash and its fragment tell n-grams of two documents apart
-                out += [(i, f, len(s), s[cuts[f] : cuts[f + 1]].view("u1").reshape(-1, 8)[:, :6].tobytes()) for f in range(fragments)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["id", "f", "n", "h"])
+                out += [(len(s), int(one[d].view("i8")), int(two[d].view("i8")), f, s[cuts[f] : cuts[f + 1]].tobytes()) for f in range(fragments)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["n", "s1", "s2", "f", "h"])
 
-    sets = texts.mapInArrow(cut, "id long, f int, n long, h binary").dropDuplicates(["id", "f"])
-    # both joins and the de-duplication are by id and fragment, so the sets are shuffled once and the left ones once more
-    asked = pairs.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
-    left = asked.join(sets.select(F.col("id").alias("a"), "f", F.col("n").alias("na"), F.col("h").alias("ha")), ["a", "f"])
-    both = left.join(sets.select(F.col("id").alias("b"), "f", F.col("n").alias("nb"), F.col("h").alias("hb")), ["b", "f"])
+    found = texts.mapInArrow(cut, "n long, s1 long, s2 long, f int, h binary")
+    # rows that repeat an id and its text give the same set again
+    return materialise(found.join(classes.select("v", "n", "s1", "s2"), ["n", "s1", "s2"]).dropDuplicates(["v", "f"]).select("v", "f", "n", "h"))
 
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            common = []
-            for x, y in zip(b.column(4), b.column(5), strict=True):
-                raw = np.concatenate([np.frombuffer(x.as_buffer(), "u1"), np.frombuffer(y.as_buffer(), "u1")]).reshape(-1, 6)
-                wide = np.zeros((len(raw), 8), "u1")
-                wide[:, :6] = raw
-                s = np.sort(wide.view("u8").ravel())
-                common.append(int((s[1:] == s[:-1]).sum()))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "o"])
 
-    parts = both.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(overlap, "a long, b long, na long, nb long, o long")
-    sums = parts.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("o").alias("o"))
-    return materialise(sums.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b", "o", (F.col("na") + F.col("nb") - F.col("o")).alias("u")))
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = 75, block: int = 256) -> DataFrame:
+    """Of ``pairs`` (hub, spoke), those whose sets reach the similarity, as (a, b, o, u); overlaps are counted in each fragment and summed.
 
+    A hub's fragment goes once to each block of about ``block`` of its spokes, a spoke's once to each hub, so a popular hub is spread over tasks.
+    """
+    blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
+    dealt = materialise(pairs.join(blocks, "hub").select("hub", "spoke", F.pmod(F.xxhash64("spoke"), F.col("blocks")).alias("salt")))
+    spokes = dealt.join(sets.withColumnRenamed("v", "spoke"), "spoke").select("hub", "salt", "f", "spoke", "n", "h")
+    hubs = dealt.select("hub", "salt").distinct().join(sets.withColumnRenamed("v", "hub"), "hub").select("hub", "salt", "f", F.lit(None).cast("long").alias("spoke"), "n", "h")
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, star_rounds: int = 6) -> tuple[DataFrame, DataFrame]:
+    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, n_mine = np.zeros(0, "u8"), 0
+        for b in batches:
+            spoke, n = b.column(3).to_pylist(), b.column(4).to_pylist()
+            rows: list[int] = []
+            sizes: list[int] = []
+            common: list[int] = []
+            for i, x in enumerate(b.column(5)):
+                h = np.frombuffer(x.as_buffer(), "u8")
+                if spoke[i] is None:
+                    mine, n_mine = h.copy(), n[i]
+                    continue
+                o = 0
+                if len(mine) and len(h):
+                    at = np.searchsorted(mine, h)
+                    o = int(np.count_nonzero(mine[np.minimum(at, len(mine) - 1)] == h))
+                rows.append(i)
+                sizes.append(n_mine)
+                common.append(o)
+            if rows:
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(3).take(take), pa.array(sizes, pa.int64()), b.column(4).take(take), pa.array(common, pa.int64())], names=["hub", "spoke", "nh", "ns", "o"])
+
+    # the hub's own row comes first in its group
+    both = hubs.unionByName(spokes).repartition("hub", "salt", "f").sortWithinPartitions("hub", "salt", "f", F.col("spoke").asc_nulls_first())
+    parts = both.mapInArrow(overlap, "hub long, spoke long, nh long, ns long, o long")
+    sums = parts.groupBy("hub", "spoke").agg((F.first("nh") + F.first("ns") - F.sum("o")).alias("u"), F.sum("o").alias("o"))
+    return materialise(sums.where(100 * F.col("o") >= percent * F.col("u")).select(F.least("hub", "spoke").alias("a"), F.greatest("hub", "spoke").alias("b"), "o", "u"))
+
+
+def _possible(percent: int, n: str, s: str, m: str, r: str):
+    """Whether sets of n and m n-grams, of which s and r are shared with any set at all, can reach the similarity."""
+    n, s, m, r = map(F.col, (n, s, m, r))
+    return (100 + percent) * F.least(s, r) >= percent * (n + m)
+
+
+def _meeting(held: DataFrame, percent: int, across: bool) -> DataFrame:
+    """(hub, spoke): pairs of classes that share an n-gram of their prefixes and whose sizes and shared n-grams allow a link."""
+    x, y = (held.select("token", *[F.col(c).alias(f"{c}{side}") for c in ("v", "n", "s", "c")]) for side in ("a", "b"))
+    open_ = (F.col("va") < F.col("vb")) & _possible(percent, "na", "sa", "nb", "sb")
+    met = x.join(y, "token").where(open_ & (F.col("ca") != F.col("cb")) if across else open_)
+    met = met.groupBy("va", "vb").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    # what two sets share lies in both prefixes, or behind the one that ends first: k and the longer rest bound the overlap
+    rest = F.greatest(*[F.ceil(F.col(c) * percent / F.lit(100)) - 1 for c in ("na", "nb")])
+    most = F.col("k") + rest
+    return met.where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select(F.col("va").alias("hub"), F.col("vb").alias("spoke"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, star_rounds: int = 6, every_link: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
     members: (id, n_shingles, class_id, component_id) a row for each document; class_id is the smallest id with the same set.
-    links: verified (a, b, o, u) between classes, enough to connect each component: pairs are left out only where both are in one component already.
+    links: verified (a, b, o, u) between class ids. With ``every_link`` all of them; else enough to connect each component: pairs are left out
+    only where both are in one component already. A class whose id another class has too is named by that id.
     """
     found = describe(docs, key, text, size, percent)
-    heads = found.where(F.size("tokens") > 0).groupBy("n", "s1", "s2").agg(F.min("id").alias("v"), F.first("tokens").alias("tokens"))
-    postings = heads.select("v", "n", F.explode("tokens").alias("token"))
-    # a token of one class only can't make a pair
-    held = materialise(postings.join(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "token").withColumn("c", F.col("v")))
-    close = lambda x, y: F.least(x, y) * 100 >= percent * F.greatest(x, y)
-    spark = docs.sparkSession
+    told = F.size("tokens") > 0
+    heads = found.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.first(F.when(told, F.col("shared")), True).alias("s"), F.first(F.when(told, F.col("tokens")), True).alias("tokens"))
+    heads = materialise(heads.where("tokens is not null").withColumn("v", F.monotonically_increasing_id()))
+    postings = heads.select("v", "n", "s", F.explode("tokens").alias("token"))
+    # an n-gram that only one class has in its prefix can't make a pair
+    again = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    held = materialise(postings.join(again, "token").select("v", "n", "s", "token", F.col("v").alias("c")))
+    classes = heads.drop("tokens").join(held.select("v").distinct(), "v", "left_semi")
+    sets = fragment_sets(classes, docs, key, text, size)
     links = tested = None
     stuck = False
     for step in range(star_rounds + 1):
+        if every_link:
+            links = verify(materialise(_meeting(held, percent, False)), sets, percent)
+            break
         # pairs of different components at each token; few enough, or after the last star round, all of them are tried
         per = held.groupBy("token", "c").agg(F.count("*").alias("k"))
         open_ = per.groupBy("token").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"), F.count("*").alias("cs")).where("cs > 1")
@@ -276,49 +383,48 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
         cost, rows = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0))).first()
         if not rows:
             break
-        here = held.join(open_.select("token"), "token")
+        held = held.join(open_.select("token"), "token")
         last = stuck or step == star_rounds or cost <= 2 * rows
         if last:
-            x, y = (here.select("token", F.col("v").alias(v), F.col("n").alias(f"n{v}"), F.col("c").alias(f"c{v}")) for v in ("a", "b"))
-            met = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close(F.col("na"), F.col("nb")))
-            met = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-            # what two sets share lies in both prefixes, or behind the one that ends first: k and the longer rest bound the overlap
-            rest = F.greatest(*[F.ceil(F.col(c) * percent / F.lit(100)) - 1 for c in ("na", "nb")])
-            most = F.col("k") + rest
-            tried = met.where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b")
+            tried = _meeting(held, percent, True)
         else:
-            # a leader for each token; every class of another component tries the leader it shares most tokens with
-            lead = here.groupBy("token").agg(F.min(F.struct("n", "v", "c")).alias("m")).select("token", F.col("m.n").alias("ln"), F.col("m.v").alias("lv"), F.col("m.c").alias("lc"))
-            star = here.join(lead, "token").where((F.col("c") != F.col("lc")) & close(F.col("n"), F.col("ln")))
-            votes = star.groupBy(F.least("v", "lv").alias("a"), F.greatest("v", "lv").alias("b"), "v").agg(F.count("*").alias("votes"))
+            # a leader for each token, the class with the fewest n-grams of its own; every class of another component tries the leader it shares most tokens with
+            lead = held.groupBy("token").agg(F.min(F.struct(F.col("n") - F.col("s"), "v", "n", "s", "c")).alias("m")).select("token", *[F.col(f"m.{x}").alias(f"l{x}") for x in ("v", "n", "s", "c")])
+            star = held.join(lead, "token").where((F.col("c") != F.col("lc")) & _possible(percent, "n", "s", "ln", "ls"))
+            votes = star.groupBy(F.col("lv").alias("hub"), F.col("v").alias("spoke")).agg(F.count("*").alias("votes"))
             if tested is not None:
-                votes = votes.join(tested, ["a", "b"], "left_anti")
-            tried = votes.groupBy("v").agg(F.max(F.struct("votes", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+                votes = votes.join(tested, ["hub", "spoke"], "left_anti")
+            tried = votes.groupBy("spoke").agg(F.max(F.struct("votes", "hub")).alias("m")).select("m.hub", "spoke")
         if tested is not None:
-            tried = tried.join(tested, ["a", "b"], "left_anti")
+            tried = tried.join(tested, ["hub", "spoke"], "left_anti")
         tried = materialise(tried)
         if not last and tried.isEmpty():
             stuck = True
             continue
-        new = verify(tried, docs, key, text, size, percent)
-        release(spark)
+        new = verify(tried, sets, percent)
         links = new if links is None else links.union(new)
         if last:
             break
-        tested = tried if tested is None else tested.union(tried)
+        # where leaders hardly link any more, what is left is tried at once
+        stuck = 10 * new.count() < tried.count()
+        turned = tried.union(tried.select(F.col("spoke").alias("hub"), F.col("hub").alias("spoke")))
+        tested = turned if tested is None else tested.union(turned)
         label = components(links)
         held = held.drop("c").join(label.select(F.col("node").alias("v"), F.col("component").alias("c")), "v", "left")
-        held = materialise(held.select("token", "v", "n", F.coalesce("c", "v").alias("c")))
+        held = materialise(held.select("v", "n", "s", "token", F.coalesce("c", "v").alias("c")))
     if links is None:
-        links = small_table(spark, [], "a long, b long, o long, u long")
+        links = small_table(docs.sparkSession, [], "a long, b long, o long, u long")
+    names = heads.select("v", F.col("id").alias("name"))
+    for side in ("a", "b"):
+        links = links.join(names.withColumnRenamed("v", side), side).drop(side).withColumnRenamed("name", side)
+    links = materialise(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "o", "u"))
     # documents, classes and links together
-    groups = found.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("class_id"))
-    classes = found.select("id", "n", "s1", "s2").join(groups, ["n", "s1", "s2"], "left")
-    classes = materialise(classes.select("id", "n", F.coalesce("class_id", "id").alias("class_id")))
-    rep = classes.select(F.col("id").alias("v"), "class_id").where(F.col("v") != F.col("class_id")).distinct()
-    edges = links.select("a", "b").union(rep.join(links.select(F.col("a").alias("v")).union(links.select("b")).distinct(), "v").select("v", "class_id"))
-    # rows with equal ids but different sets belong together
-    same = classes.groupBy("id").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x < y").select("x", "y")
-    comp = components(edges.union(same)).select(F.col("node").alias("class_id"), "component")
-    members = classes.join(comp, "class_id", "left").select("id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    groups = found.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("class_id"))
+    known = found.select("id", "n", "s1", "s2").join(groups, ["n", "s1", "s2"], "left")
+    known = materialise(known.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id")))
+    # classes that share an id belong together
+    several = known.groupBy("id").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x < y").select("id", "x")
+    edges = links.select("a", "b").union(known.join(several, "id").where("class_id <> x").select("x", "class_id"))
+    comp = components(edges).select(F.col("node").alias("class_id"), "component")
+    members = known.join(comp, "class_id", "left").select("id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
     return members, links
