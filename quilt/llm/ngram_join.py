@@ -32,6 +32,8 @@ from quilt.llm.common import components, materialise, mix64, shingles, small_tab
 #: Bits of a shortened hash within its fragment, and of a row's number within its batch.
 _BITS, _ROW = 28, 16
 _SALT = np.uint64(0xA0761D6478BD642F)
+#: Words of 64 bits in a set's sketch: how many of its hashes fall on each bit, modulo 2. Sets differ at least in as many n-grams as their sketches in bits.
+_SKETCH = 16
 
 
 def distinct_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +273,7 @@ def describe(docs: DataFrame, key: str, text: str, size: int = 5, percent: int =
 
 
 def fragment_sets(classes: DataFrame, docs: DataFrame, key: str, text: str, size: int = 5, fragments: int = 4, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """(v, f, n, h): the set of each class (v, id, n, s1, s2) in fragments, its hashes sorted."""
+    """(v, f, n, h, sketch): the set of each class (v, id, n, s1, s2) in fragments, its hashes sorted; the sketch is with fragment 0."""
     ids = materialise(classes.select("id").distinct())
     # the ids filter the texts before these leave the scan's task; beyond that size, by a shuffled join
     wanted = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
@@ -286,13 +288,16 @@ def fragment_sets(classes: DataFrame, docs: DataFrame, key: str, text: str, size
             for d in np.flatnonzero(np.diff(at)).tolist():
                 s = h[at[d] : at[d + 1]]
                 cuts = [*np.searchsorted(s, bounds), len(s)]
-                out += [(len(s), int(one[d].view("i8")), int(two[d].view("i8")), f, s[cuts[f] : cuts[f + 1]].tobytes()) for f in range(fragments)]
+                parity = np.bincount((s & np.uint64(64 * _SKETCH - 1)).astype("i8"), minlength=64 * _SKETCH) & 1
+                sketch = np.packbits(parity.astype(bool)).view("i8").tolist()
+                out += [(len(s), int(one[d].view("i8")), int(two[d].view("i8")), f, s[cuts[f] : cuts[f + 1]].tobytes(), None if f else sketch) for f in range(fragments)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["n", "s1", "s2", "f", "h"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["n", "s1", "s2", "f", "h", "sketch"])
 
-    found = texts.mapInArrow(cut, "n long, s1 long, s2 long, f int, h binary")
+    found = texts.mapInArrow(cut, "n long, s1 long, s2 long, f int, h binary, sketch array<long>")
     # rows that repeat an id and its text give the same set again
-    return materialise(found.join(classes.select("v", "n", "s1", "s2"), ["n", "s1", "s2"]).dropDuplicates(["v", "f"]).select("v", "f", "n", "h"))
+    return materialise(found.join(classes.select("v", "n", "s1", "s2"), ["n", "s1", "s2"]).dropDuplicates(["v", "f"]).select("v", "f", "n", "h", "sketch"))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = 75, block: int = 256) -> DataFrame:
@@ -302,6 +307,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = 75, block: int = 25
     """
     blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
     dealt = materialise(pairs.join(blocks, "hub").select("hub", "spoke", F.pmod(F.xxhash64("spoke"), F.col("blocks")).alias("salt")))
+    sets = sets.drop("sketch")
     spokes = dealt.join(sets.withColumnRenamed("v", "spoke"), "spoke").select("hub", "salt", "f", "spoke", "n", "h")
     hubs = dealt.select("hub", "salt").distinct().join(sets.withColumnRenamed("v", "hub"), "hub").select("hub", "salt", "f", F.lit(None).cast("long").alias("spoke"), "n", "h")
 
@@ -341,10 +347,13 @@ def _possible(percent: int, n: str, s: str, m: str, r: str):
     return (100 + percent) * F.least(s, r) >= percent * (n + m)
 
 
-def _meeting(held: DataFrame, percent: int, across: bool) -> DataFrame:
-    """(hub, spoke): pairs of classes that share an n-gram of their prefixes and whose sizes and shared n-grams allow a link."""
-    x, y = (held.select("token", *[F.col(c).alias(f"{c}{side}") for c in ("v", "n", "s", "c")]) for side in ("a", "b"))
-    open_ = (F.col("va") < F.col("vb")) & _possible(percent, "na", "sa", "nb", "sb")
+def _meeting(held: DataFrame, sets: DataFrame, percent: int, across: bool) -> DataFrame:
+    """(hub, spoke): pairs of classes that share an n-gram of their prefixes and whose sizes, shared n-grams and sketches allow a link."""
+    drawn = held.join(sets.where("f = 0").select("v", "sketch"), "v")
+    x, y = (drawn.select("token", *[F.col(c).alias(f"{c}{side}") for c in ("v", "n", "s", "c", "sketch")]) for side in ("a", "b"))
+    unlike = sum((F.bit_count(F.col("sketcha")[i].bitwiseXOR(F.col("sketchb")[i])) for i in range(1, _SKETCH)), F.bit_count(F.col("sketcha")[0].bitwiseXOR(F.col("sketchb")[0])))
+    # the overlap is half of what both sizes leave beyond the difference
+    open_ = (F.col("va") < F.col("vb")) & _possible(percent, "na", "sa", "nb", "sb") & ((100 + percent) * (F.col("na") + F.col("nb") - unlike) >= 2 * percent * (F.col("na") + F.col("nb")))
     met = x.join(y, "token").where(open_ & (F.col("ca") != F.col("cb")) if across else open_)
     met = met.groupBy("va", "vb").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     # what two sets share lies in both prefixes, or behind the one that ends first: k and the longer rest bound the overlap
@@ -374,7 +383,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     stuck = False
     for step in range(star_rounds + 1):
         if every_link:
-            links = verify(materialise(_meeting(held, percent, False)), sets, percent)
+            links = verify(materialise(_meeting(held, sets, percent, False)), sets, percent)
             break
         # pairs of different components at each token; few enough, or after the last star round, all of them are tried
         per = held.groupBy("token", "c").agg(F.count("*").alias("k"))
@@ -386,7 +395,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
         held = held.join(open_.select("token"), "token")
         last = stuck or step == star_rounds or cost <= 2 * rows
         if last:
-            tried = _meeting(held, percent, True)
+            tried = _meeting(held, sets, percent, True)
         else:
             # a leader for each token, the class with the fewest n-grams of its own; every class of another component tries the leader it shares most tokens with
             lead = held.groupBy("token").agg(F.min(F.struct(F.col("n") - F.col("s"), "v", "n", "s", "c")).alias("m")).select("token", *[F.col(f"m.{x}").alias(f"l{x}") for x in ("v", "n", "s", "c")])
