@@ -11,8 +11,10 @@ and leaves, and arrays of equal size class merge. Where suffixes share their lea
 matches), the blocks' windows go through a second family one by one. Only first occurrences stay in a family, and batches send
 each block once, so a passage in a third of all documents is one entry; fingerprints have 128 bits.
 
-Edge cases: null and empty texts, and those shorter than ``length``, lose nothing; rows with a null id are returned whole and never matched;
-rows with equal ids are taken for copies of one row and are not matched with each other; an empty table gives an empty table.
+Edge cases: null and empty texts, and those shorter than ``length``, lose nothing; texts of any length are read whole; rows with a null id are
+returned whole and never matched; rows that repeat an id and its text are copies of one row and not matched with each other; rows with equal
+ids and different texts are documents of their own, one after another by the hash of their texts; ties can't occur, since no two places are
+equal in this order; further columns go through untouched, helper columns get free names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -74,10 +76,18 @@ def spans_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix64((sums[end] - sums[start]) * _power_table("down", len(raw))[start] + (end - start).astype("u8") * _M[1])
 
 
-ENTRY = np.dtype([("key", "u8"), ("block", "u8"), ("doc", "i8"), ("at", "u4"), ("n", "u2"), ("d", "u2")])
+#: alt tells texts that share an id apart; it is 0 for all others, and then costs nothing when entries are packed.
+ENTRY = np.dtype([("key", "u8"), ("block", "u8"), ("doc", "i8"), ("alt", "u8"), ("at", "u4"), ("n", "u2"), ("d", "u2")])
+#: The order of places in the corpus.
+PLACE = ("doc", "alt", "at")
 
 
-def entries(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int, segment: int = 1 << 18) -> np.ndarray:
+def precedes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each place in ``a`` comes before the one in ``b``."""
+    return (a["doc"] < b["doc"]) | ((a["doc"] == b["doc"]) & ((a["alt"] < b["alt"]) | ((a["alt"] == b["alt"]) & (a["at"] < b["at"]))))
+
+
+def entries(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, alts: np.ndarray, length: int, segment: int = 1 << 18) -> np.ndarray:
     """The blocks of all texts: fingerprints, id, first window's start and number of windows."""
     out = []
     total = len(raw)
@@ -101,7 +111,7 @@ def entries(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int,
         e = np.zeros(len(first), ENTRY)
         # least hashes are small numbers; mixed once more they spread evenly over the buckets
         e["key"], e["block"] = mix64(h[anchor[first]] ^ _M[3]), spans_hash(part, first, last - 1 + length) + (anchor[first] - first).astype("u8") * _M[2]
-        e["doc"], e["at"], e["n"], e["d"] = ids[owner[first]], first + lo - offsets[owner[first]], last - first, anchor[first] - first
+        e["doc"], e["alt"], e["at"], e["n"], e["d"] = ids[owner[first]], alts[owner[first]], first + lo - offsets[owner[first]], last - first, anchor[first] - first
         out.append(e)
     return np.concatenate(out) if out else np.zeros(0, ENTRY)
 
@@ -110,7 +120,7 @@ def entries(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int,
 _STRIDE = 16
 
 
-def pack_windows(raw: np.ndarray, docs: np.ndarray, start: np.ndarray, n: np.ndarray, d: np.ndarray, at: np.ndarray, length: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+def pack_windows(raw: np.ndarray, docs: np.ndarray, alts: np.ndarray, start: np.ndarray, n: np.ndarray, d: np.ndarray, at: np.ndarray, length: int, buckets: int) -> Iterator[tuple[int, bytes]]:
     """Blocks with the fingerprint of each of their windows, by owner. start: where a block begins in raw; at: in its own text."""
     # cut blocks where the windows' distance from the anchor passes a multiple of the stride
     steps = (d.astype("i8") // _STRIDE) - ((d.astype("i8") - n + 1) // _STRIDE) + 1
@@ -132,15 +142,15 @@ def pack_windows(raw: np.ndarray, docs: np.ndarray, start: np.ndarray, n: np.nda
         x, y = cuts[o], cuts[o + 1]
         if y > x:
             lo, hi = (ends[x - 1] if x else 0), ends[y - 1]
-            yield o, squeeze(key[x:y], docs[b[x:y]], (at[b[x:y]] + skip[x:y]).astype("u4"), count[x:y].astype("u2"), prints[lo:hi])
+            yield o, squeeze(key[x:y], docs[b[x:y]], alts[b[x:y]], (at[b[x:y]] + skip[x:y]).astype("u4"), count[x:y].astype("u2"), prints[lo:hi])
 
 
 def unpack_windows(blob) -> np.ndarray:
     """One entry a window; its key mixes the anchor's fingerprint with the window's, so that keys hardly repeat."""
-    key, doc, at, count, prints = unsqueeze(blob)
+    key, doc, alt, at, count, prints = unsqueeze(blob)
     e = np.zeros(len(prints), ENTRY)
     count = count.astype("i8")
-    e["key"], e["block"], e["doc"], e["n"] = mix64(np.repeat(key, count) + prints * _M[1]), prints, np.repeat(doc.view("i8"), count), 1
+    e["key"], e["block"], e["doc"], e["alt"], e["n"] = mix64(np.repeat(key, count) + prints * _M[1]), prints, np.repeat(doc.view("i8"), count), np.repeat(alt, count), 1
     e["at"] = np.repeat(at.astype("i8"), count) + np.arange(len(prints)) - np.repeat(np.cumsum(count) - count, count)
     return e
 
@@ -162,7 +172,7 @@ def order(e: np.ndarray) -> np.ndarray:
         run[1:] |= same
         run[:-1] |= same
         part = e[run]
-        e[run] = part[np.lexsort((part["at"], part["doc"], part["block"], part["key"]))]
+        e[run] = part[np.lexsort((*[part[c] for c in reversed(PLACE)], part["block"], part["key"]))]
     return e
 
 
@@ -173,7 +183,7 @@ def first_of_each(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     again = np.zeros(len(e), bool)
     again[1:] = (e["key"][1:] == e["key"][:-1]) & (e["block"][1:] == e["block"][:-1])
     head = np.maximum.accumulate(np.where(again, 0, np.arange(len(e))))
-    same_row = (e["doc"] == e["doc"][head]) & (e["at"] == e["at"][head])
+    same_row = np.logical_and.reduce([e[c] == e[c][head] for c in PLACE])
     return e[~again], e[again & ~same_row]
 
 
@@ -196,8 +206,8 @@ class Family:
                 j = _lower_bound(level["block"], batch["block"][i], low[i], high)
                 there = (j < high) & (level["block"][np.minimum(j, len(level) - 1)] == batch["block"][i])
                 i, j = i[there], j[there]
-                later = (batch["doc"][i] > level["doc"][j]) | ((batch["doc"][i] == level["doc"][j]) & (batch["at"][i] > level["at"][j]))
-                earlier = (batch["doc"][i] < level["doc"][j]) | ((batch["doc"][i] == level["doc"][j]) & (batch["at"][i] < level["at"][j]))
+                mine, theirs = batch[i], level[j]
+                later, earlier = precedes(theirs, mine), precedes(mine, theirs)
                 alive_batch[i[~earlier]] = False
                 alive_level[j[earlier]] = False
                 yield batch[i[later]]
@@ -250,7 +260,7 @@ def gathered(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[int, np.
         yield now, np.concatenate(held), True
 
 
-_FOUND = "kind int, doc long, run long"
+_FOUND = "kind int, doc long, alt long, run long"
 #: Kinds of rows between the passes.
 REPEAT, OPEN = 0, 1
 
@@ -258,19 +268,19 @@ REPEAT, OPEN = 0, 1
 def _found(kind: int, e: np.ndarray) -> pa.RecordBatch:
     """Blocks as rows; a run is start << 32 | anchor's distance << 16 | number of windows."""
     run = e["at"].astype("i8") << 32 | e["d"].astype("i8") << 16 | e["n"].astype("i8")
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(e), kind, "i4")), pa.array(e["doc"].astype("i8")), pa.array(run)], names=["kind", "doc", "run"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(e), kind, "i4")), pa.array(e["doc"].astype("i8")), pa.array(e["alt"].astype("u8").view("i8")), pa.array(run)], names=["kind", "doc", "alt", "run"])
 
 
 def pack(e: np.ndarray) -> bytes:
     """Entries column by column, compressed."""
     base = e["doc"].min() if len(e) else np.int64(0)
-    return squeeze(np.array([base], "i8"), *[np.ascontiguousarray(e[c]) for c in ("key", "block", "at", "n", "d")], (e["doc"] - base).astype("u8"))
+    return squeeze(np.array([base], "i8"), *[np.ascontiguousarray(e[c]) for c in ("key", "block", "alt", "at", "n", "d")], (e["doc"] - base).astype("u8"))
 
 
 def unpack(blob) -> np.ndarray:
-    base, key, block, at, n, d, doc = unsqueeze(blob)
+    base, key, block, alt, at, n, d, doc = unsqueeze(blob)
     e = np.empty(len(key), ENTRY)
-    e["key"], e["block"], e["at"], e["n"], e["d"], e["doc"] = key, block, at, n, d, doc.view("i8") + base.view("i8")[0]
+    e["key"], e["block"], e["alt"], e["at"], e["n"], e["d"], e["doc"] = key, block, alt, at, n, d, doc.view("i8") + base.view("i8")[0]
     return e
 
 
@@ -324,7 +334,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adjoining and overlapping runs of windows of each document as one: start << 32 | number of windows."""
     for b in batches:
         out = []
-        for runs in b.column(1):
+        for runs in b.column(2):
             x = np.sort(np.asarray(runs.values, "i8"))
             start = x >> 32
             reach = np.maximum.accumulate(start + (x & 0xFFFF))
@@ -334,7 +344,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append(start[new] << 32 | (stop - start[new]))
         lengths = np.array([len(x) for x in out], "i4")
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, "i8")))
-        yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc", "runs"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["doc", "alt", "runs"])
 
 
 def _batch(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -349,57 +359,85 @@ def _emit(e: np.ndarray, buckets: int) -> pa.RecordBatch:
     return _batch(out)
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, buckets: int | None = None, batch_bytes: int = 8 << 20, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(doc, runs array<long>): start << 32 | number of every maximal run of removed windows, a row for each document that has any."""
+#: Bytes of text whose entries one bucket holds in memory, where the input is large.
+BUCKET_BYTES = 32 << 20
+
+
+def survey(docs: DataFrame, key: str, text: str) -> tuple[DataFrame | None, int]:
+    """(ids that stand with different texts, if there are any; bytes of all texts)."""
+    rows = docs.where(F.col(key).isNotNull())
+    marks = rows.select(F.col(key).cast("long").alias("several"), F.xxhash64(text).alias("h")).groupBy("several").agg(F.min("h").alias("x"), F.max("h").alias("y"))
+    several = materialise(marks.where("x <> y").select("several"))
+    return (None if several.isEmpty() else several), docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def with_alt(rows: DataFrame, several: DataFrame | None, key: str, text: str, name: str, broadcast_rows: int) -> DataFrame:
+    """``rows`` with a column that tells texts of one id apart: a hash of the text where the id has several, else 0."""
+    if several is None:
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    (mark,) = fresh(rows, "_several")
+    ids = several.select(F.col("several").alias(mark))
+    joined = rows.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, F.col(key).cast("long") == F.col(mark), "left")
+    return joined.withColumn(name, F.when(F.col(mark).isNotNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))).drop(mark)
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, buckets: int | None = None, batch_bytes: int = 8 << 20, broadcast_rows: int = 2_000_000, known: tuple[DataFrame | None, int] | None = None) -> DataFrame:
+    """(doc, alt, runs array<long>): start << 32 | number of every maximal run of removed windows, a row for each text that has any.
+
+    known: what :func:`survey` says, if that is known already.
+    """
     if length < 2 * GRAM:
         raise ValueError(f"repeats of at least {2 * GRAM} bytes only")
-    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    several, total = known or survey(docs, key, text)
+    buckets = buckets or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.octet_length("text") >= length)
+    rows = with_alt(rows, several, "doc", "text", "alt", broadcast_rows)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, batch_bytes, 1 << 20):
             raw, offsets = text_bytes(b.column(1))
-            e = entries(raw, offsets, np.asarray(b.column(0), "i8"), length)
+            e = entries(raw, offsets, np.asarray(b.column(0), "i8"), np.asarray(b.column(2), "i8").view("u8"), length)
             if len(e):
                 yield _emit(e, buckets)
 
     sent = rows.mapInArrow(scan, "bucket long, blob binary")
     found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_own, _FOUND)
-    found = materialise(found.groupBy("kind", "doc").agg(F.collect_list("run").alias("runs")))
+    found = materialise(found.groupBy("kind", "doc", "alt").agg(F.collect_list("run").alias("runs")))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in pieces(batches, batch_bytes // 8, 1 << 20):
             raw, offsets = text_bytes(whole.column(1))
-            runs = whole.column(2)
+            runs = whole.column(3)
             counts = np.diff(np.asarray(runs.offsets, "i8"))
             x = np.asarray(runs.flatten(), "i8")
             doc = np.repeat(np.arange(len(counts)), counts)
             at, d, n = x >> 32, x >> 16 & 0xFFFF, x & 0xFFFF
-            ids = np.asarray(whole.column(0), "i8")
+            ids, alts = np.asarray(whole.column(0), "i8"), np.asarray(whole.column(2), "i8").view("u8")
             start = offsets[:-1][doc] + at
             for lo in range(0, len(x), 1 << 13):  # a bounded number of windows at a time
                 part = slice(lo, lo + (1 << 13))
                 a, z = int(start[part].min()), int((start[part] + n[part]).max()) + length - 1
-                yield _batch(list(pack_windows(raw[a:z], ids[doc[part]], start[part] - a, n[part], d[part], at[part], length, buckets)))
+                yield _batch(list(pack_windows(raw[a:z], ids[doc[part]], alts[doc[part]], start[part] - a, n[part], d[part], at[part], length, buckets)))
 
-    open_ = found.where(F.col("kind") == OPEN).select("doc", "runs")
+    open_ = found.where(F.col("kind") == OPEN).select("doc", "alt", "runs")
     n_open = open_.agg(F.sum(F.size("runs"))).first()[0] or 0
     # a checked size lets the texts stay where they are; beyond it, they are shuffled to their open blocks
-    again = rows.join(F.broadcast(open_) if n_open <= broadcast_rows else open_, "doc").mapInArrow(resolve, "bucket long, blob binary")
+    again = rows.join(F.broadcast(open_) if n_open <= broadcast_rows else open_, ["doc", "alt"]).select("doc", "text", "alt", "runs").mapInArrow(resolve, "bucket long, blob binary")
     more = again.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_own_windows, _FOUND)
-    more = more.groupBy("doc").agg(F.collect_list("run").alias("runs"))
-    both = found.where(F.col("kind") == REPEAT).select("doc", "runs").union(more)
-    return materialise(both.groupBy("doc").agg(F.flatten(F.collect_list("runs")).alias("runs")).mapInArrow(_merge, "doc long, runs array<long>"))
+    more = more.groupBy("doc", "alt").agg(F.collect_list("run").alias("runs"))
+    both = found.where(F.col("kind") == REPEAT).select("doc", "alt", "runs").union(more)
+    return materialise(both.groupBy("doc", "alt").agg(F.flatten(F.collect_list("runs")).alias("runs")).mapInArrow(_merge, "doc long, alt long, runs array<long>"))
 
 
 def cut_out(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, **options) -> DataFrame:
     """The columns of ``docs``, and four more at the end: bytes, removed bytes, removed runs, the remaining bytes."""
-    found = repeats(docs, key, text, length, **options)
-    n_runs = found.agg(F.sum(F.size("runs"))).first()[0] or 0
-    few = n_runs <= options.get("broadcast_rows", 2_000_000)
-    doc, starts = fresh(docs, "_doc", "_starts")
-    found = found.select(F.col("doc").alias(doc), F.col("runs").alias(starts))
-    joined = docs.join(F.broadcast(found) if few else found, F.col(key) == F.col(doc), "left").drop(doc)
+    known, most = survey(docs, key, text), options.get("broadcast_rows", 2_000_000)
+    found = repeats(docs, key, text, length, known=known, **options)
+    few = (found.agg(F.sum(F.size("runs"))).first()[0] or 0) <= most
+    doc, starts, mine, other = fresh(docs, "_doc", "_starts", "_mine", "_other")
+    found = found.select(F.col("doc").alias(doc), F.col("alt").alias(other), F.col("runs").alias(starts))
+    marked = with_alt(docs, known[0], key, text, mine, most)
+    joined = marked.join(F.broadcast(found) if few else found, (F.col(key).cast("long") == F.col(doc)) & (F.col(mine) == F.col(other)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], starts)
     more = fresh(docs, "_n_bytes", "_n_removed", "_n_spans", "_kept")
     names = [*docs.columns, *more]
     at_text, at_starts = docs.columns.index(text), len(docs.columns)
