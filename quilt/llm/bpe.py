@@ -1,12 +1,14 @@
 """BPE encoding and decoding by a bounded-lookahead streaming transducer.
 
-The merge list fixes how far to the right of a token boundary text can still matter. That *sufficient lookahead* is computed once
-from the merges (:func:`sufficient_lookahead`); the encoder then keeps one buffer of a fixed size, and emits tokens as soon as the
-lookahead lies behind them. The decoder is an incremental state machine from token ids to text that holds back at most the bytes of
-one unfinished character.
-
-Edge cases: a null or empty text has no tokens; text of any length is encoded whole; strings of special tokens in a text become
-these tokens, as the public library does by default; repeated rows give repeated results; an empty table gives an empty table.
+A text is read once, in pieces. Normalising, splitting and merging each keep only what later pieces can still change: a canonical segment, the
+last word, and, within a word, as many symbols as the *sufficient lookahead*. That lookahead is how far to the right of a token boundary
+text can still matter; the merge list fixes it, and it is computed once (:func:`sufficient_lookahead`). Tokens are emitted as soon as they are stable: at
+the end of their word, or when the lookahead lies behind them. The decoder is an incremental state machine from token ids to text that
+holds back at most the bytes of one unfinished character.
+
+Edge cases: a null or empty text has no tokens; text of any length is encoded whole, in memory that doesn't grow with it or with a single long
+word; strings of special tokens in a text become these tokens, as the public library does by default; pairs of equal rank merge from left to
+right; repeated rows give repeated results; only the key and the text are read, so further columns can't clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -61,6 +63,13 @@ def splitter(most: int = 0x10FFFE) -> re.Pattern:
     return re.compile(f"[{letters}]+|[{numbers}]|'s|'t|'re|'ve|'m|'ll|'d|[^{space}{letters}{numbers}]+")
 
 
+@functools.cache
+def runs() -> tuple[re.Pattern, re.Pattern]:
+    """Letters, and what is neither letter, number nor white space, as many as follow."""
+    whole = splitter().pattern
+    return re.compile(whole[: whole.index("+")] + "*"), re.compile(whole[whole.rindex("[") : -1] + "*")
+
+
 def sufficient_lookahead(merges: list[tuple[str, str]], length=len) -> int:
     """Symbols to the right of a token's end after which its boundary can no longer change.
 
@@ -101,10 +110,114 @@ class Words(dict):
         return value
 
 
+@functools.cache
+def joining() -> frozenset[str]:
+    """Characters that normalisation can join with what stands before them: marks, and the later parts of compositions."""
+    out = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in map(chr, range(0x80, 0x110000)):
+        if unicodedata.combining(c):
+            out.add(c)
+        parts = unicodedata.decomposition(c).split(" ")
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            out.add(chr(int(parts[1], 16)))
+    return frozenset(out)
+
+
+def pieces_of(text: str, begin: int, end: int, size: int) -> Iterator[tuple[str, bool]]:
+    """(piece, whether it ends inside a run without white space) of ``text[begin:end]``, cut where normalisation can't reach across."""
+    at = begin
+    while end - at > size:
+        cut = max(text.rfind(" ", at + 1, at + size), text.rfind("\n", at + 1, at + size))
+        inside = cut < 0
+        if inside:
+            cut = at + size
+            while cut < end and text[cut] > "\x7f" and text[cut] in joining():
+                cut += 1
+        if cut < end:
+            yield text[at:cut], inside
+            at = cut
+        else:
+            break
+    yield text[at:end], False
+
+
+class WordStream:
+    """Encoder of one word that arrives in pieces; the buffer never exceeds a block, a piece and the lookahead."""
+
+    def __init__(self, t: Transducer):
+        self.t, self.buffer = t, []
+
+    def push(self, data: bytes) -> Iterator[int]:
+        """Ids of the tokens that are stable now."""
+        t = self.t
+        for at in range(0, len(data), t.block):
+            self.buffer += [t.alphabet[b] for b in data[at : at + t.block]]
+            while len(self.buffer) >= t.block + t.lookahead:
+                settled, used = len(self.buffer) - t.lookahead - 1, 0
+                for token in t.merge(self.buffer.copy()):
+                    if used + len(token) > settled:
+                        break
+                    yield t.vocab[token]
+                    used += len(token)
+                if not used:
+                    raise RuntimeError("no token became stable within the lookahead")
+                del self.buffer[:used]
+
+    def close(self) -> Iterator[int]:
+        """The word ends here."""
+        if self.buffer:
+            self.buffer[-1] += SUFFIX
+            for token in self.t.merge(self.buffer):
+                yield self.t.vocab[token]
+            self.buffer = []
+
+
+class Decoder:
+    """Incremental machine from token ids to text; :meth:`feed` takes further ids, :meth:`close` ends the text.
+
+    With ``readable`` the tokens' bytes are decoded as UTF-8, at most one unfinished character is held back, and word ends become spaces. Else
+    bytes become their printable stand-ins and a space parts the tokens, which is what a vocabulary file without a decoding step asks for.
+    """
+
+    def __init__(self, t: Transducer, readable: bool = False):
+        self.t, self.readable, self.begun = t, readable, False
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: Iterable[int]) -> str:
+        out = []
+        for i in ids:
+            if (token := self.t.bytes_of_token.get(i)) is None:
+                continue
+            data, ends, special = token
+            if not self.readable:
+                shown = special or "".join(map(self.t.alphabet.__getitem__, data)) + SUFFIX * ends
+                out.append(" " + shown if self.begun else shown)
+            elif special:
+                out.append(self.machine.decode(b"", True) + special)
+                self.machine.reset()
+            else:
+                out.append(self.machine.decode(data, ends) + " " * ends)
+            self.begun = True
+        return "".join(out)
+
+    def feed_words(self, chunks: list[str]) -> str:
+        """The same for words whose ids are joined by spaces. Stand-ins carry no state from word to word but the space between them, so words are kept."""
+        if self.readable:
+            return "".join(self.feed(map(int, c.split(" "))) for c in chunks)
+        out = " ".join(map(self.t.shown.__getitem__, chunks))
+        if self.begun and chunks:
+            out = " " + out
+        self.begun = self.begun or bool(chunks)
+        return out
+
+    def close(self) -> str:
+        return self.machine.decode(b"", True)
+
+
 class Transducer:
     """Encoder and decoder of one vocabulary file of byte-level symbols with word ends."""
 
-    def __init__(self, path: str, block: int = 4096):
+    def __init__(self, path: str, block: int = 4096, piece: int = 1 << 16):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -114,14 +227,16 @@ class Transducer:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {m: i for i, m in reversed(list(enumerate(merges)))}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.alphabet = byte_alphabet()
-        self.bytes_of = {c: b for b, c in self.alphabet.items()}
+        stand_ins = {c: b for b, c in self.alphabet.items()}
+        #: Of each id: its bytes, whether a word ends with it, and the string of a special token.
+        self.bytes_of_token = {i: (bytes(stand_ins[c] for c in x.removesuffix(SUFFIX)), x.endswith(SUFFIX), "") for x, i in self.vocab.items() if x not in self.special}
+        self.bytes_of_token |= {i: (b"", False, x) for x, i in self.special.items()}
         self.lookahead = sufficient_lookahead(merges, lambda s: len(s.removesuffix(SUFFIX)))
-        self.block = max(block, 2 * self.lookahead)
-        self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.block, self.piece = max(block, 2 * self.lookahead), max(piece, 1024)
+        self.special_find = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words = Words(lambda w: " ".join(map(str, self.encode_word(w))))
-        self.shown = Words(lambda ids: " ".join(self.strings[int(i)] for i in ids.split(" ")))
+        self.shown = Words(lambda ids: Decoder(self).feed(map(int, ids.split(" "))))
 
     # encoding
 
@@ -161,78 +276,86 @@ class Transducer:
         return symbols
 
     def stream_word(self, pieces: Iterable[bytes]) -> Iterator[int]:
-        """Token ids of one word that arrives in pieces; the buffer never exceeds a block, a piece and the lookahead."""
-        buffer: list[str] = []
+        """Token ids of one word that arrives in pieces."""
+        word = WordStream(self)
         for piece in pieces:
-            buffer += [self.alphabet[b] for b in piece]
-            while len(buffer) >= self.block + self.lookahead:
-                settled, used = len(buffer) - self.lookahead - 1, 0
-                for token in self.merge(buffer.copy()):
-                    if used + len(token) > settled:
-                        break
-                    yield self.vocab[token]
-                    used += len(token)
-                if not used:
-                    raise RuntimeError("no token became stable within the lookahead")
-                del buffer[:used]
-        if buffer:
-            buffer[-1] += SUFFIX
-            for token in self.merge(buffer):
-                yield self.vocab[token]
+            yield from word.push(piece)
+        yield from word.close()
 
     def encode_word(self, word: str) -> list[int]:
-        data = word.encode("utf-8", "surrogatepass")
-        if len(data) <= 48:
-            return [self.vocab[x] for x in self._merge_short([*map(self.alphabet.__getitem__, data[:-1]), self.alphabet[data[-1]] + SUFFIX])]
-        return list(self.stream_word(data[i : i + self.block] for i in range(0, len(data), self.block)))
+        return list(self.stream_word([word.encode("utf-8", "surrogatepass")]))
 
-    def _plain(self, text: str) -> list[str]:
+    def _normal(self, text: str) -> str:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # case is mapped character by character, without the final form
-        text = text.lower()
+        return text.lower()
+
+    def _split(self, text: str) -> list[str]:
         return (splitter() if _BEYOND.search(text) else splitter(LATIN)).findall(text)
 
-    def chunks(self, text: str | None) -> Iterator[str]:
-        """For each word or special token, its ids in decimal, joined by spaces."""
-        if not text:
-            return
-        if self.special_split and "<|" in text:
-            for part in self.special_split.split(text):
-                if part in self.special:
-                    yield str(self.special[part])
-                elif part:
-                    yield from map(self.words.__getitem__, self._plain(part))
-        else:
-            yield from map(self.words.__getitem__, self._plain(text))
+    def _span(self, text: str, begin: int, end: int) -> Iterator[list[str]]:
+        """Words of a stretch without special tokens, piece by piece: of each word its ids in decimal, joined by spaces."""
+        rest, word, kind = "", None, None
+        for piece, inside in pieces_of(text, begin, end, self.piece):
+            piece = rest + self._normal(piece)
+            rest, out = "", []
+            if word:  # a word that is longer than a piece goes on as long as its kind of characters does
+                run = kind.match(piece).end()
+                ids = [*word.push(piece[:run].encode("utf-8", "surrogatepass"))]
+                piece = piece[run:]
+                if piece or not inside:
+                    ids += word.close()
+                    word = None
+                out += map(str, ids)
+            found = self._split(piece)
+            if inside and found and not word and piece.endswith(found[-1]):
+                # what later text can change: the last word, and an apostrophe before it
+                held = [found.pop()]
+                if found and found[-1].endswith("'") and len(held[0]) == 1 and piece.endswith(found[-1] + held[0]):
+                    held.insert(0, found.pop())
+                rest = "".join(held)
+                if len(held) == 1 and len(rest) > 256:
+                    letters, others = runs()
+                    kind = letters if letters.match(rest).end() else others
+                    word = WordStream(self)
+                    out += map(self.words.__getitem__, found)
+                    out += map(str, word.push(rest.encode("utf-8", "surrogatepass")))
+                    rest, found = "", []
+            out += map(self.words.__getitem__, found)
+            if out:
+                yield out
+
+    def stream(self, text: str | None) -> Iterator[list[str]]:
+        """For each piece of a text, its words and special tokens, each as its ids in decimal, joined by spaces."""
+        at, n = 0, len(text or "")
+        if n and self.special_find and "<|" in text:
+            for m in self.special_find.finditer(text):
+                yield from self._span(text, at, m.start())
+                yield [str(self.special[m[0]])]
+                at = m.end()
+        if at < n:
+            yield from self._span(text, at, n)
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for chunk in self.chunks(text) for i in chunk.split(" ")]
+        return [int(i) for chunks in self.stream(text) for chunk in chunks for i in chunk.split(" ")]
 
     # decoding
 
     def token_strings(self, ids: Iterable[int]) -> Iterator[str]:
+        """The stand-in string of each known token."""
         for i in ids:
-            if i in self.strings:
-                yield self.strings[i]
+            if out := Decoder(self).feed([i]):
+                yield out
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """Readable text, piece by piece: bytes go through an incremental UTF-8 machine, word ends become spaces."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        """Readable text, piece by piece."""
+        machine = Decoder(self, readable=True)
         for i in ids:
-            token = self.strings.get(i)
-            if token is None:
-                continue
-            if token in self.special:
-                yield machine.decode(b"", True) + token
-                machine.reset()
-                continue
-            ends = token.endswith(SUFFIX)
-            data = bytes(self.bytes_of[c] for c in token.removesuffix(SUFFIX))
-            if out := machine.decode(data, ends) + " " * ends:
+            if out := machine.feed([i]):
                 yield out
-        if out := machine.decode(b"", True):
+        if out := machine.close():
             yield out
 
 
@@ -259,9 +382,9 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of the same transducer, without shipping the ids.
+    """(key, n_tokens, ids_sha256, decoded_sha256): encoder and decoder run piece by piece, and each piece goes into the digests at once.
 
-    ``decoded`` is what a decoder without a decoding step gives: the tokens' strings joined by spaces.
+    ``decoded`` is what a vocabulary file without a decoding step asks for: the tokens' stand-in strings, parted by spaces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,11 +392,16 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         for b in batches:
             n, ids_sha, text_sha = [], [], []
             for x in b.column(1):
-                chunks = list(t.chunks(x.as_py()))
-                ids = " ".join(chunks)
-                n.append(ids.count(" ") + 1 if ids else 0)
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(" ".join(map(t.shown.__getitem__, chunks)).encode()).hexdigest())
+                count, one, two, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(t)
+                for chunks in t.stream(x.as_py()):
+                    ids = " ".join(chunks)
+                    one.update((" " + ids if count else ids).encode())
+                    two.update(decoder.feed_words(chunks).encode())
+                    count += ids.count(" ") + 1
+                two.update(decoder.close().encode())
+                n.append(count)
+                ids_sha.append(one.hexdigest())
+                text_sha.append(two.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
