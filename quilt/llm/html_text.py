@@ -1,11 +1,14 @@
 """Main text of web pages by two-pass block rules.
 
-Pass one cuts a page into blocks and classifies each by stop-word density, length and link density, together with what its containers
-say (navigation, footers, adverts and the like are boilerplate; an article or main element marks content). Pass two lets blocks that
-stay ambiguous inherit from their nearest decided neighbours of the same region.
+Pass one cuts a page into blocks and classifies each by link density, length and stop-word density, inside articles as outside. What
+the containers say comes before (navigation, footers, adverts and the like are boilerplate, as is what lies outside the article of a page that marks one) and
+lowers the demand on blocks inside an article or a container that is named like one: there, a block of few stop words is ambiguous, not
+boilerplate. Pass two lets blocks that stay ambiguous inherit from their nearest decided neighbours of the same region; where a region
+has none, its container decides.
 
 Edge cases: null or empty html gives an empty text; unclosed tags, comments and scripts end with the page; pages of any length are
-read whole; repeated rows give repeated results; an empty table gives an empty table.
+read whole; an ambiguous block between two neighbours at the same distance goes with the good one; repeated rows give repeated results; a null
+id or url stays null; only the key, the url and the html are read, so further columns can't clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ _BLOCK = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
     header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BOILER_TAGS = frozenset("nav footer aside form menu dialog button label fieldset".split())
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -59,14 +63,14 @@ _SPACES = re.compile(r"\s+")
 
 
 class Block:
-    """One run of text between block boundaries: pieces, characters in links, region and container verdict."""
+    """One run of text between block boundaries: pieces, characters in links, region, container verdict, and the rule that decided."""
 
-    __slots__ = ("boiler", "linked", "main", "pieces", "region", "tag", "text", "verdict")
+    __slots__ = ("boiler", "linked", "main", "pieces", "region", "rule", "tag", "text", "verdict")
 
     def __init__(self, tag: str, boiler: int, main: int, region: int):
         self.tag, self.boiler, self.main, self.region = tag, boiler, main, region
         self.pieces: list[str] = []
-        self.linked, self.text, self.verdict = 0, "", ""
+        self.linked, self.text, self.verdict, self.rule = 0, "", "", ""
 
 
 #: How surely a container is boilerplate: a name that is usual for outer parts of a page yields to an article inside it.
@@ -212,67 +216,88 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def classify(found: list[Block], short: int = 70, long: int = 200, low: float = 0.12, high: float = 0.28, links: float = 0.4) -> None:
+def classify(found: list[Block], stub: int = 15, short: int = 70, long: int = 200, low: float = 0.12, high: float = 0.28, links: float = 0.4) -> None:
     """Pass one: good, bad, near (rather good) or short (ambiguous)."""
     for b in found:
         size = len(b.text)
         density = min(1.0, b.linked / max(1, size))
-        if b.boiler or (density > links and (b.main < MARKED or (b.tag == "li" or density > 0.9 and size < short))):
-            b.verdict = "bad"
-        elif b.main == MARKED:
-            b.verdict = "good" if size >= 15 or b.tag in ("h1", "h2", "h3", "h4", "h5", "h6") else "short"
+        if b.boiler:
+            b.verdict, b.rule = "bad", "container"
+        elif density > links and (b.main < MARKED or b.tag == "li" or (density > 0.9 and size < short)):
+            b.verdict, b.rule = "bad", "link density"
         elif not b.main and "©" in b.text[:200] and size < long:
-            b.verdict = "bad"
+            b.verdict, b.rule = "bad", "copyright sign"
+        elif size < short:
+            b.verdict = "short"
         else:
             words = _WORD.findall(b.text.lower())
             stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if size < short:
+            # in an article the middling density that is rather good elsewhere is enough
+            if size >= long and stop >= (low if b.main == MARKED else high):
+                b.verdict, b.rule = "good", "stop-word density"
+            elif stop >= low:
+                b.verdict = "near"
+            elif b.main:
                 b.verdict = "short"
-            elif stop >= high:
-                b.verdict = "good" if size >= long else "near"
             else:
-                b.verdict = "near" if stop >= low else "short" if b.main else "bad"
+                b.verdict, b.rule = "bad", "stop-word density"
+        if b.verdict == "short" and b.main == MARKED and (size >= stub or b.tag in _HEADINGS):
+            b.verdict = "near"
 
 
 def inherit(found: list[Block]) -> None:
     """Pass two: ambiguous blocks take the label of their nearest decided neighbour of the same region.
 
-    With decided neighbours on both sides that differ, the nearer one counts (the good one for rather good blocks). Without any, a block
+    With decided neighbours on both sides that differ, the nearer one counts (the good one for rather good blocks and those of content
+    regions). Without a good one, an article's blocks are good unless they are stubs beside a bad one; without any, a block
     of a content region is good, a rather good one too, and any other is bad.
     """
     n = len(found)
-    before: list[tuple[int, str] | None] = [None] * n
-    after: list[tuple[int, str] | None] = [None] * n
-    for seen, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
-        last: dict[int, tuple[int, str]] = {}
-        for i in order:
-            seen[i] = last.get(found[i].region)
-            if found[i].verdict in ("good", "bad") and (not found[i].boiler or not found[i].region):
-                last[found[i].region] = (i, found[i].verdict)
-    for i, b in enumerate(found):
-        if b.verdict in ("good", "bad"):
-            continue
-        sides = [s for s in (before[i], after[i]) if s]
-        if not sides:
-            good = b.main or b.verdict == "near"
-        elif b.main or b.verdict == "near":
-            good = any(s[1] == "good" for s in sides) or not any(s[1] == "bad" for s in sides)
-        else:
-            good = min(sides, key=lambda s: (abs(s[0] - i), s[1] != "good"))[1] == "good"
-        b.verdict = "kept" if good else "dropped"
+    label = {"good": "good", "kept": "good", "bad": "bad", "dropped": "bad"}
+    for kind in ("near", "short"):  # rather good blocks first, so that short ones between them find a neighbour
+        sides: list[list[tuple[int, str]]] = [[] for _ in found]
+        for order in (range(n), range(n - 1, -1, -1)):
+            last: dict[int, tuple[int, str]] = {}
+            for i in order:
+                b = found[i]
+                if b.region in last:
+                    sides[i].append(last[b.region])
+                # what stands in a menu or an advert says nothing about the text beside it
+                if b.verdict in label and not b.boiler:
+                    last[b.region] = (i, label[b.verdict])
+        for i, b in enumerate(found):
+            if b.verdict != kind:
+                continue
+            b.rule = "neighbours"
+            if any(s[1] == "good" for s in sides[i]) and (b.main or kind == "near"):
+                good = True
+            elif b.main == MARKED and kind == "near":
+                good, b.rule = True, "container"
+            elif not sides[i]:
+                good, b.rule = bool(b.main) or kind == "near", "no neighbours"
+            elif b.main or kind == "near":
+                good = False
+            else:
+                good = min(sides[i], key=lambda s: (abs(s[0] - i), s[1] != "good"))[1] == "good"
+            b.verdict = "kept" if good else "dropped"
 
 
-def main_text(page: str | None) -> str:
-    """The page's main text: kept blocks in page order, one a line."""
+def judged(page: str | None) -> list[Block]:
+    """The page's blocks with verdict and the rule that gave it."""
     if not page:
-        return ""
+        return []
     found = blocks(page)
     if any(b.main == MARKED for b in found):  # the page marks its content itself: what lies outside is not the article
         for b in found:
             b.boiler = b.boiler if b.main else HARD
     classify(found)
     inherit(found)
-    return "\n".join(b.text for b in found if b.verdict in ("good", "kept"))
+    return found
+
+
+def main_text(page: str | None) -> str:
+    """The page's main text: kept blocks in page order, one a line."""
+    return "\n".join(b.text for b in judged(page) if b.verdict in ("good", "kept"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
