@@ -1,15 +1,18 @@
 """Quality rules: counting rules, then robust multivariate outliers per language and source.
 
 Counting rules reject texts that are very short or repeat themselves. The other rows of each language and source get a
-minimum-covariance-determinant estimate: from coordinate-wise medians and spreads, concentration steps keep the share of rows that lie
-nearest and take mean and covariance of these anew. Rows whose transformed statistics lie beyond a Mahalanobis distance are rejected.
-Medians and quantiles come from histograms, moments from partial sums, so a hot source is added up before anything is shuffled.
-
-Groups of fewer than ``min_group`` rows are pooled by language, and pools that are still too small over everything; a pool below that size
-rejects nothing. Each variance gets a floor, so that statistics that are equal nearly everywhere don't reject small deviations.
-
-Edge cases: a null text has no words and fails the base rules; null language or source is a value of its own; repeated rows count as
-often as they occur; ties in distance stay on one side; an empty table gives an empty table; further columns are ignored.
+minimum-covariance-determinant estimate. From two starts (medians with quartile spreads, without and with sign correlations), concentration steps
+keep the share of rows that lie nearest and take mean and covariance of these anew; of the two ends, the one with the smaller determinant counts. Rows whose
+transformed statistics lie beyond a Mahalanobis distance are rejected. Medians and quantiles come from histograms, moments from partial
+sums, so a hot source is added up before anything is shuffled.
+
+Every row is judged by its own language and source, however few rows these have. A group's mean and covariance are shrunk towards those of its
+language as if ``prior`` further rows had them, a language's towards the corpus's, and the corpus's covariance towards twice the
+floors. Each variance gets a floor, so that statistics that are equal nearly everywhere don't reject small deviations.
+
+Edge cases: a null or empty text has no words and fails the base rules; texts of any length are counted whole; null language or source is a value of
+its own; repeated rows count as often as they occur; ties in distance stay on one side, and of two starts with equal determinants the first counts; an
+empty table gives an empty table; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,25 +110,25 @@ def chi_square(p: float, d: int) -> float:
 
 
 class Estimate:
-    """Robust location and scatter of each group: a table of one row a group with mean m0.. and factor l00.. ."""
-
-    def __init__(self, rows: DataFrame, d: int, floors: tuple[float, ...], share: float, steps: int, bins: int = 32, broadcast_groups: int = 10_000):
-        self.rows, self.d, self.floors, self.share, self.bins = rows, d, floors, share, bins
-        self.few = rows.select("grp").distinct().count() <= broadcast_groups
-        # a robust start, whitened coordinate by coordinate
-        params = self.start()
-        for _ in range(steps):
-            near = self.distances(params).join(self.hint(self.quantile(self.distances(params), share)), "grp").where("d2 < cut")
+    """Robust location and scatter of each group of ``rows`` (grp, x0..): :meth:`best` has a row a group: size, mean m0.., covariance c00.. and its log determinant."""
+
+    def __init__(self, rows: DataFrame, d: int, floors: tuple[float, ...], share: float, steps: int, few: bool, bins: int = 32):
+        self.rows, self.d, self.floors, self.share, self.steps, self.few, self.bins = rows, d, floors, share, steps, few, bins
+
+    def best(self) -> DataFrame:
+        params = self.starts()
+        for _ in range(self.steps):
+            near = self.distances(params).join(self.hint(self.quantile(self.distances(params), ["grp", "s"], self.share)), ["grp", "s"]).where("d2 < cut")
             params = self.moments(near)
-        self.params = params
-        middle = self.quantile(self.distances(params), 0.5).withColumnRenamed("cut", "middle")
-        self.params = materialise(params.join(self.hint(middle), "grp"))
+        ranked = params.groupBy("grp").agg(F.min_by(F.struct(*params.columns), F.struct("logdet", "s")).alias("p"))
+        return materialise(ranked.select("p.*"))
 
     def hint(self, small: DataFrame) -> DataFrame:
-        """Broadcast a table of one row a group only where the groups are known to be few."""
+        """Broadcast a table of one row a group and start only where the groups are known to be few."""
         return F.broadcast(small) if self.few else small
 
-    def start(self) -> DataFrame:
+    def starts(self) -> DataFrame:
+        """(grp, s, m.., l..): medians, with quartile spreads (s = 0) and with sign correlations too (s = 1)."""
         d = self.d
         long = self.rows.select("grp", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(d)])).alias("dim", "x"))
         counts = long.groupBy("grp", "dim", F.floor(F.col("x") * 64).alias("bin")).agg(F.count("*").alias("n"))
@@ -136,11 +139,27 @@ class Estimate:
         floor = F.element_at(F.array(*[F.lit(f) for f in self.floors]), F.col("dim") + 1)
         got = got.withColumn("s", F.greatest(F.col("iqr") / 1.349, floor))
         at = lambda c, i: F.max(F.when(F.col("dim") == i, F.col(c)))
-        return materialise(got.groupBy("grp").agg(*[at("m", i).alias(f"m{i}") for i in range(d)], *[(at("s", i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(d) for j in range(i + 1)]))
+        centre = materialise(got.groupBy("grp").agg(*[at("m", i).alias(f"m{i}") for i in range(d)], *[at("s", i).alias(f"s{i}") for i in range(d)]))
+        sign = [F.signum(F.col(f"x{i}") - F.col(f"m{i}")) for i in range(d)]
+        signs = self.rows.join(self.hint(centre), "grp").groupBy("grp").agg(*[F.avg(sign[i] * sign[j]).alias(f"r{i}{j}") for i in range(d) for j in range(i)])
+        both = centre.join(self.hint(signs), "grp").crossJoin(F.broadcast(self.rows.sparkSession.range(2).select(F.col("id").cast("int").alias("s"))))
+        # a hundredth off the diagonal's equality keeps the matrix of sign correlations positive definite enough
+        turn = lambda i, j: F.when(F.col("s") == 1, 0.99 * F.sin(F.col(f"r{max(i, j)}{min(i, j)}") * (math.pi / 2))).otherwise(F.lit(0.0))
+        cov = [[F.col(f"s{i}") * F.col(f"s{j}") * (F.lit(1.0) if i == j else turn(i, j)) for j in range(d)] for i in range(d)]
+        return self.factored(both, cov, ["grp", "s"])
+
+    def factored(self, rows: DataFrame, cov: list[list[Column]], keep: list[str]) -> DataFrame:
+        """Kept columns, means, covariances c.., their factor l.. and log determinant."""
+        d = self.d
+        low = [(i, j) for i in range(d) for j in range(i + 1)]
+        rows = materialise(rows.select(*keep, *[f"m{i}" for i in range(d)], *[cov[i][j].alias(f"c{i}{j}") for i, j in low]))
+        factor = _cholesky([[F.col(f"c{max(i, j)}{min(i, j)}") for j in range(d)] for i in range(d)])
+        rows = rows.select("*", *[factor[i][j].alias(f"l{i}{j}") for i, j in low])
+        return materialise(rows.withColumn("logdet", 2 * sum((F.log(f"l{i}{i}") for i in range(1, d)), F.log("l00"))))
 
     def distances(self, params: DataFrame) -> DataFrame:
-        """Rows with the squared Mahalanobis distance d2, by forward substitution."""
-        joined = self.rows.join(self.hint(params), "grp")
+        """Rows with the squared Mahalanobis distance d2, by forward substitution; once for each start that ``params`` has."""
+        joined = self.rows.join(self.hint(params.drop("logdet", *[c for c in params.columns if c.startswith("c")])), "grp")
         z: list[str] = []
         for i in range(self.d):
             s = F.col(f"x{i}") - F.col(f"m{i}")
@@ -150,22 +169,38 @@ class Estimate:
             z.append(f"z{i}")
         return joined.withColumn("d2", sum((F.col(c) * F.col(c) for c in z[1:]), F.col(z[0]) * F.col(z[0])))
 
-    def quantile(self, rows: DataFrame, p: float) -> DataFrame:
-        """(grp, cut): upper end of the logarithmic distance bin in which a group's share p of rows is reached."""
-        counts = rows.groupBy("grp", F.floor(F.log(F.greatest("d2", F.lit(1e-9))) * self.bins).alias("bin")).agg(F.count("*").alias("n"))
-        run, whole = Window.partitionBy("grp").orderBy("bin"), Window.partitionBy("grp")
+    def quantile(self, rows: DataFrame, by: list[str], p: float) -> DataFrame:
+        """(by, cut): upper end of the logarithmic distance bin in which a group's share p of rows is reached."""
+        counts = rows.groupBy(*by, F.floor(F.log(F.greatest("d2", F.lit(1e-9))) * self.bins).alias("bin")).agg(F.count("*").alias("n"))
+        run, whole = Window.partitionBy(*by).orderBy("bin"), Window.partitionBy(*by)
         cum = counts.withColumn("c", F.sum("n").over(run)).withColumn("all", F.sum("n").over(whole))
-        return cum.where(F.col("c") >= p * F.col("all")).groupBy("grp").agg(F.exp((F.min("bin") + 1) / F.lit(float(self.bins))).alias("cut"))
+        return cum.where(F.col("c") >= p * F.col("all")).groupBy(*by).agg(F.exp((F.min("bin") + 1) / F.lit(float(self.bins))).alias("cut"))
 
     def moments(self, rows: DataFrame) -> DataFrame:
         d = self.d
-        sums = rows.groupBy("grp").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(d)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)])
+        sums = rows.groupBy("grp", "s").agg(F.count("*").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(d)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"v{i}{j}") for i in range(d) for j in range(i + 1)])
         # the kept part of a normal cloud has less spread than the whole; this factor restores it
         q = chi_square(self.share, d)
         factor = self.share / _chi_share(q, d + 2)
-        cov = [[F.col(f"c{max(i, j)}{min(i, j)}") * factor + F.lit(self.floors[i] ** 2 if i == j else 0.0) for j in range(d)] for i in range(d)]
-        low = _cholesky(cov)
-        return materialise(sums.select("grp", *[f"m{i}" for i in range(d)], *[low[i][j].alias(f"l{i}{j}") for i in range(d) for j in range(i + 1)]))
+        cov = [[F.col(f"v{max(i, j)}{min(i, j)}") * factor + F.lit(self.floors[i] ** 2 if i == j else 0.0) for j in range(d)] for i in range(d)]
+        return self.factored(sums, cov, ["grp", "s", "n"])
+
+    def shrunk(self, own: DataFrame, parents: DataFrame | None, above: DataFrame | None, prior: float) -> DataFrame:
+        """``own`` drawn towards the rows of ``above`` (by ``parents``: grp, up), or towards twice the floors, as if ``prior`` rows more had these."""
+        d, low = self.d, [(i, j) for i in range(self.d) for j in range(i + 1)]
+        # arrays, since the optimiser's bookkeeping of dozens of renamed columns takes minutes
+        packed = lambda rows, *keep: rows.select(*keep, F.array(*[F.col(f"m{i}") for i in range(d)]).alias("m"), F.array(*[F.col(f"c{i}{j}") for i, j in low]).alias("c"))
+        rows = packed(own, "grp", "n")
+        if above is None:
+            rows = rows.select("*", F.col("m").alias("um"), F.array(*[F.lit((2 * self.floors[i]) ** 2 if i == j else 0.0) for i, j in low]).alias("uc"))
+        else:
+            named = packed(above, F.col("grp").alias("up")).withColumnsRenamed({"m": "um", "c": "uc"})
+            rows = rows.join(self.hint(parents), "grp").join(self.hint(named), "up")
+        mix = lambda x, y: (F.col("n") * x + prior * y) / (F.col("n") + prior)
+        rows = materialise(rows.select("grp", "n", F.zip_with("m", "um", mix).alias("m"), F.zip_with("c", "uc", mix).alias("c")))
+        rows = rows.select("grp", "n", *[F.col("m")[i].alias(f"m{i}") for i in range(d)], "c")
+        at = {ij: k for k, ij in enumerate(low)}
+        return self.factored(rows, [[F.col("c")[at[max(i, j), min(i, j)]] for j in range(d)] for i in range(d)], ["grp", "n"])
 
 
 def _chi_share(x: float, d: int) -> float:
@@ -175,35 +210,35 @@ def _chi_share(x: float, d: int) -> float:
     return NormalDist().cdf(((x / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)))
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", min_words: int = 20, max_repeat_percent: int = 30, tail: float = 1e-6, share: float = 0.75, steps: int = 3, min_group: int = 200, min_rows: int = 60) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", min_words: int = 20, max_repeat_percent: int = 30, tail: float = 1e-6, share: float = 0.75, steps: int = 3, prior: float = 50.0, broadcast_groups: int = 10_000) -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept) for every row."""
     known = docs.select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(text).alias("t"))
     stats = measure(known, "id", "t", ["lang", "source"])
     stats = stats.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
-    stats = materialise(stats.select("*", *[x.alias(f"x{i}") for i, x in enumerate(transformed())]))
-    sound = stats.where("not base_failed")
-    sizes = sound.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = sizes.where(F.col("n") < min_group).groupBy("lang").agg(F.sum("n").alias("nl"))
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
-    groups = sizes.join(by_lang.withColumnRenamed("lang", "lang2"), F.col("lang").eqNullSafe(F.col("lang2")), "left").select(
-        F.col("lang").alias("g_lang"),
-        F.col("source").alias("g_source"),
-        F.when(F.col("n") >= min_group, F.concat_ws("/", F.lit("s"), name("lang"), name("source"))).when(F.col("nl") >= min_group, F.concat_ws("/", F.lit("l"), name("lang"))).otherwise(F.lit("all")).alias("grp"),
-    )
-    groups = materialise(groups)
-    groups = F.broadcast(groups) if groups.count() <= 10_000 else groups
-    rows = sound.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))).select("id", "grp", *[c for c in stats.columns if c not in ("id", "lang", "source")])
-    rows = materialise(rows)
-    enough = materialise(rows.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows).select("grp"))
-    d = len(FLOORS)
+    level = lambda n, *by: F.concat(F.lit(n), F.to_json(F.struct(*by)) if by else F.lit(""))
+    stats = stats.withColumn("g0", level("0")).withColumn("g1", level("1", "lang")).withColumn("g2", level("2", "lang", "source"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    estimate = Estimate(rows.join(F.broadcast(enough) if enough.count() <= 10_000 else enough, "grp"), d, FLOORS, share, steps)
-    measured = Estimate.distances(estimate, estimate.params)
-    # distances are scaled so that their median is that of a normal cloud, but never blown up
+    d = len(FLOORS)
+    stats = materialise(stats.select("id", *base, "g0", "g1", "g2", *[x.alias(f"x{i}") for i, x in enumerate(transformed())]))
+    sound = stats.where("not base_failed")
+    tree = materialise(sound.select("g0", "g1", "g2").distinct())
+    few = tree.count() <= broadcast_groups
+    levels = sound.select(F.explode(F.array("g0", "g1", "g2")).alias("grp"), *[f"x{i}" for i in range(d)])
+    estimate = Estimate(levels, d, FLOORS, share, steps, few)
+    found = estimate.best()
+    above = estimate.shrunk(found.where(F.col("grp").startswith("0")), None, None, prior)
+    for n, up in (("1", "g0"), ("2", "g1")):
+        parents = tree.select(F.col(f"g{n}").alias("grp"), F.col(up).alias("up")).distinct()
+        above = estimate.shrunk(found.where(F.col("grp").startswith(n)), parents, above, prior)
+    own = Estimate(sound.withColumnRenamed("g2", "grp"), d, FLOORS, share, steps, few)
+    measured = materialise(own.distances(above.drop("n")).select("id", *base, "grp", "g1", "d2"))
+    # distances are scaled so that their median is that of a normal cloud, but never blown up; few rows lean on their language's median
+    sizes = measured.groupBy("grp", "g1").agg(F.count("*").alias("n"))
+    middles = sizes.join(own.quantile(measured, ["grp"], 0.5), "grp").join(own.quantile(measured, ["g1"], 0.5).withColumnRenamed("cut", "wide"), "g1")
+    middles = middles.select("grp", ((F.col("n") * F.col("cut") + prior * F.col("wide")) / (F.col("n") + prior)).alias("middle"))
+    judged = measured.join(own.hint(middles), "grp")
     distance = F.sqrt(F.col("d2") / F.greatest(F.lit(1.0), F.col("middle") / chi_square(0.5, d)))
-    found = measured.select("id", *base, distance.alias("distance"))
-    small = rows.join(F.broadcast(enough) if enough.count() <= 10_000 else enough, "grp", "left_anti").select("id", *base, F.lit(None).cast("double").alias("distance"))
-    failed = stats.where("base_failed").select("id", *base, F.lit(None).cast("double").alias("distance"))
     limit = math.sqrt(chi_square(1 - tail, d))
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)
-    return found.unionByName(small).unionByName(failed).select(F.col("id").alias(key), *base, "distance", kept.alias("kept"))
+    passed = judged.select("id", *base, distance.alias("distance")).withColumn("kept", F.col("distance") <= limit)
+    failed = stats.where("base_failed").select("id", *base, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
+    return passed.unionByName(failed).select(F.col("id").alias(key), *base, "distance", "kept")
