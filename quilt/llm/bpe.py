@@ -96,16 +96,19 @@ def sufficient_lookahead(merges: list[tuple[str, str]], length=len) -> int:
 
 
 class Words(dict):
-    """Encoded words by word, bounded: emptied when full."""
+    """What was made of words, bounded: when full, it becomes the old generation, from which words that come again are taken over."""
 
-    def __init__(self, make, most: int = 1 << 20):
-        self.make, self.most = make, most
+    def __init__(self, make, most: int = 1 << 17):
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(self) >= self.most:
-            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 256:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
             self[key] = value
         return value
 
@@ -144,32 +147,36 @@ def pieces_of(text: str, begin: int, end: int, size: int) -> Iterator[tuple[str,
 class WordStream:
     """Encoder of one word that arrives in pieces; the buffer never exceeds a block, a piece and the lookahead."""
 
+    __slots__ = ("buffer", "t")
+
     def __init__(self, t: Transducer):
         self.t, self.buffer = t, []
 
-    def push(self, data: bytes) -> Iterator[int]:
+    def push(self, data: bytes) -> list[int]:
         """Ids of the tokens that are stable now."""
-        t = self.t
+        t, out = self.t, []
         for at in range(0, len(data), t.block):
-            self.buffer += [t.alphabet[b] for b in data[at : at + t.block]]
+            self.buffer += map(t.alphabet.__getitem__, data[at : at + t.block])
             while len(self.buffer) >= t.block + t.lookahead:
                 settled, used = len(self.buffer) - t.lookahead - 1, 0
                 for token in t.merge(self.buffer.copy()):
                     if used + len(token) > settled:
                         break
-                    yield t.vocab[token]
+                    out.append(t.vocab[token])
                     used += len(token)
                 if not used:
                     raise RuntimeError("no token became stable within the lookahead")
                 del self.buffer[:used]
+        return out
 
-    def close(self) -> Iterator[int]:
+    def close(self) -> list[int]:
         """The word ends here."""
-        if self.buffer:
-            self.buffer[-1] += SUFFIX
-            for token in self.t.merge(self.buffer):
-                yield self.t.vocab[token]
-            self.buffer = []
+        if not self.buffer:
+            return []
+        self.buffer[-1] += SUFFIX
+        out = [self.t.vocab[token] for token in self.t.merge(self.buffer)]
+        self.buffer = []
+        return out
 
 
 class Decoder:
@@ -190,7 +197,7 @@ class Decoder:
                 continue
             data, ends, special = token
             if not self.readable:
-                shown = special or "".join(map(self.t.alphabet.__getitem__, data)) + SUFFIX * ends
+                shown = self.t.shown[str(i)]
                 out.append(" " + shown if self.begun else shown)
             elif special:
                 out.append(self.machine.decode(b"", True) + special)
@@ -201,13 +208,14 @@ class Decoder:
         return "".join(out)
 
     def feed_words(self, chunks: list[str]) -> str:
-        """The same for words whose ids are joined by spaces. Stand-ins carry no state from word to word but the space between them, so words are kept."""
+        """The same for words whose ids are in decimal and joined by spaces. Stand-ins carry no state from token to token but the space between them."""
+        if not chunks:
+            return ""
+        ids = " ".join(chunks).split(" ")
         if self.readable:
-            return "".join(self.feed(map(int, c.split(" "))) for c in chunks)
-        out = " ".join(map(self.t.shown.__getitem__, chunks))
-        if self.begun and chunks:
-            out = " " + out
-        self.begun = self.begun or bool(chunks)
+            return self.feed(map(int, ids))
+        out = " " * self.begun + " ".join(map(self.t.shown.__getitem__, ids))
+        self.begun = True
         return out
 
     def close(self) -> str:
@@ -236,7 +244,9 @@ class Transducer:
         self.block, self.piece = max(block, 2 * self.lookahead), max(piece, 1024)
         self.special_find = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words = Words(lambda w: " ".join(map(str, self.encode_word(w))))
-        self.shown = Words(lambda ids: Decoder(self).feed(map(int, ids.split(" "))))
+        printable = "".join(self.alphabet[b] for b in range(256))
+        #: Of each id in decimal, its bytes as printable stand-ins.
+        self.shown = {str(i): special or data.decode("latin-1").translate(printable) + SUFFIX * ends for i, (data, ends, special) in self.bytes_of_token.items()}
 
     # encoding
 
@@ -283,7 +293,8 @@ class Transducer:
         yield from word.close()
 
     def encode_word(self, word: str) -> list[int]:
-        return list(self.stream_word([word.encode("utf-8", "surrogatepass")]))
+        stream = WordStream(self)
+        return stream.push(word.encode("utf-8", "surrogatepass")) + stream.close()
 
     def _normal(self, text: str) -> str:
         if not text.isascii():
@@ -303,7 +314,7 @@ class Transducer:
             rest, out = "", []
             if word:  # a word that is longer than a piece goes on as long as its kind of characters does
                 run = kind.match(piece).end()
-                ids = [*word.push(piece[:run].encode("utf-8", "surrogatepass"))]
+                ids = word.push(piece[:run].encode("utf-8", "surrogatepass"))
                 piece = piece[run:]
                 if piece or not inside:
                     ids += word.close()
