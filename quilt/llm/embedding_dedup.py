@@ -4,10 +4,11 @@ A rotation is learned on a bounded sample (``sample`` vectors with the least has
 coordinates make balanced binary codes. Every vector is indexed: codes are cut into substrings, one table each; a vector is
 filed under its substrings and those at distance one, and asked for in the same way, so two vectors meet if any of their substrings differ in at
 most two bits. Those within a Hamming radius are compared by cosine in double precision. Equal vectors of a label form one
-class before anything is joined, and count with their multiplicity.
+class before anything is joined, and count with their multiplicity. Vectors of each dimension have a rotation and tables of their own.
 
-Edge cases: a vector without label, that is null or zero, or that holds a null or non-finite component links with nothing; so does one whose dimension
-isn't the table's most frequent one. Null ids are kept; rows with equal ids are vectors of their own and share the id; an empty table gives an empty table.
+Edge cases: a vector without label, that is null or zero, or that holds a null or non-finite component links with nothing; vectors of different
+dimensions don't link; links at the threshold exactly count. Null ids are kept; rows with equal ids are vectors of their own and share the id; only
+the key, the embedding and the label are read, so further columns can't clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -45,17 +46,8 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def link(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = 0.93, sample: int = 20_000, radius: int = 18) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows (key, cid, valid) of the input; links (a, b, cosine) between classes a < b; see :func:`near_duplicates`."""
-    rows = vectors.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("x"))
-    top = rows.where("x is not null").groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    d = top.d if top else 0
-    good = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    valid = F.coalesce(F.col("label").isNotNull() & (F.size("x") == d) & good & F.exists("x", lambda v: v != 0), F.lit(False))
-    rows = rows.withColumn("valid", valid).withColumn("cid", F.when(F.col("valid"), F.xxhash64("x", "label")))
-    classes = materialise(rows.where("valid").groupBy("cid").agg(F.first("label").alias("label"), F.first("x").alias("x"), F.count("*").alias("m"), F.min("id").alias("rep")))
-    if not classes.count():
-        return rows.select("id", "cid", "valid"), vectors.sparkSession.createDataFrame([], "a long, b long, cosine double")
+def links_of(classes: DataFrame, d: int, cosine: float, sample: int, radius: int) -> DataFrame:
+    """(a, b, cosine): links between classes (cid, label, x) of vectors with d components."""
     learned = np.array([r.x for r in classes.orderBy(F.xxhash64("cid"), "cid").select("x").limit(sample).collect()], "f8")
     bits = min(64, d)
     mean, projection = learn_rotation(unit(learned), bits)
@@ -94,7 +86,24 @@ def link(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
             c = (u * v).sum(1) / np.sqrt((u * u).sum(1) * (v * v).sum(1)) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c)], names=["a", "b", "cosine"]).filter(pa.array(c >= cosine))
 
-    links = materialise(both.select("a", "b", "xa", "xb").mapInArrow(rerank, "a long, b long, cosine double"))
+    return materialise(both.select("a", "b", "xa", "xb").mapInArrow(rerank, "a long, b long, cosine double"))
+
+
+def link(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = 0.93, sample: int = 20_000, radius: int = 18) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): rows (key, cid, valid) of the input; links (a, b, cosine) between classes a < b; see :func:`near_duplicates`."""
+    rows = vectors.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("x"))
+    good = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    valid = F.coalesce(F.col("label").isNotNull() & F.col("x").isNotNull() & good & F.exists("x", lambda v: v != 0), F.lit(False))
+    rows = rows.withColumn("valid", valid).withColumn("cid", F.when(F.col("valid"), F.xxhash64("x", "label")))
+    classes = materialise(rows.where("valid").groupBy("cid").agg(F.first("label").alias("label"), F.first("x").alias("x"), F.count("*").alias("m"), F.min("id").alias("rep")))
+    if not classes.count():
+        return rows.select("id", "cid", "valid"), vectors.sparkSession.createDataFrame([], "a long, b long, cosine double")
+    # a table has few dimensions, mostly one
+    sizes = sorted(r.d for r in classes.select(F.size("x").alias("d")).distinct().collect())
+    links = None
+    for d in sizes:
+        found = links_of(classes if len(sizes) == 1 else classes.where(F.size("x") == d), d, cosine, sample, radius)
+        links = found if links is None else links.union(found)
     counted = materialise(classes.select("cid", "m", "rep"))
     return rows.select("id", "cid", "valid").join(counted, "cid", "left"), links
 
