@@ -4,8 +4,9 @@ Rows keep the columns of ``documents`` up to the last stage. Quality rules rejec
 the smallest id stays; long passages that stand earlier in the corpus are cut out of the texts (and n_chars follows); small sources
 are repeated as the mixture's weights ask, every document at least once; the last stage encodes the texts.
 
-A null id takes part in the quality rules and in mixing, and is never matched with others; repeated rows of one id count as near-duplicates;
-an empty table stays empty.
+A null id takes part in the quality rules and in mixing, and is never matched with others; of rows that repeat an id and its text, the one
+whose other columns come first in order stays; rows that share an id and differ in text stay or go together; null and empty texts fail the quality
+rules; texts of any length are taken whole; further columns go through up to the last stage, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays, once."""
+    """Of each component of near-duplicates the document with the smallest id stays, each of its texts once."""
     members, _ = ngram_join.join(docs, KEY, TEXT)
     losers = members.where("id <> component_id").select("id").distinct()
     left = without(docs, losers, {KEY: "id"})
@@ -36,7 +37,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = materialise(docs.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(KEY).alias(twin)))
     if again.isEmpty():
         return left
-    once = left.join(again, F.col(KEY) == F.col(twin), "left_semi").dropDuplicates([KEY])
+    rest = [c for c in docs.columns if c not in (KEY, TEXT)]
+    (other,) = fresh(docs, "_rest")
+    once = left.join(again, F.col(KEY) == F.col(twin), "left_semi").groupBy(KEY, TEXT).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0)])).alias(other))
+    once = once.select(*[F.col(f"`{c}`") if c in (KEY, TEXT) else F.col(other)[c].alias(c) for c in docs.columns])
     return without(left, again, {KEY: twin}).unionByName(once)
 
 
