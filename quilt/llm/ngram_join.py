@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quilt.llm.common import components, materialise, mix64, shingles, small_table, squeeze, text_bytes, unsqueeze
+from quilt.llm.common import components, materialise, mix64, release, shingles, small_table, squeeze, text_bytes, unsqueeze
 
 #: Bits of a shortened hash within its fragment, and of a row's number within its batch.
 _BITS, _ROW = 28, 16
@@ -255,8 +255,9 @@ def _prefixes(percent: int):
     return run
 
 
-#: Bytes of text whose n-grams one fragment counts at a time in memory, where the input is large.
-FRAGMENT_BYTES = 32 << 20
+#: Bytes of text whose n-grams one fragment counts at a time in memory, and the number of fragments that small inputs don't exceed: the
+#: signatures and row numbers that go with the postings are sent once for each fragment.
+FRAGMENT_BYTES, FEW_FRAGMENTS = 16 << 20, 64
 
 
 def describe(docs: DataFrame, key: str, text: str, size: int = 5, percent: int = 75, fragments: int | None = None, piece_bytes: int = 4 << 20, batch_postings: int = 3 << 20) -> DataFrame:
@@ -264,7 +265,7 @@ def describe(docs: DataFrame, key: str, text: str, size: int = 5, percent: int =
     (0 where an equal set speaks for it), and the prefix of these."""
     if not fragments:
         total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-        fragments = min(1 << 20, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_BYTES)))
+        fragments = min(1 << 20, max(min(FEW_FRAGMENTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-total // FRAGMENT_BYTES)))
     schema = "frag long, batch long, blob binary"
     sent = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_scatter(size, fragments, piece_bytes, batch_postings), schema)
     counted = sent.repartition(fragments, "frag").sortWithinPartitions("frag", "batch").mapInArrow(_count, schema)
@@ -379,6 +380,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     held = materialise(postings.join(again, "token").select("v", "n", "s", "token", F.col("v").alias("c")))
     classes = heads.drop("tokens").join(held.select("v").distinct(), "v", "left_semi")
     sets = fragment_sets(classes, docs, key, text, size)
+    release(docs.sparkSession)
     links = tested = None
     stuck = False
     for step in range(star_rounds + 1):
@@ -411,6 +413,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
             stuck = True
             continue
         new = verify(tried, sets, percent)
+        release(docs.sparkSession)
         links = new if links is None else links.union(new)
         if last:
             break
