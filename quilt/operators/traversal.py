@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quilt.functions.storage import materialise
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -27,10 +30,19 @@ class Graph:
         """(part, size)."""
         return self.vertices.groupBy("part").agg(F.count("*").alias("size"))
 
-    def neighbours(self) -> DataFrame:
-        """(v, u, u_label, u_part): each neighbour once, whichever way edges run."""
-        both = self.edges.select(F.col("src").alias("v"), F.col("dst").alias("u")).union(self.edges.select("dst", "src")).distinct()
-        return both.join(self.vertices.select(F.col("id").alias("u"), F.col("label").alias("u_label"), F.col("part").alias("u_part")), "u").select("v", "u", "u_label", "u_part")
+    def neighbours(self, label: str | None = None) -> DataFrame:
+        """(v, u, u_label, u_part): each neighbour (of one label) once, whichever way edges run.
+
+        Where edges carry the labels of their ends (src_label, dst_label), edges that can't lead to the label aren't read.
+        """
+        out = into = self.edges
+        ends = self.vertices.select(F.col("id").alias("u"), F.col("label").alias("u_label"), F.col("part").alias("u_part"))
+        if label is not None:
+            ends = ends.where(F.col("u_label") == label)
+            if {"src_label", "dst_label"} <= set(self.edges.columns):
+                out, into = out.where(F.col("dst_label") == label), into.where(F.col("src_label") == label)
+        both = out.select(F.col("src").alias("v"), F.col("dst").alias("u")).union(into.select("dst", "src")).distinct()
+        return both.join(ends, "u").select("v", "u", "u_label", "u_part")
 
     def point(self, v: int) -> DataFrame:
         return self.vertices.where(F.col("id") == v)
@@ -71,14 +83,16 @@ class Traversal:
 
     def neighbours_where(self, predicate: Column) -> Traversal:
         """Neighbours that satisfy a predicate over u, u_label and u_part; each one returned from elsewhere is a crossing."""
-        n = self.graph.neighbours().where(predicate)
+        return self._to(self.graph.neighbours().where(predicate))
+
+    def neighbours(self, label: str) -> Traversal:
+        return self._to(self.graph.neighbours(label))
+
+    def _to(self, n: DataFrame) -> Traversal:
         joined = self.rows.join(n, F.col("at") == F.col("v"))
         crossing = (~F.col("at_part").eqNullSafe(F.col("u_part"))).cast("int")
         return self._on(joined.select(*self._kept(), F.col("u").alias(f"v{self.step + 1}"), crossing.alias(f"ipt_{self.step + 1}"), F.col("u").alias("at"), F.col("u_part").alias("at_part")))
 
-    def neighbours(self, label: str) -> Traversal:
-        return self.neighbours_where(F.col("u_label") == label)
-
     def edges_where(self, predicate: Column) -> Traversal:
         """Incident edges that satisfy a predicate over src and dst; moves to the other end."""
         e = self.graph.edges.select("src", "dst").distinct()
@@ -140,15 +154,13 @@ def sampled(v: Column) -> Column:
 
 
 def run(start: Traversal, *steps: Callable[[Traversal], Traversal]) -> tuple[Traversal, DataFrame]:
-    """The final traversal, and (hop, n_paths, ipt) of each hop."""
-    now, hops = start, []
-    hops.append(start.ipt().select(F.lit(0).alias("hop"), "n_paths", "ipt"))
-    for step in steps:
-        before = now.step
-        now = step(now)
+    """The final traversal, and (hop, n_paths, ipt) of each hop. Paths of a hop that others follow are written once and counted there."""
+    now, hops = start, [start]
+    for i, step in enumerate(steps):
+        before, now = now.step, step(now)
         if now.step > before:
-            hops.append(now.ipt().select(F.lit(now.step).alias("hop"), "n_paths", "ipt"))
-    out = hops[0]
-    for h in hops[1:]:
-        out = out.union(h)
-    return now, out
+            if i + 1 < len(steps):
+                now = replace(now, rows=materialise(now.rows))
+            hops.append(now)
+    counts = [h.ipt().select(F.lit(h.step).alias("hop"), "n_paths", "ipt") for h in hops]
+    return now, reduce(DataFrame.union, counts)

@@ -138,7 +138,7 @@ def json_neighbourhoods_whole(spark, d):
 @query(f"{graph_sql()}, walk AS (SELECT id, 0 AS level FROM v WHERE label = 'Region' UNION SELECT nb.u, level + 1 FROM walk JOIN nb ON nb.v = walk.id WHERE level < 3) SELECT level, count(*) AS n FROM (SELECT id, CAST(min(level) AS INTEGER) AS level FROM walk GROUP BY id) GROUP BY level")
 def bfs_levels(spark, d):
     v, e = relational.vertices(spark, d), relational.edges(spark, d)
-    return relational.bfs_order(v, e, v.where("label = 'Region'").select("id"), 8).where("level < 4").groupBy("level").agg(F.count("*").alias("n"))
+    return relational.bfs_order(v, e, v.where("label = 'Region'").select("id")).where("level < 4").groupBy("level").agg(F.count("*").alias("n"))
 
 
 # partitions
@@ -249,9 +249,9 @@ def _workload(q):
     return f
 
 
-query(_hops_sql("Region", ["Nation", "Customer", None, "Order"]))(_workload("q1"))
-query(_hops_sql("Customer", [100, "Order", "Part", 100, "Order", 100, "Customer"]))(_workload("q2"))
-query(_hops_sql("Nation", ["Supplier", None, "Part"]))(_workload("q3"))
+_TABLE_STEPS = {"q1": ("Region", ["Nation", "Customer", None, "Order"]), "q2": ("Customer", [100, "Order", "Part", 100, "Order", 100, "Customer"]), "q3": ("Nation", ["Supplier", None, "Part"])}
+for _q, _steps in _TABLE_STEPS.items():
+    query(_hops_sql(*_steps))(_workload(_q))
 
 
 @query(_hops_sql("Nation", ["Customer", "Order"]))
@@ -312,11 +312,20 @@ def signature_combine_whole(spark, d):
 
 _ROWS = W.pattern_rows(W.PATTERNS["tables"], CODES)
 _PE = "pe(query, e, src, src_code, dst, dst_code) AS (VALUES " + ", ".join(map(str, _ROWS)) + ")"
-_RANGES = f"""WITH {_PE}, r AS (SELECT a.query, a.e AS i, b.e AS j FROM pe a JOIN pe b ON a.query = b.query AND a.e <= b.e),
+_RANGES = f"""WITH RECURSIVE {_PE}, r AS (SELECT a.query, a.e AS i, b.e AS j FROM pe a JOIN pe b ON a.query = b.query AND a.e <= b.e),
 f AS (SELECT r.query, i, j, abs(src_code - dst_code) % {PRIME} + 1 AS f FROM r JOIN pe ON pe.query = r.query AND pe.e BETWEEN i AND j
 UNION ALL SELECT query, i, j, (code + n) % {PRIME} + 1 FROM (SELECT r.query, i, j, v, code, unnest(range(1, CAST(count(*) AS BIGINT) + 1)) AS n FROM r JOIN (SELECT query, e, src AS v, src_code AS code FROM pe UNION ALL SELECT query, e, dst, dst_code FROM pe) x ON x.query = r.query AND x.e BETWEEN i AND j GROUP BY r.query, i, j, v, code)),
 s AS (SELECT query, i, j, CAST(j - i + 1 AS INTEGER) AS depth, string_agg(CAST(f AS VARCHAR), ',' ORDER BY f) AS sig FROM f GROUP BY query, i, j)"""
-_ADDS = "adds(query, n) AS (VALUES ('q1', 16), ('q2', 2), ('q3', 22))"
+#: Doubles of the generator, from its recurrence: u(i, x) with i from 0.
+_UNIFORM = f"""lcg(i, s) AS (SELECT 0, xor({W.SEED}::BIGINT, 25214903917::BIGINT)::HUGEINT UNION ALL SELECT i + 1, (s * 25214903917 + 11) % 281474976710656 FROM lcg WHERE i < 400),
+u AS (SELECT a.i // 2 AS i, CAST((a.s // 4194304) * 134217728 + b.s // 2097152 AS DOUBLE) / 9007199254740992 AS x FROM lcg a JOIN lcg b ON b.i = a.i + 1 WHERE a.i % 2 = 1)"""
+_ADDS = f"{_UNIFORM}, adds AS (SELECT query, count(*) AS n FROM (SELECT CASE WHEN x <= 0.4 THEN 'q1' WHEN x <= 0.5 THEN 'q2' ELSE 'q3' END AS query FROM u WHERE i < {W.DRAWS}) GROUP BY query)"
+#: Normal deviates by the polar method, two from each pair of doubles inside the unit circle, dealt to buckets two wide that move on.
+_PERIODIC = f"""WITH RECURSIVE {_UNIFORM}, pairs AS (SELECT p.i, 2 * p.x - 1 AS a, 2 * q.x - 1 AS b FROM u p JOIN u q ON q.i = p.i + 1 WHERE p.i % 2 = 0),
+polar AS (SELECT row_number() OVER (ORDER BY i) - 1 AS j, a, b, sqrt(-2 * ln(a * a + b * b) / (a * a + b * b)) AS m FROM pairs WHERE a * a + b * b > 0 AND a * a + b * b < 1),
+g AS (SELECT 2 * j AS i, a * m AS z FROM polar UNION ALL SELECT 2 * j + 1, b * m FROM polar), moved AS (SELECT i, z + (i / 10.0) % 7 AS x FROM g),
+dealt AS (SELECT i, CAST(floor((CASE WHEN x >= 3.5 THEN x - 7 ELSE x END + 3.5) / 2) AS INTEGER) AS bucket FROM moved),
+drawn AS (SELECT bucket FROM dealt WHERE bucket BETWEEN 0 AND 2 ORDER BY i LIMIT {W.DRAWS}) SELECT 'q' || (bucket + 1) AS query, count(*) AS n FROM drawn GROUP BY query"""
 
 
 def _trie(spark):
@@ -348,7 +357,7 @@ _MOTIFS = f"{_RANGES}, {_ADDS}, nodes AS (SELECT depth, sig, CAST(sum(n) AS BIGI
 
 
 def _motif_sql(threshold: float) -> str:
-    return _MOTIFS.replace("WITH ", "WITH RECURSIVE ", 1) + f", keep AS (SELECT depth, sig, support FROM nodes WHERE depth = 1 AND support / 40.0 >= {threshold} UNION SELECT n.depth, n.sig, n.support FROM keep JOIN links l ON l.depth = keep.depth AND l.parent = keep.sig JOIN nodes n ON n.depth = keep.depth + 1 AND n.sig = l.child WHERE n.support / 40.0 >= {threshold})"
+    return _MOTIFS + f", keep AS (SELECT depth, sig, support FROM nodes WHERE depth = 1 AND support / 40.0 >= {threshold} UNION SELECT n.depth, n.sig, n.support FROM keep JOIN links l ON l.depth = keep.depth AND l.parent = keep.sig JOIN nodes n ON n.depth = keep.depth + 1 AND n.sig = l.child WHERE n.support / 40.0 >= {threshold})"
 
 
 @query(_motif_sql(0.4) + " SELECT depth, sig, support FROM keep")
@@ -527,9 +536,20 @@ def motif_partitioner(spark, k: int, capacity: int, t: int, threshold: float = 0
 _EDGE_OUT = "src int, dst int, part int"
 
 
-@query()
+_FIRST = "first AS (SELECT v, min(seq) AS seq FROM (SELECT src AS v, seq FROM eo UNION ALL SELECT dst, seq FROM eo) GROUP BY v)"
+_L, _R = "parts[fl]", "parts[fr]"
+_OKL, _OKR = (f"({q} IS NOT NULL AND sizes[{q} + 1] < lim)" for q in (_L, _R))
+_GREEDY = f"CASE WHEN {_OKL} AND {_OKR} THEN CASE WHEN sizes[{_R} + 1] < sizes[{_L} + 1] THEN {_R} ELSE {_L} END WHEN {_OKR} THEN {_R} WHEN {_OKL} THEN {_L} ELSE list_position(sizes, list_min(sizes)) - 1 END"
+
+
+# a vertex stands where the first edge that has it was placed, so the list of edges' parts is all the state
+@query(f"""{graph_sql(SMALL)}, eo AS (SELECT src, dst, CAST(row_number() OVER (ORDER BY src, dst) AS INTEGER) AS seq FROM e), {_FIRST},
+step AS MATERIALIZED (SELECT eo.seq, CASE WHEN a.seq < eo.seq THEN a.seq END AS fl, CASE WHEN b.seq < eo.seq THEN b.seq END AS fr, CAST(1.1 AS DOUBLE) * ((SELECT count(*) FROM eo) // {K}) AS lim FROM eo JOIN first a ON a.v = eo.src JOIN first b ON b.v = eo.dst),
+fold AS (SELECT 0 AS i, CAST([] AS INTEGER[]) AS parts, CAST([{", ".join(["0"] * K)}] AS BIGINT[]) AS sizes
+UNION ALL SELECT i + 1, list_append(parts, p), [sizes[q + 1] + CASE WHEN q = p THEN 1 ELSE 0 END for q in range({K})] FROM (SELECT i, parts, sizes, CAST({_GREEDY} AS INTEGER) AS p FROM fold JOIN step ON step.seq = fold.i + 1))
+SELECT CAST(eo.seq - 1 AS BIGINT) AS assign_seq, eo.src, eo.dst, f.parts[eo.seq] AS part FROM eo, (SELECT parts FROM fold ORDER BY i DESC LIMIT 1) f""")
 def greedy_assign(spark, d, labels=SMALL):
-    """Edges of the small graph, none of which begins a motif, so that all are placed at once."""
+    """Edges of the chosen labels, none of which begins a motif, so that all are placed at once."""
     rows = _edge_stream(spark, d, labels)
     p = P.MotifPartitioner(K, rows.count() // K, P.Trie({}, {}), PRIME)
     return P.assign(rows, p, ["src", "dst", "sc", "dc"], _EDGE_OUT)
@@ -562,12 +582,12 @@ def motif_partition_reference_whole(spark, d):
 # workloads
 
 
-@query("SELECT * FROM (VALUES ('q1', 16), ('q2', 2), ('q3', 22)) t(query, n)")
+@query(f"WITH RECURSIVE {_ADDS} SELECT query, CAST(n AS INTEGER) AS n FROM adds")
 def fixed_stream_mix(spark, d):
     return W.draw_counts(W.draws(spark, W.fixed_stream(W.MIX, set(W.MIX)), W.DRAWS)).select("query", F.col("n").cast("int").alias("n"))
 
 
-@query()
+@query(_PERIODIC)
 def periodic_stream_mix(spark, d):
     return W.draw_counts(W.draws(spark, W.periodic_stream(["q1", "q2", "q3"]), W.DRAWS))
 
@@ -580,8 +600,22 @@ def result_sum(spark, d):
 
 @query()
 def experiment_report(spark, d):
-    """The recorded mix over the round-robin partitioning: draws, time and crossings of each query."""
+    """The recorded mix over the round-robin partitioning, every draw run: draws, time and crossings of each query."""
     g = graph(spark, d)
     g = Graph(materialise(g.vertices), materialise(g.edges))
     return W.experiment(g, "tables", W.fixed_stream(W.MIX, set(W.MIX)), W.DRAWS)
 
+
+_EACH = " UNION ALL ".join(f"SELECT '{q}' AS query, ipt FROM ({_hops_sql(*steps)})" for q, steps in _TABLE_STEPS.items())
+
+
+@query(f"WITH RECURSIVE {_ADDS} SELECT query, CAST(n AS INTEGER) AS draws, CAST(sum(ipt) * n AS BIGINT) AS ipt FROM ({_EACH}) JOIN adds USING (query) GROUP BY query, n")
+def experiment_ipt(spark, d):
+    """The report without its times, which no SQL can give: each query is counted once for all of its draws."""
+    g = graph(spark, d)
+    g = Graph(materialise(g.vertices), materialise(g.edges))
+    adds = W.draw_counts(W.draws(spark, W.fixed_stream(W.MIX, set(W.MIX)), W.DRAWS))
+    hops = [run(start(g), *steps)[1].agg(F.sum("ipt").alias("ipt")).select(F.lit(q).alias("query"), "ipt") for q, (start, steps) in sorted(W.QUERIES["tables"].items())]
+    each = hops[0].union(hops[1]).union(hops[2])
+    return each.join(F.broadcast(adds), "query").select("query", F.col("n").cast("int").alias("draws"), (F.col("ipt") * F.col("n")).cast("long").alias("ipt"))
+

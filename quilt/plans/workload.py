@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import log, sqrt
 
 from pyspark.sql import DataFrame, SparkSession
@@ -152,17 +153,36 @@ def execute(graph: Graph, query: Query) -> tuple[int, DataFrame]:
 
 
 def experiment(graph: Graph, dataset: str, stream: Iterator[str], n: int = DRAWS) -> DataFrame:
-    """(query, draws, time_ms, ipt): each distinct query of the first n draws is run once and weighs as often as drawn."""
-    spark = graph.vertices.sparkSession
-    counts: dict[str, int] = {}
+    """(query, draws, time_ms, ipt): each of the first n draws is run and timed; sums for each query."""
+    total: dict[str, list[int]] = {}
     for _ in range(n):
         q = next(stream)
-        counts[q] = counts.get(q, 0) + 1
-    rows = []
-    for q, times in sorted(counts.items()):
         ms, hops = execute(graph, QUERIES[dataset][q])
-        rows.append((q, times, ms * times, int(hops.agg(F.sum("ipt")).first()[0] or 0) * times))
-    return spark.createDataFrame(rows, "query string, draws int, time_ms long, ipt long")
+        ipt = int(hops.agg(F.sum("ipt")).first()[0] or 0)
+        total[q] = [a + b for a, b in zip(total.get(q, [0, 0, 0]), (1, ms, ipt), strict=True)]
+    rows = [(q, *sums) for q, sums in sorted(total.items())]
+    return graph.vertices.sparkSession.createDataFrame(rows, "query string, draws int, time_ms long, ipt long")
+
+
+Order = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def experiments(vertices: DataFrame, edges: DataFrame, dataset: str, orders: dict[str, Order], partitioners: dict[str, Order], stream: Callable[[], Iterator[str]], n: int = DRAWS) -> DataFrame:
+    """(arrival, partitioner, query, draws, time_ms, ipt): an experiment for every order of arrival and every partitioner.
+
+    An order takes vertices and edges and returns vertices with ``seq``; a partitioner takes those and edges and returns (id, part); each
+    experiment draws from a stream of its own. Vertices that a partitioner leaves out have no partition.
+    """
+    from quilt.functions.storage import materialise
+
+    out = []
+    for arrival, order in orders.items():
+        arrived = materialise(order(vertices, edges))
+        for name, partition in partitioners.items():
+            placed = arrived.select("id", "label").join(partition(arrived, edges).select("id", "part"), "id", "left")
+            done = experiment(Graph(materialise(placed), edges), dataset, stream(), n)
+            out.append(done.select(F.lit(arrival).alias("arrival"), F.lit(name).alias("partitioner"), *done.columns))
+    return reduce(DataFrame.union, out)
 
 
 def trial(graph: Graph, dataset: str) -> DataFrame:

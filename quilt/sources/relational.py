@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,19 +82,23 @@ def random_order(df: DataFrame, seed: int, *key: str) -> DataFrame:
     return sequence(df.withColumn("_h", F.xxhash64(F.lit(seed), *key)), "_h", *key).drop("_h")
 
 
-def bfs_order(v: DataFrame, e: DataFrame, roots: DataFrame, max_levels: int = 64) -> DataFrame:
-    """(id, level): breadth-first level of every vertex from ``roots``(id); vertices out of reach come last."""
+def bfs_order(v: DataFrame, e: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, level): breadth-first level of every vertex from ``roots``(id); vertices out of reach come last, at level 2^31 - 1."""
     from quilt.functions.storage import materialise
 
     both = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src"))
-    seen = materialise(roots.select("id", F.lit(0).alias("level")))
-    front = seen
-    for level in range(1, max_levels):
-        front = materialise(front.join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("level", F.lit(level)))
+    front = materialise(roots.select("id", F.lit(0).alias("level")).distinct())
+    seen = last = front
+    for level in count(1):
+        # a neighbour of a level lies in that level, the one before or the next
+        near = front.join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
+        last, front = front, materialise(near.join(last.union(front), "id", "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             break
-        seen = materialise(seen.union(front))
-    return v.select("id").join(seen, "id", "left").select("id", F.coalesce("level", F.lit(max_levels)).alias("level"))
+        seen = seen.union(front)
+        if level % 32 == 0:  # keeps the plan short on deep graphs
+            seen = materialise(seen)
+    return v.select("id").join(seen, "id", "left").select("id", F.coalesce("level", F.lit(2**31 - 1)).alias("level"))
 
 
 def dfs_order(edge_rows: list[tuple[int, int]], roots: list[int]) -> list[int]:

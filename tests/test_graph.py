@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quilt.operators import trie
+from quilt.operators.partitioners import round_robin
 from quilt.operators.traversal import Graph, run
 from quilt.plans import workload as W
 from quilt.sources import adjacency, relational
@@ -155,6 +156,39 @@ def test_experiment(demo):
     assert "partition sizes" in W.report(demo, "demo")
 
 
+def test_experiments_over_orders_and_partitioners(demo):
+    orders = {"id": lambda v, e: relational.sequence(v, "id"), "random": lambda v, e: relational.random_order(v, 3, "id")}
+    partitioners = {"robin": lambda v, e: round_robin(v, 2), "none": lambda v, e: v.where("false").selectExpr("id", "0 AS part")}
+    got = W.experiments(demo.vertices, demo.edges, "demo", orders, partitioners, lambda: iter(["q1", "q2", "q1"]), 3).collect()
+    assert len(got) == 8 and {(r.arrival, r.partitioner) for r in got} == {(a, p) for a in orders for p in partitioners}
+    assert all(r.ipt == 0 for r in got if r.partitioner == "none")  # vertices without partition equal one another
+    assert {r.draws for r in got if r["query"] == "q1"} == {2}
+
+
+def test_bfs_of_a_deep_graph(spark):
+    v, e = relational.literal_graph(spark, [(i, "A", 0) for i in range(72)], [(i, i + 1) for i in range(70)] + [(3, 3)])
+    levels = {r.id: r.level for r in relational.bfs_order(v, e, v.where("id = 0").select("id")).collect()}
+    assert levels == {i: i for i in range(71)} | {71: 2**31 - 1}
+
+
+def test_run_agrees_with_single_steps(demo):
+    for q in W.QUERIES["demo"].values():
+        start, steps = q
+        last, hops = run(start(demo), *steps)
+        plain = start(demo)
+        for s in steps:
+            plain = s(plain)
+        assert sorted(last.paths().collect()) == sorted(plain.paths().collect())
+        assert hops.count() == plain.step + 1
+
+
+def test_labelled_edges_lead_to_the_same_neighbours(demo):
+    names = demo.vertices.select("id", "label")
+    e = demo.edges.select("src", "dst").join(names.toDF("src", "src_label"), "src").join(names.toDF("dst", "dst_label"), "dst")
+    for label in ("Entity", "Agent", "Activity"):
+        assert sorted(Graph(demo.vertices, e).neighbours(label).collect()) == sorted(demo.neighbours(label).collect())
+
+
 def test_partitioned_sink(demo, tmp_path, spark):
     adjacency.write_partitions(demo.vertices, f"{tmp_path}/v")
     assert spark.read.parquet(f"{tmp_path}/v").where("part = 2").count() == 3
