@@ -25,6 +25,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quilt.llm.common import lean
+
 SUFFIX = "</w>"
 
 
@@ -248,6 +250,11 @@ class Transducer:
         #: Of each id in decimal, its bytes as printable stand-ins.
         self.shown = {str(i): special or data.decode("latin-1").translate(printable) + SUFFIX * ends for i, (data, ends, special) in self.bytes_of_token.items()}
 
+    def forget(self) -> None:
+        """Let go of the words met so far; a worker outlives its task."""
+        self.words.clear()
+        self.words.old = {}
+
     # encoding
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -389,7 +396,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded string")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -414,6 +421,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 ids_sha.append(one.hexdigest())
                 text_sha.append(two.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        t.forget()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quilt.llm.common import components, materialise, mix64, release, shingles, small_table, squeeze, text_bytes, unsqueeze
+from quilt.llm.common import components, give_back, lean, materialise, mix64, release, shingles, small_table, squeeze, text_bytes, unsqueeze
 
 #: Bits of a shortened hash within its fragment, and of a row's number within its batch.
 _BITS, _ROW = 28, 16
@@ -141,6 +141,7 @@ def _scatter(size: int, fragments: int, piece_bytes: int, batch_postings: int):
             if batch.postings >= batch_postings or batch.rows > (1 << _ROW) - (1 << (_ROW - 2)):
                 yield batch.send(number, fragments)
                 number, batch = number + 1, _Batch()
+                give_back()
         if batch.rows:
             yield batch.send(number, fragments)
 
@@ -260,16 +261,16 @@ def _prefixes(percent: int):
 FRAGMENT_BYTES, FEW_FRAGMENTS = 16 << 20, 64
 
 
-def describe(docs: DataFrame, key: str, text: str, size: int = 5, percent: int = 75, fragments: int | None = None, piece_bytes: int = 4 << 20, batch_postings: int = 3 << 20) -> DataFrame:
+def describe(docs: DataFrame, key: str, text: str, size: int = 5, percent: int = 75, fragments: int | None = None, piece_bytes: int = 1 << 20, batch_postings: int = 3 << 20) -> DataFrame:
     """(id, n, s1, s2, shared, tokens): a row for each document: size and signature of its set, how many of its n-grams other sets have too
     (0 where an equal set speaks for it), and the prefix of these."""
     if not fragments:
         total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
         fragments = min(1 << 20, max(min(FEW_FRAGMENTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-total // FRAGMENT_BYTES)))
     schema = "frag long, batch long, blob binary"
-    sent = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_scatter(size, fragments, piece_bytes, batch_postings), schema)
-    counted = sent.repartition(fragments, "frag").sortWithinPartitions("frag", "batch").mapInArrow(_count, schema)
-    back = counted.repartition(fragments, "batch").sortWithinPartitions("batch", "frag").mapInArrow(_prefixes(percent), "id long, n long, s1 long, s2 long, shared long, tokens array<long>")
+    sent = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(lean(_scatter(size, fragments, piece_bytes, batch_postings)), schema)
+    counted = sent.repartition(fragments, "frag").sortWithinPartitions("frag", "batch").mapInArrow(lean(_count), schema)
+    back = counted.repartition(fragments, "batch").sortWithinPartitions("batch", "frag").mapInArrow(lean(_prefixes(percent)), "id long, n long, s1 long, s2 long, shared long, tokens array<long>")
     return materialise(back)
 
 
@@ -296,7 +297,7 @@ def fragment_sets(classes: DataFrame, docs: DataFrame, key: str, text: str, size
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["n", "s1", "s2", "f", "h", "sketch"])
 
-    found = texts.mapInArrow(cut, "n long, s1 long, s2 long, f int, h binary, sketch array<long>")
+    found = texts.mapInArrow(lean(cut), "n long, s1 long, s2 long, f int, h binary, sketch array<long>")
     # rows that repeat an id and its text give the same set again
     return materialise(found.join(classes.select("v", "n", "s1", "s2"), ["n", "s1", "s2"]).dropDuplicates(["v", "f"]).select("v", "f", "n", "h", "sketch"))
 
@@ -337,7 +338,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = 75, block: int = 25
 
     # the hub's own row comes first in its group
     both = hubs.unionByName(spokes).repartition("hub", "salt", "f").sortWithinPartitions("hub", "salt", "f", F.col("spoke").asc_nulls_first())
-    parts = both.mapInArrow(overlap, "hub long, spoke long, nh long, ns long, o long")
+    parts = both.mapInArrow(lean(overlap), "hub long, spoke long, nh long, ns long, o long")
     sums = parts.groupBy("hub", "spoke").agg((F.first("nh") + F.first("ns") - F.sum("o")).alias("u"), F.sum("o").alias("o"))
     return materialise(sums.where(100 * F.col("o") >= percent * F.col("u")).select(F.least("hub", "spoke").alias("a"), F.greatest("hub", "spoke").alias("b"), "o", "u"))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quilt.llm.common import _power_table, fresh, materialise, mix64, squeeze, text_bytes, unsqueeze
+from quilt.llm.common import _power_table, fresh, lean, materialise, mix64, squeeze, text_bytes, unsqueeze
 from quilt.llm.ngram_join import pieces
 
 GRAM = 32
@@ -400,8 +400,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
             if len(e):
                 yield _emit(e, buckets)
 
-    sent = rows.mapInArrow(scan, "bucket long, blob binary")
-    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_own, _FOUND)
+    sent = rows.mapInArrow(lean(scan), "bucket long, blob binary")
+    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_own), _FOUND)
     found = materialise(found.groupBy("kind", "doc", "alt").agg(F.collect_list("run").alias("runs")))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,11 +422,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     open_ = found.where(F.col("kind") == OPEN).select("doc", "alt", "runs")
     n_open = open_.agg(F.sum(F.size("runs"))).first()[0] or 0
     # a checked size lets the texts stay where they are; beyond it, they are shuffled to their open blocks
-    again = rows.join(F.broadcast(open_) if n_open <= broadcast_rows else open_, ["doc", "alt"]).select("doc", "text", "alt", "runs").mapInArrow(resolve, "bucket long, blob binary")
-    more = again.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_own_windows, _FOUND)
+    again = rows.join(F.broadcast(open_) if n_open <= broadcast_rows else open_, ["doc", "alt"]).select("doc", "text", "alt", "runs").mapInArrow(lean(resolve), "bucket long, blob binary")
+    more = again.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_own_windows), _FOUND)
     more = more.groupBy("doc", "alt").agg(F.collect_list("run").alias("runs"))
     both = found.where(F.col("kind") == REPEAT).select("doc", "alt", "runs").union(more)
-    return materialise(both.groupBy("doc", "alt").agg(F.flatten(F.collect_list("runs")).alias("runs")).mapInArrow(_merge, "doc long, alt long, runs array<long>"))
+    return materialise(both.groupBy("doc", "alt").agg(F.flatten(F.collect_list("runs")).alias("runs")).mapInArrow(lean(_merge), "doc long, alt long, runs array<long>"))
 
 
 def cut_out(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, **options) -> DataFrame:
@@ -475,7 +475,7 @@ def cut_out(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     schema = StructType(list(docs.schema.fields))
     for name, kind in zip(more, ("long", "long", "long", "binary"), strict=True):
         schema = schema.add(name, kind)
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, **options) -> DataFrame:
