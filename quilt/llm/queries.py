@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilt.llm import bpe, embedding_dedup, html_text, mixing, ngram_join, quality_model, quality_rules, sharding, suffix_dedup, warc
+from quilt.llm import bpe, embedding_dedup, html_text, mixing, ngram_join, periodic_runs, quality_model, quality_rules, sharding, suffix_dedup, warc
 from quilt.llm.common import table
 from quilt.llm.oracles import ORACLES
 
@@ -64,5 +64,9 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_embedding_dedup": op2_embedding_dedup, "op3_ngram_join": op3_ngram_join, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op4_quality_model": op4_quality_model, "op7_warc": op7_warc, "op8_suffix_dedup": op8_suffix_dedup, "op9_html_text": op9_html_text, "op10_bpe": op10_bpe}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_embedding_dedup": op2_embedding_dedup, "op3_ngram_join": op3_ngram_join, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op4_quality_model": op4_quality_model, "op7_warc": op7_warc, "op8_suffix_dedup": op8_suffix_dedup, "op9_html_text": op9_html_text, "op10_bpe": op10_bpe, "op11_periodic_runs": op11_periodic_runs}
 __all__ = ["ORACLES", "QUERIES"]
