@@ -52,4 +52,36 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
 FROM d
 """
 
-ORACLES: dict[str, str] = {"op2_embedding_dedup": OP2, "op3_ngram_join": OP3, "op7_warc": OP7}
+#: Near words by what is left when one code point goes, instead of bigrams; the checksum byte by byte from its table.
+OP12 = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT] || range(8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END) AS c FROM range(256) r(i))
+), runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), counted AS (
+    SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS x FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), hashed AS (
+    SELECT run, n, xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, len(x), 2), lambda i: (strpos('0123456789ABCDEF', x[i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[i + 2]) - 1),
+        lambda a, b: xor(a // 256, t[1 + (xor(a % 256, b) % 256)])), 4294967295::BIGINT) AS h
+    FROM counted, crc_table
+), edited AS (
+    SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed
+), words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM edited WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), less AS (
+    SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) r(i)
+), near AS (
+    SELECT p.word, q.word AS other, q.n AS other_n FROM less p JOIN less q ON p.rest = q.rest AND p.i = q.i AND p.word <> q.word
+    UNION SELECT p.word, q.word, q.n FROM less p JOIN words q ON q.word = p.rest
+    UNION SELECT q.word, p.word, p.n FROM less p JOIN words q ON q.word = p.rest
+), best AS (
+    SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), forms AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN best USING (word)
+), walk AS (
+    SELECT word, coalesce(form, word) AS at FROM forms UNION SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN walk ON walk.word = f.word JOIN forms e ON e.word = walk.at AND e.form IS NULL
+"""
+
+ORACLES: dict[str, str] = {"op2_embedding_dedup": OP2, "op3_ngram_join": OP3, "op7_warc": OP7, "op12_spelling_variants": OP12}
