@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilt.llm import bpe, embedding_dedup, html_text, mixing, ngram_join, periodic_runs, quality_model, quality_rules, sharding, spelling, suffix_dedup, warc
+from quilt.llm import bpe, embedding_dedup, fingerprints, html_text, mixing, ngram_join, periodic_runs, quality_model, quality_rules, sharding, spelling, suffix_dedup, warc
 from quilt.llm.common import table
 from quilt.llm.oracles import ORACLES
 
@@ -72,5 +72,9 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_embedding_dedup": op2_embedding_dedup, "op3_ngram_join": op3_ngram_join, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op4_quality_model": op4_quality_model, "op7_warc": op7_warc, "op8_suffix_dedup": op8_suffix_dedup, "op9_html_text": op9_html_text, "op10_bpe": op10_bpe, "op11_periodic_runs": op11_periodic_runs, "op12_spelling_variants": op12_spelling_variants}
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_embedding_dedup": op2_embedding_dedup, "op3_ngram_join": op3_ngram_join, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op4_quality_model": op4_quality_model, "op7_warc": op7_warc, "op8_suffix_dedup": op8_suffix_dedup, "op9_html_text": op9_html_text, "op10_bpe": op10_bpe, "op11_periodic_runs": op11_periodic_runs, "op12_spelling_variants": op12_spelling_variants, "op13_fingerprints": op13_fingerprints}
 __all__ = ["ORACLES", "QUERIES"]
