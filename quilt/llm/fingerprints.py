@@ -66,7 +66,10 @@ def _digits(c: Column, n: int = 8) -> Column:
 
 
 def summed(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, fingerprint): the keys must tell rows apart; triples are exploded and summed, a row for each text and task."""
+    """(keys, sums): the keys must tell rows apart; triples are exploded and summed, a row for each text and task.
+
+    ``sums`` is a struct of the digits of the paragraphs' own fields, the number of triples, and the counts of bits, two a long.
+    """
     # the names of own columns can't clash with the caller's
     own = [f"_{k}" for k in range(len(keys))]
     named = [F.col(f"`{k}`").alias(o) for k, o in zip(keys, own, strict=True)]
@@ -76,16 +79,20 @@ def summed(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     pair = F.lit((1 << 32) | 1)
     again = F.when(F.col("_h").isNotNull(), F.xxhash64("_h"))
     counted = [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(pair)) for h in (F.col("_h"), again) for k in range(32)]
-    counted = [F.coalesce(c, F.lit(0).cast("long")).alias(f"_s{i}") for i, c in enumerate(counted)]
-    sums = each.groupBy(*own, "_f").agg(F.count("_h").alias("_n"), *counted)
-    written = F.concat("_f", _digits(F.col("_n")), *[_digits(F.col(f"_s{i}"), 16) for i in range(BITS // 2)])
-    return sums.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], written.alias("fingerprint"))
+    sums = each.groupBy(*own, "_f").agg(F.count("_h").alias("_n"), *[F.coalesce(c, F.lit(0).cast("long")).alias(f"_s{i}") for i, c in enumerate(counted)])
+    packed = F.array(*[F.col(f"_s{i}") for i in range(BITS // 2)])
+    return sums.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], F.struct(F.col("_f").alias("own"), F.col("_n").alias("n"), packed.alias("bits")).alias("sums"))
+
+
+def written(sums: Column) -> Column:
+    """The fingerprint, from the struct of :func:`summed`."""
+    return F.concat(sums["own"], _digits(sums["n"]), F.array_join(F.transform(sums["bits"], lambda x: _digits(x, 16)), ""))
 
 
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint), a row for each row of ``docs``."""
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.monotonically_increasing_id().alias("row"))
-    return summed(rows, ["k", "row"], "t").select(F.col("k").alias(key), "fingerprint")
+    return summed(rows, ["k", "row"], "t").select(F.col("k").alias(key), written(F.col("sums")).alias("fingerprint"))
 
 
 # arithmetic on fingerprints
@@ -116,16 +123,25 @@ def projection(f: Column) -> Column:
     return _let(fields(f), lambda x: F.transform(F.slice(x, 2 * HASHES + 2, BITS), lambda c: (2 * c - F.get(x, F.lit(2 * HASHES))).cast("double")))
 
 
-def likeness_of(a: Column, b: Column) -> Column:
-    """From two projections, 0 to 1; two empty ones are alike."""
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    both = dot(a, a) + dot(b, b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * dot(a, b) / both)))
+def _projected(sums: Column) -> Column:
+    """The same from the struct of :func:`summed`."""
+    halves = F.flatten(F.transform(sums["bits"], lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(FIELD)))))
+    return _let(sums["n"], lambda n: F.transform(halves, lambda c: (2 * c - n).cast("double")))
+
+
+def _dot(p: Column, q: Column) -> Column:
+    return F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _share(pq: Column, pp: Column, qq: Column) -> Column:
+    """From inner products, 0 to 1; two empty texts are alike."""
+    return F.when(pp + qq == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * pq / (pp + qq))))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two fingerprints: 1 if they are equal, else the estimated share of common triples."""
-    return F.when(a == b, F.lit(1.0)).otherwise(likeness_of(projection(a), projection(b)))
+    estimate = _let(projection(a), lambda p: _let(projection(b), lambda q: _share(_dot(p, q), _dot(p, p), _dot(q, q))))
+    return F.when(a == b, F.lit(1.0)).otherwise(estimate)
 
 
 # the query
@@ -179,16 +195,18 @@ def compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     # a bucket's first text is the guest of the bucket above, as before
     here = F.struct("bucket", F.lit(0).alias("guest"))
     there = F.struct(F.when(F.col("bucket") == F.col("top"), 0).otherwise(F.col("bucket") + 1).alias("bucket"), F.lit(1).alias("guest"))
-    spread = prints.withColumn("at", F.explode(F.when((F.col("rank") == 1) & (F.col("which") == 0), F.array(here, there)).otherwise(F.array(here)))).select("at.*", *[k for k in keys if k != "bucket"], "fingerprint")
+    spread = prints.withColumn("at", F.explode(F.when((F.col("rank") == 1) & (F.col("which") == 0), F.array(here, there)).otherwise(F.array(here)))).select("at.*", *[k for k in keys if k != "bucket"], "sums")
     order = Window.partitionBy("bucket").orderBy("guest", "rank", "which")
-    seen = spread.select("*", F.lead("sha").over(order).alias("edited_sha256"), F.lead("fingerprint").over(order).alias("edited_fingerprint"), F.lead("fingerprint", 2).over(order).alias("next_fingerprint"))
+    seen = spread.select("*", F.lead("sha").over(order).alias("edited_sha256"), F.lead("sums").over(order).alias("edited"), F.lead("sums", 2).over(order).alias("next"))
     kept = seen.where("guest = 0 and which = 0")
-    return kept.select(
+    near = _let(_projected(F.col("sums")), lambda p: _let(_dot(p, p), lambda pp: F.struct(*[_let(_projected(F.col(c)), lambda q: _share(_dot(p, q), pp, _dot(q, q))).alias(c) for c in ("edited", "next")])))
+    out = kept.select("id", "n_chars", "edited_sha256", "sums", "edited", "next", near.alias("near"))
+    return out.select(
         F.col("id").alias(key),
         "n_chars",
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        written(F.col("sums")).alias("fingerprint"),
+        written(F.col("edited")).alias("edited_fingerprint"),
+        F.when(F.col("sums") == F.col("edited"), F.lit(1.0)).otherwise(F.col("near.edited")).alias("near_edited"),
+        F.when(F.col("sums") == F.col("next"), F.lit(1.0)).otherwise(F.col("near.next")).alias("near_next"),
     )
