@@ -13,7 +13,8 @@ from quilt.functions import scalars, signature
 from quilt.functions.storage import materialise
 from quilt.operators import partitioners as P
 from quilt.operators import trie
-from quilt.operators.traversal import Graph, run
+from quilt.operators.frontier import Field, count_hops, count_one
+from quilt.operators.traversal import Graph
 from quilt.plans import workload as W
 from quilt.sources import adjacency, relational
 from quilt.sources.relational import CODES, OFFSETS, PRIME
@@ -54,13 +55,17 @@ def graph(spark: SparkSession, sf_dir: str, labels: tuple[str, ...] = tuple(OFFS
     return Graph(v.select("id", "label", "part"), relational.edges(spark, sf_dir, labels))
 
 
+def field(spark: SparkSession, sf_dir: str) -> Field:
+    """The same for counting; keys and their foreign keys join no two vertices both ways."""
+    return Field.of(graph(spark, sf_dir), K, oriented=True)
+
+
 G = graph_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation -> Customer -> Order over a round-robin partitioning: paths and crossings of each hop."""
-    g = graph(spark, sf_dir)
-    return run(g.get_all("Nation"), lambda t: t.neighbours("Customer"), lambda t: t.neighbours("Order"))[1]
+    return count_one(field(spark, sf_dir).get_all("Nation"), lambda t: t.neighbours("Customer"), lambda t: t.neighbours("Order"))
 
 
 # sources and the graph view
@@ -243,7 +248,7 @@ def _hops_sql(start: str, steps: list[str | int | None]) -> str:
 def _workload(q):
     def f(spark, d):
         start, steps = W.QUERIES["tables"][q]
-        return run(start(graph(spark, d)), *steps)[1]
+        return count_one(start(field(spark, d)), *steps)
 
     f.__name__ = f"workload_{q}"
     return f
@@ -615,7 +620,7 @@ def experiment_ipt(spark, d):
     g = graph(spark, d)
     g = Graph(materialise(g.vertices), materialise(g.edges))
     adds = W.draw_counts(W.draws(spark, W.fixed_stream(W.MIX, set(W.MIX)), W.DRAWS))
-    hops = [run(start(g), *steps)[1].agg(F.sum("ipt").alias("ipt")).select(F.lit(q).alias("query"), "ipt") for q, (start, steps) in sorted(W.QUERIES["tables"].items())]
+    hops = [count_one(start(Field.of(g, K, oriented=True)), *steps).agg(F.sum("ipt").alias("ipt")).select(F.lit(q).alias("query"), "ipt") for q, (start, steps) in sorted(W.QUERIES["tables"].items())]
     each = hops[0].union(hops[1]).union(hops[2])
     return each.join(F.broadcast(adds), "query").select("query", F.col("n").cast("int").alias("draws"), (F.col("ipt") * F.col("n")).cast("long").alias("ipt"))
 
