@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from quilt.operators.frontier import Field, count_hops, count_one
 from quilt.operators.traversal import Graph
 from quilt.plans import workload as W
 from quilt.sources import adjacency, relational
+from quilt.sources import stored as stored_graph
 from quilt.sources.relational import CODES, OFFSETS, PRIME
 
 K = 4
@@ -264,6 +266,20 @@ def ipt_per_hop(spark, d):
     return flagship(spark, d)
 
 
+_ALL_HOPS = " UNION ALL ".join(f"SELECT {i} AS hop, CAST(sum(w) AS BIGINT) AS n_paths, CAST(coalesce(sum(x), 0) AS BIGINT) AS ipt FROM h{i}" for i in range(4))
+
+
+@query(f"{G}, h0 AS (SELECT id AS at, part, 1::HUGEINT AS w, 0::HUGEINT AS x FROM v WHERE label = 'Supplier'), " + ", ".join(f"h{i + 1} AS (SELECT nb.u AS at, nb.u_part AS part, sum(h.w) AS w, sum(CASE WHEN h.part <> nb.u_part THEN h.w ELSE 0 END) AS x FROM h{i} h JOIN nb ON nb.v = h.at GROUP BY ALL)" for i in range(3)) + f" {_ALL_HOPS}")
+def stored_hops(spark, d):
+    """Three hops from every supplier to neighbours of any label, over adjacency at rest: both directions, bucketed by vertex."""
+    g = graph(spark, d)
+    at_rest = stored_graph.store(g.vertices, g.edges, oriented=True)
+    hops = count_one(replace(Field.of(g, K), adjacency=at_rest).get_all("Supplier"), *[lambda t: t.neighbours()] * 3)
+    hops = materialise(hops)
+    at_rest.drop()
+    return hops
+
+
 # factors and signatures
 
 _CODE = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CODES.items()) + " END"
