@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from quilt.functions import scalars, signature
 from quilt.functions.storage import materialise
 from quilt.operators import partitioners as P
 from quilt.operators import trie
-from quilt.operators.frontier import Field, count_hops, count_one
+from quilt.operators.frontier import EdgeList, Field, count_one
 from quilt.operators.traversal import Graph
 from quilt.plans import workload as W
 from quilt.sources import adjacency, relational
@@ -640,3 +641,81 @@ def experiment_ipt(spark, d):
     each = hops[0].union(hops[1]).union(hops[2])
     return each.join(F.broadcast(adds), "query").select("query", F.col("n").cast("int").alias("draws"), (F.col("ipt") * F.col("n")).cast("long").alias("ipt"))
 
+
+
+# orders of arrival and partitioners, all in one traversal
+
+_ARRIVALS = {"by_id": "id", "scattered": "(CAST(id AS BIGINT) * 2654435761) % 4294967296, id", "breadth_first": "level, id"}
+_PLACERS = ("round_robin", "ldg", "fennel")
+
+
+def _arrival_sql(name: str) -> str:
+    """CTEs: the order's round robin, then what LDG and Fennel choose against it, each vertex once."""
+    near = f"SELECT nb0.v AS id, p.part, count(*) AS c FROM nb0 JOIN {name}_0 p ON p.id = nb0.u GROUP BY ALL"
+    grid = f"SELECT v0.id, s.part, s.size, coalesce(c.c, 0) AS c FROM {name}_0 v0 CROSS JOIN (SELECT part, count(*) AS size FROM {name}_0 GROUP BY part) s LEFT JOIN ({near}) c ON c.id = v0.id AND c.part = s.part"
+    pick = lambda score, allowed: f"SELECT id, part FROM (SELECT id, part, row_number() OVER (PARTITION BY id ORDER BY {score} DESC, size, part DESC) AS r FROM {name}_g WHERE {allowed}) WHERE r = 1"
+    total = "(SELECT count(*) FROM ordered)"
+    ldg = f"CAST(c * (1 - size // ({total} // {K})) AS BIGINT)"
+    fennel = f"c - sqrt({K}) * (SELECT count(*) FROM e) / pow({total}, 1.5) * 0.75 * sqrt(size)"
+    return f"""{name}_0 AS MATERIALIZED (SELECT id, CAST((row_number() OVER (ORDER BY {_ARRIVALS[name]}) - 1) % {K} AS INTEGER) AS part FROM ordered), {name}_g AS MATERIALIZED ({grid}),
+{name}_1 AS ({pick(ldg, "true")}), {name}_2 AS ({pick(fennel, f"size < 1.1 * {total} / {K}")})"""
+
+
+def _draw_hops_sql(q: str) -> tuple[str, str]:
+    """CTEs of a query's runs, and the crossings of each run and partitioning."""
+    start, steps = _TABLE_STEPS[q]
+    ctes, hop, outs = [f"{q}_s AS (SELECT d.i AS run, v.id AS v0, v.id AS cur, v.id AS prev FROM v JOIN drawn d ON d.query = '{q}' WHERE v.label = '{start}')"], 0, []
+    name = f"{q}_s"
+    for i, s in enumerate(steps):
+        cols = ", ".join(f"v{j}" for j in range(hop + 1))
+        if isinstance(s, str):
+            ctes.append(f"{q}_{i} AS MATERIALIZED (SELECT t.run, {', '.join(f't.v{j}' for j in range(hop + 1))}, nb.u AS v{hop + 1}, nb.u AS cur, t.cur AS prev FROM {name} t JOIN nb ON nb.v = t.cur WHERE nb.u_label = '{s}')")
+            hop += 1
+            outs.append(f"SELECT run, name, CAST(a.part IS DISTINCT FROM b.part AS INTEGER) AS x FROM {q}_{i} t JOIN places a ON a.id = t.prev JOIN places b USING (name) WHERE b.id = t.cur")
+        elif s is None:
+            ctes.append(f"{q}_{i} AS (SELECT * FROM {name} WHERE (CAST(cur AS BIGINT) * 2654435761 + run * 40503) % 100 > 89)")
+        else:
+            ctes.append(f"{q}_{i} AS MATERIALIZED (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY {cols}) AS r FROM {name}) WHERE r <= {s})")
+        name = f"{q}_{i}"
+    return ", ".join(ctes), f"SELECT run, '{q}' AS query, name, sum(x) AS ipt FROM ({' UNION ALL '.join(outs)}) GROUP BY run, name"
+
+
+_DRAWN = f"drawn AS (SELECT CAST(i AS INTEGER) AS i, CASE WHEN x <= 0.4 THEN 'q1' WHEN x <= 0.5 THEN 'q2' ELSE 'q3' END AS query FROM u WHERE i < {W.DRAWS})"
+_RUNS = [_draw_hops_sql(q) for q in _TABLE_STEPS]
+_EXPERIMENT = f"""{G}, {_UNIFORM}, {_DRAWN}, nb0 AS MATERIALIZED (SELECT v, u FROM nb), walk AS (SELECT id, 0 AS level FROM v WHERE label = 'Region' UNION SELECT nb0.u, level + 1 FROM walk JOIN nb0 ON nb0.v = walk.id WHERE level < 6),
+ordered AS MATERIALIZED (SELECT v.id, coalesce(l.level, 2147483647) AS level FROM v LEFT JOIN (SELECT id, min(level) AS level FROM walk GROUP BY id) l ON l.id = v.id),
+{", ".join(_arrival_sql(a) for a in _ARRIVALS)}, places AS MATERIALIZED ({" UNION ALL ".join(f"SELECT '{a}/{p}' AS name, id, part FROM {a}_{i}" for a in _ARRIVALS for i, p in enumerate(_PLACERS))}),
+{", ".join(x for x, _ in _RUNS)}, counted AS ({" UNION ALL ".join(x for _, x in _RUNS)})"""
+
+
+def _experiment(spark, d) -> DataFrame:
+    """Every draw of the recorded mix over three orders of arrival and three partitioners."""
+    v, e = relational.vertices(spark, d), materialise(relational.edges(spark, d))
+    level = relational.bfs_order(v, e, v.where("label = 'Region'").select("id"))
+    ordered = materialise(v.join(level, "id").withColumn("key", (F.col("id").cast("long") * 2654435761) % 4294967296))
+    parts, names = [], []
+    for arrival, order in {"by_id": ["id"], "scattered": ["key", "id"], "breadth_first": ["level", "id"]}.items():
+        placed = P.round_robin(relational.sequence(ordered, *order), K).select("id", "label", "part")
+        g = Graph(materialise(placed), e)
+        for name, choice in zip(_PLACERS, (g.vertices, _ldg_frozen(g, g.vertices), _fennel_frozen(g, g.vertices)), strict=True):
+            names.append(f"{arrival}/{name}")
+            parts.append(choice.select("id", F.lit(len(parts)).alias("p"), "part"))
+    # nine rows a vertex at most; one without a part in some partitioning keeps a null there
+    whose = reduce(DataFrame.union, parts).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("p", "part"))).alias("by"))
+    listed = F.array(*[F.try_element_at("by", F.lit(i)) for i in range(len(names))])
+    vertices = materialise(v.join(whose, "id", "left").select("id", "label", listed.alias("parts")))
+    field = Field(vertices, EdgeList(e, oriented=True), K, len(names))
+    drawn = [r.query for r in W.draws(spark, W.fixed_stream(W.MIX, set(W.MIX)), W.DRAWS).orderBy("i").collect()]
+    return W.experiment_counts(field, "tables", drawn, names)
+
+
+@query(f"{_EXPERIMENT} SELECT run, query, name AS partitioning, CAST(ipt AS BIGINT) AS ipt FROM counted")
+def experiment_draws(spark, d):
+    """(run, query, partitioning, ipt): the crossings of each draw under each order and partitioner."""
+    return _experiment(spark, d).select("run", "query", "partitioning", "ipt")
+
+
+@query(f"{_EXPERIMENT}, sums AS (SELECT split_part(name, '/', 1) AS arrival, split_part(name, '/', 2) AS partitioner, CAST(sum(ipt) AS BIGINT) AS ipt FROM counted GROUP BY ALL) SELECT s.arrival, s.partitioner, s.ipt, CASE WHEN b.ipt > 0 THEN round(s.ipt / CAST(b.ipt AS DOUBLE), 9) END AS ratio FROM sums s JOIN sums b ON b.arrival = s.arrival AND b.partitioner = 'round_robin'")
+def experiment_ratios(spark, d):
+    """(arrival, partitioner, ipt, ratio): IPT against round robin, for each order of arrival."""
+    return W.against_control(_experiment(spark, d), "round_robin")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quilt.functions.scalars import timed
+from quilt.operators.frontier import Field, Walk, count_hops
 from quilt.operators.traversal import Graph, Traversal, run
 
 #: The paths of labels that make up each data set's query patterns.
@@ -185,6 +186,44 @@ def experiments(vertices: DataFrame, edges: DataFrame, dataset: str, orders: dic
     return reduce(DataFrame.union, out)
 
 
+def experiment_counts(field: Field, dataset: str, drawn: list[str], names: list[str]) -> DataFrame:
+    """(run, query, partitioning, n_paths, ipt): every draw is a run of its own, and all partitionings are counted in the same traversal.
+
+    A run samples its own tenth of a frontier. ``names`` are those of the field's partitionings, in their order.
+    """
+    out = []
+    for q in sorted(set(drawn)):
+        start, steps = QUERIES[dataset][q]
+        runs = tuple(i for i, x in enumerate(drawn) if x == q)
+        first = start(_Runs(field, runs))
+        sums = count_hops(first, *steps).select("run", "n_paths", F.posexplode("ipts").alias("p", "ipt")).groupBy("run", "p").agg(F.sum("n_paths").alias("n_paths"), F.sum("ipt").alias("ipt"))
+        named = F.array(*[F.lit(n) for n in names])
+        out.append(sums.select("run", F.lit(q).alias("query"), F.get(named, F.col("p")).alias("partitioning"), "n_paths", "ipt"))
+    return reduce(DataFrame.union, out)
+
+
+@dataclass(frozen=True)
+class _Runs:
+    """A field whose queries start with several runs."""
+
+    field: Field
+    runs: tuple[int, ...]
+
+    def get_all(self, label: str) -> Walk:
+        return self.field.get_all(label, self.runs)
+
+
+def against_control(counts: DataFrame, control: str) -> DataFrame:
+    """(arrival, partitioner, ipt, ratio): sums over all runs, and their ratio to those of ``control`` for the same order of arrival.
+
+    Partitionings are called arrival/partitioner; no ratio where the control never crosses.
+    """
+    name = F.split("partitioning", "/")
+    sums = counts.groupBy(F.get(name, F.lit(0)).alias("arrival"), F.get(name, F.lit(1)).alias("partitioner")).agg(F.sum("ipt").alias("ipt"))
+    base = sums.where(F.col("partitioner") == control).select("arrival", F.col("ipt").alias("base"))
+    return sums.join(F.broadcast(base), "arrival").select("arrival", "partitioner", "ipt", F.when(F.col("base") > 0, F.round(F.col("ipt") / F.col("base"), 9)).alias("ratio"))
+
+
 def trial(graph: Graph, dataset: str) -> DataFrame:
     """(query, time_ms, n_paths, ipt) of each query once."""
     rows = []
