@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,18 +27,19 @@ BROADCAST_ROWS = 200_000
 
 @dataclass(frozen=True)
 class EdgeList:
-    """Adjacency from edges(src, dst) that may carry the labels of their ends; ``oriented`` says that no pair of vertices is joined both ways or twice."""
+    """Adjacency from edges(src, dst) that may carry the labels of their ends; ``unique`` says that no pair of vertices is joined both ways or twice."""
 
     edges: DataFrame
-    oriented: bool = False
+    unique: bool = False
 
-    def pairs(self, label: str | None) -> DataFrame:
-        """(v, u): each neighbour once."""
+    def pairs(self, label: str | None, of: str | None = None, raw: bool = False) -> DataFrame:
+        """(v, u): each neighbour once, or as often as edges say so if ``raw``; where edges carry labels, only those between the two labels are read."""
         out = into = self.edges
-        if label is not None and {"src_label", "dst_label"} <= set(self.edges.columns):
-            out, into = out.where(F.col("dst_label") == label), into.where(F.col("src_label") == label)
+        for near, far, name in (("src_label", "dst_label", label), ("dst_label", "src_label", of)):
+            if name is not None and {near, far} <= set(self.edges.columns):
+                out, into = out.where(F.col(far) == name), into.where(F.col(near) == name)
         both = out.select(F.col("src").alias("v"), F.col("dst").alias("u")).union(into.select("dst", "src"))
-        return both if self.oriented else both.distinct()
+        return both if self.unique or raw else both.distinct()
 
 
 @dataclass(frozen=True)
@@ -52,9 +52,9 @@ class Field:
     m: int = 1
 
     @classmethod
-    def of(cls, graph: Graph, k: int, oriented: bool = False) -> Field:
+    def of(cls, graph: Graph, k: int, unique: bool = False) -> Field:
         """The graph's own partitioning."""
-        return cls(graph.vertices.select("id", "label", F.array("part").alias("parts")), EdgeList(graph.edges, oriented), k)
+        return cls(graph.vertices.select("id", "label", F.array("part").alias("parts")), EdgeList(graph.edges, unique), k)
 
     def ends(self, label: str | None, name: str = "u") -> DataFrame:
         v = self.vertices if label is None else self.vertices.where(F.col("label") == label)
@@ -63,12 +63,16 @@ class Field:
     def get_all(self, label: str, runs: tuple[int, ...] = (0,)) -> Walk:
         v = self.ends(label, "at").withColumn("run", F.explode(F.array(*[F.lit(r) for r in runs])) if len(runs) > 1 else F.lit(runs[0]))
         none = F.array_repeat(F.lit(0).cast("long"), self.m)
-        return Walk(self, v.select("run", "at", "parts", F.lit(1).cast("long").alias("w"), none.alias("x")), v.select("run", F.col("at").alias("v0")), single=len(runs) == 1)
+        return Walk(self, v.select("run", "at", "parts", F.lit(1).cast("long").alias("w"), none.alias("x")), v.select("run", F.col("at").alias("v0")), label=label, single=len(runs) == 1)
 
-    def hop(self, front: DataFrame, label: str | None, small: bool = False) -> DataFrame:
-        """(run, at, parts, w, x): the paths that reach each vertex, and how many of them have just crossed in each partitioning."""
+    def hop(self, front: DataFrame, label: str | None, of: str | None = None, small: bool = False) -> DataFrame:
+        """(run, at, parts, w, x): the paths that reach each vertex, and how many of them have just crossed in each partitioning.
+
+        A small frontier goes to the edges, and repeats are dropped among those it meets; else all edges are made distinct first.
+        """
         rows = front.select("run", "at", "parts", "w")
-        met = self.adjacency.pairs(label).join(F.broadcast(rows) if small else rows, F.col("v") == F.col("at"))
+        met = self.adjacency.pairs(label, of, raw=small).join(F.broadcast(rows) if small else rows, F.col("v") == F.col("at"))
+        met = met if self.adjacency.unique or not small else met.dropDuplicates(["run", "v", "u"])
         # weights by the partition they come from: k sums for each partitioning, made before the shuffle
         from_part = [F.sum(F.when(F.get("parts", F.lit(i)) == j, F.col("w")).otherwise(0)).alias(f"s_{i}_{j}") for i in range(self.m) for j in range(self.k)]
         reached = met.groupBy("run", "u").agg(F.sum("w").alias("w"), *from_part).join(self.ends(label), "u")
@@ -82,9 +86,9 @@ class Field:
         return reached.select("run", F.col("u").alias("at"), "parts", "w", F.array(*[crossed(i) for i in range(self.m)]).alias("x"))
 
     def totals(self, front: DataFrame, step: int) -> DataFrame:
-        """(run, hop, n_paths, ipts): ipts is an array with the crossings of each partitioning; no row for a run without paths."""
+        """(run, hop, n_paths, ipts, size): ipts is an array with the crossings of each partitioning; no row for a run without paths."""
         sums = [F.sum(F.get("x", F.lit(i))) for i in range(self.m)]
-        return front.groupBy("run").agg(F.sum("w").alias("n_paths"), F.array(*sums).alias("ipts")).select("run", F.lit(step).alias("hop"), "n_paths", "ipts")
+        return front.groupBy("run").agg(F.sum("w").alias("n_paths"), F.array(*sums).alias("ipts"), F.count("*").alias("size")).select("run", F.lit(step).alias("hop"), "n_paths", "ipts", "size")
 
 
 def sampled(v: Column, run: Column) -> Column:
@@ -100,17 +104,21 @@ class Walk:
     front: DataFrame
     paths: DataFrame | None
     step: int = 0
+    #: label of the vertices where it stands, if that is known
+    label: str | None = None
+    #: whether frontier and paths were counted, or taken, to be few
     small: bool = False
+    few: bool = False
     single: bool = True
 
     def neighbours(self, label: str | None = None) -> Walk:
         paths = self.paths
         if paths is not None:
-            n = self.field.adjacency.pairs(label)
+            n = self.field.adjacency.pairs(label, self.label)
             if label is not None:
                 n = n.join(self.field.ends(label).select("u"), "u")
-            paths = paths.join(n, F.col(f"v{self.step}") == F.col("v")).select(*self.paths.columns, F.col("u").alias(f"v{self.step + 1}"))
-        return replace(self, front=self.field.hop(self.front, label, self.small), paths=paths, step=self.step + 1, small=False)
+            paths = (F.broadcast(paths) if self.few else paths).join(n, F.col(f"v{self.step}") == F.col("v")).select(*self.paths.columns, F.col("u").alias(f"v{self.step + 1}"))
+        return replace(self, front=self.field.hop(self.front, label, self.label, self.small), paths=paths, step=self.step + 1, label=label, small=False, few=False)
 
     def sample(self) -> Walk:
         paths = None if self.paths is None else self.paths.where(sampled(F.col(f"v{self.step}"), F.col("run")))
@@ -120,7 +128,8 @@ class Walk:
         """The first n paths of each run in the order of their vertices; tasks keep n of a run at most."""
         order = [f"v{i}" for i in range(self.step + 1)]
         if self.single:
-            return self._left(materialise(self.paths.orderBy(*order).limit(n)))
+            left = self._left(materialise(self.paths.orderBy(*order).limit(n)))
+            return replace(left, small=n <= BROADCAST_ROWS, few=n <= BROADCAST_ROWS)
         ranked = self.paths.withColumn("_r", F.row_number().over(Window.partitionBy("run").orderBy(*order)))
         return self._left(materialise(ranked.where(F.col("_r") <= n).drop("_r")))
 
@@ -168,23 +177,28 @@ def count_hops(start: Walk, *steps: Callable[[Walk], Walk]) -> DataFrame:
     last = max((i for i, a in enumerate(asks) if a.needs_paths), default=-1)
     final = max((i for i, a in enumerate(asks) if a.hops), default=-1)
     now = start if last >= 0 else replace(start, paths=None)
-    counts = [now.field.totals(now.front, 0)]
+    found, _ = _read(now.field.totals(now.front, 0))
     for i, step in enumerate(steps[: final + 1]):
         now = step(now)
         if i >= last:
             now = replace(now, paths=None)
         if asks[i].hops:
             if i < final:
-                front = materialise(now.front)
-                now = replace(now, front=front, small=front.count() <= BROADCAST_ROWS)
-            counts.append(now.field.totals(now.front, now.step))
-    return reduce(DataFrame.union, counts)
+                now = replace(now, front=materialise(now.front))
+            rows, size = _read(now.field.totals(now.front, now.step))
+            found += rows
+            now = replace(now, small=size <= BROADCAST_ROWS)
+    return start.front.sparkSession.createDataFrame(found, "run int, hop int, n_paths long, ipts array<long>")
+
+
+def _read(totals: DataFrame) -> tuple[list[tuple], int]:
+    """A row for each run, and the size of the frontier."""
+    rows = totals.collect()
+    return [(r.run, r.hop, r.n_paths, r.ipts) for r in rows], sum(r.size for r in rows)
 
 
 def count_one(start: Walk, *steps: Callable[[Walk], Walk]) -> DataFrame:
     """(hop, n_paths, ipt) of a single run over a single partitioning; hops that no path reaches count nothing."""
-    found = count_hops(start, *steps)
+    found = {r.hop: (r.n_paths, r.ipts[0]) for r in count_hops(start, *steps).collect()}
     hops = 1 + sum(_asks(s).hops for s in steps)
-    zero = F.lit(0).cast("long")
-    every = found.sparkSession.range(hops).select(F.col("id").cast("int").alias("hop"))
-    return every.join(F.broadcast(found), "hop", "left").select("hop", F.coalesce("n_paths", zero).alias("n_paths"), F.coalesce(F.get("ipts", F.lit(0)), zero).alias("ipt"))
+    return start.front.sparkSession.createDataFrame([(h, *found.get(h, (0, 0))) for h in range(hops)], "hop int, n_paths long, ipt long")

@@ -59,8 +59,9 @@ def graph(spark: SparkSession, sf_dir: str, labels: tuple[str, ...] = tuple(OFFS
 
 
 def field(spark: SparkSession, sf_dir: str) -> Field:
-    """The same for counting; keys and their foreign keys join no two vertices both ways."""
-    return Field.of(graph(spark, sf_dir), K, oriented=True)
+    """The same for counting; line items repeat edges, which is left to the hops."""
+    g = graph(spark, sf_dir)
+    return Field.of(Graph(g.vertices, relational.edges(spark, sf_dir, distinct=False)), K)
 
 
 G = graph_sql()
@@ -274,7 +275,7 @@ _ALL_HOPS = " UNION ALL ".join(f"SELECT {i} AS hop, CAST(sum(w) AS BIGINT) AS n_
 def stored_hops(spark, d):
     """Three hops from every supplier to neighbours of any label, over adjacency at rest: both directions, bucketed by vertex."""
     g = graph(spark, d)
-    at_rest = stored_graph.store(g.vertices, g.edges, oriented=True)
+    at_rest = stored_graph.store(g.vertices, g.edges, unique=True)
     hops = count_one(replace(Field.of(g, K), adjacency=at_rest).get_all("Supplier"), *[lambda t: t.neighbours()] * 3)
     hops = materialise(hops)
     at_rest.drop()
@@ -637,7 +638,7 @@ def experiment_ipt(spark, d):
     g = graph(spark, d)
     g = Graph(materialise(g.vertices), materialise(g.edges))
     adds = W.draw_counts(W.draws(spark, W.fixed_stream(W.MIX, set(W.MIX)), W.DRAWS))
-    hops = [count_one(start(Field.of(g, K, oriented=True)), *steps).agg(F.sum("ipt").alias("ipt")).select(F.lit(q).alias("query"), "ipt") for q, (start, steps) in sorted(W.QUERIES["tables"].items())]
+    hops = [count_one(start(Field.of(g, K, unique=True)), *steps).agg(F.sum("ipt").alias("ipt")).select(F.lit(q).alias("query"), "ipt") for q, (start, steps) in sorted(W.QUERIES["tables"].items())]
     each = hops[0].union(hops[1]).union(hops[2])
     return each.join(F.broadcast(adds), "query").select("query", F.col("n").cast("int").alias("draws"), (F.col("ipt") * F.col("n")).cast("long").alias("ipt"))
 
@@ -704,7 +705,7 @@ def _experiment(spark, d) -> DataFrame:
     whose = reduce(DataFrame.union, parts).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("p", "part"))).alias("by"))
     listed = F.array(*[F.try_element_at("by", F.lit(i)) for i in range(len(names))])
     vertices = materialise(v.join(whose, "id", "left").select("id", "label", listed.alias("parts")))
-    field = Field(vertices, EdgeList(e, oriented=True), K, len(names))
+    field = Field(vertices, EdgeList(e, unique=True), K, len(names))
     drawn = [r.query for r in W.draws(spark, W.fixed_stream(W.MIX, set(W.MIX)), W.DRAWS).orderBy("i").collect()]
     return W.experiment_counts(field, "tables", drawn, names)
 

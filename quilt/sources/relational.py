@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from itertools import count
 
@@ -25,8 +26,8 @@ def vertices(spark: SparkSession, sf_dir: str, labels: tuple[str, ...] = tuple(O
     return reduce(DataFrame.union, parts)
 
 
-def edges(spark: SparkSession, sf_dir: str, labels: tuple[str, ...] = tuple(OFFSETS)) -> DataFrame:
-    """Distinct (src, dst, src_label, dst_label) between the chosen labels."""
+def edges(spark: SparkSession, sf_dir: str, labels: tuple[str, ...] = tuple(OFFSETS), distinct: bool = True) -> DataFrame:
+    """(src, dst, src_label, dst_label) between the chosen labels, each edge once unless ``distinct`` is false."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     every = [
         ("Nation", "n_nationkey", "Region", "n_regionkey", "nation", False),
@@ -41,7 +42,7 @@ def edges(spark: SparkSession, sf_dir: str, labels: tuple[str, ...] = tuple(OFFS
         if a in labels and b in labels:
             part = t(name).select(_id(a, ka).alias("src"), _id(b, kb).alias("dst"))
             # a foreign key of a primary key is distinct as it is; only line items repeat pairs
-            part = part.distinct() if repeat else part
+            part = part.distinct() if repeat and distinct else part
             parts.append(part.select("src", "dst", F.lit(a).alias("src_label"), F.lit(b).alias("dst_label")))
     return reduce(DataFrame.union, parts)
 
@@ -64,7 +65,7 @@ def literal_graph(spark: SparkSession, vertex_rows: list[tuple], edge_rows: list
 def sequence(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
     """Dense numbers from 0 in the given order, without sending all rows to one task.
 
-    Rows are range-partitioned and sorted; each partition's count, a table as small as the number of partitions, gives its first number.
+    Rows are range-partitioned and sorted; the counts of the partitions, as many numbers as there are partitions, give each its first one.
     """
     from quilt.functions.storage import materialise
 
@@ -72,10 +73,12 @@ def sequence(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     placed = materialise(placed)
-    counts = placed.groupBy(F.shiftright("_at", 33).alias("_p")).agg(F.count("*").alias("_n"))
-    starts = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_start"))
-    out = placed.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(starts), "_p")
-    return out.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_at", "_start")
+    counts = {r.p: r.n for r in placed.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
+    first = [0]
+    for p in range(max(counts, default=0)):
+        first.append(first[-1] + counts.get(p, 0))
+    start = F.get(F.from_json(F.lit(json.dumps(first)), "array<bigint>"), F.shiftright("_at", 33).cast("int"))
+    return placed.withColumn(name, start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
 
 
 def random_order(df: DataFrame, seed: int, *key: str) -> DataFrame:

@@ -30,14 +30,18 @@ class StoredAdjacency:
     name: str
     path: str
 
+    #: each neighbour is stored once
+    unique = True
+
     @property
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def pairs(self, label: str | None) -> DataFrame:
+    def pairs(self, label: str | None, of: str | None = None, raw: bool = False) -> DataFrame:
         """(v, u): each neighbour once; only the label's files are read."""
         t = self.table
-        return (t if label is None else t.where(F.col("u_label") == label)).select("v", "u")
+        t = t if label is None else t.where(F.col("u_label") == label)
+        return (t if of is None else t.where(F.col("v_label") == of)).select("v", "u")
 
     def drop(self) -> None:
         """Forget the table and remove its files."""
@@ -47,15 +51,15 @@ class StoredAdjacency:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def store(vertices: DataFrame, edges: DataFrame, oriented: bool = False, buckets: int | None = None) -> StoredAdjacency:
+def store(vertices: DataFrame, edges: DataFrame, unique: bool = False, buckets: int | None = None) -> StoredAdjacency:
     """Write the adjacency of vertices(id, label) and edges(src, dst); neighbours that aren't vertices are left out.
 
-    oriented: no pair of vertices is joined both ways or twice, so that nothing must be made distinct.
+    unique: no pair of vertices is joined both ways or twice, so that nothing must be made distinct.
     """
     spark = vertices.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     label = lambda c: vertices.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
-    pairs = EdgeList(edges, oriented).pairs(None).join(label("u"), "u").join(label("v"), "v")
+    pairs = EdgeList(edges, unique).pairs(None).join(label("u"), "u").join(label("v"), "v")
     name, path = f"adjacency_{uuid.uuid4().hex}", shared_folder(spark, "adjacency")
     placed = pairs.select("v", "v_label", "u", "u_label").repartition(n, "v")
     placed.write.partitionBy("u_label").bucketBy(n, "v").sortBy("v", "u").option("path", path).format("parquet").saveAsTable(name)
