@@ -318,7 +318,7 @@ def edge_signature(spark, d):
 def _combined(edges: DataFrame) -> DataFrame:
     zero = F.lit(0)
     e = _coded(edges).withColumn("s", signature.for_edge_col(F.col("sc"), F.col("dc"), zero, zero, PRIME))
-    return e.groupBy("dst").agg(signature.show_col(signature.merge_all_col(F.col("s"))).alias("sig"))
+    return signature.merge_all(e, ["dst"], "s").select("dst", signature.show_col(signature.expand_col(F.col("counts"))).alias("sig"))
 
 
 @query(f"{graph_sql(SMALL)} SELECT dst, array_to_string(list_sort(flatten(list({_SIG}))), ',') AS sig FROM e WHERE src_label = 'Supplier' GROUP BY dst")
@@ -331,6 +331,19 @@ def signature_combine_whole(spark, d):
     return _combined(relational.edges(spark, d))
 
 
+@query(f"""{G}, es AS (SELECT dst, {_SIG} AS s FROM e), wh AS (SELECT dst, f, count(*) AS n FROM (SELECT dst, unnest(s) AS f FROM es) GROUP BY ALL),
+ph AS (SELECT part, f, count(*) AS n FROM (SELECT part, unnest(s) AS f FROM (SELECT DISTINCT array_to_string(s, ',') AS part, s FROM es)) GROUP BY ALL),
+pn AS (SELECT part, count(*) AS k FROM ph GROUP BY part)
+SELECT ph.part, wh.dst FROM ph JOIN wh ON wh.f = ph.f AND wh.n >= ph.n JOIN pn ON pn.part = ph.part GROUP BY ph.part, wh.dst, pn.k HAVING count(*) = pn.k""")
+def signature_containment(spark, d):
+    """Which edges' signatures lie in the merged signature of which vertex's incoming edges."""
+    zero = F.lit(0)
+    e = _coded(relational.edges(spark, d)).withColumn("s", signature.for_edge_col(F.col("sc"), F.col("dc"), zero, zero, PRIME))
+    wholes = materialise(signature.merge_all(e, ["dst"], "s").withColumnRenamed("dst", "whole"))
+    parts = e.select("s").distinct().select(signature.show_col(F.col("s")).alias("part"), signature.counts_col(F.col("s")).alias("counts"))
+    return signature.containment(materialise(parts), wholes).select("part", F.col("whole").alias("dst"))
+
+
 # the trie: patterns are paths, so their connected edge sets are the ranges of each path
 
 _ROWS = W.pattern_rows(W.PATTERNS["tables"], CODES)
