@@ -18,7 +18,7 @@ from quilt.operators import trie
 from quilt.operators.frontier import EdgeList, Field, count_one
 from quilt.operators.traversal import Graph
 from quilt.plans import workload as W
-from quilt.sources import adjacency, relational
+from quilt.sources import adjacency, json_array, relational
 from quilt.sources import stored as stored_graph
 from quilt.sources.relational import CODES, OFFSETS, PRIME
 
@@ -123,27 +123,44 @@ def json_neighbourhoods(spark, d):
     return back.select("id", names[F.col("label")].alias("label"), ids("in").alias("ins"), ids("out").alias("outs"))
 
 
-@query(f"{G} SELECT v.id, v.label, coalesce((SELECT string_agg(CAST(e.src AS VARCHAR), ',' ORDER BY e.src) FROM e WHERE e.dst = v.id), '') AS ins, coalesce((SELECT string_agg(CAST(e.dst AS VARCHAR), ',' ORDER BY e.dst) FROM e WHERE e.src = v.id), '') AS outs FROM v")
-def json_neighbourhoods_whole(spark, d):
-    """Every vertex's adjacency list, written by the executors as JSON objects, many files, and read back whole."""
-    stand_in = {"Region": "Area", "Nation": "Country", "Supplier": "Label", "Part": "Track", "Customer": "Artist", "Order": "Release"}
-    named = F.create_map(*[F.lit(x) for kv in stand_in.items() for x in kv])
+_STAND_IN = {"Region": "Area", "Nation": "Country", "Supplier": "Label", "Part": "Track", "Customer": "Artist", "Order": "Release"}
+
+
+def _adjacency_text(spark, d) -> DataFrame:
+    """(value): every vertex's adjacency list of the music data set as a JSON object; labels have stand-ins."""
+    named = F.create_map(*[F.lit(x) for kv in _STAND_IN.items() for x in kv])
     v, e = relational.vertices(spark, d), relational.edges(spark, d)
     side = lambda key, other, name: e.groupBy(F.col(key).alias("id")).agg(F.collect_list(F.struct(named[F.col(f"{other}_label")].alias("rel"), F.col(other).alias("id"))).alias(name))
     none = F.array().cast("array<struct<rel:string,id:int>>")
     both = v.join(side("dst", "src", "in"), "id", "left").join(side("src", "dst", "out"), "id", "left")
-    n = both.select(F.struct("id", named[F.col("label")].alias("label"), F.coalesce("in", none).alias("in"), F.coalesce("out", none).alias("out")).alias("v"))
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    import tempfile
+    return both.select(F.to_json(F.struct("id", named[F.col("label")].alias("label"), F.coalesce("in", none).alias("in"), F.coalesce("out", none).alias("out"))).alias("value"))
 
-    path = f"{conf or tempfile.mkdtemp(prefix='graph-')}/json-{uuid.uuid4().hex}"
-    n.select(F.to_json("v").alias("value")).write.text(path)
-    back = adjacency.read_neighbourhoods(spark, path, "music", lines=True)
-    names = F.create_map(*[F.lit(x) for k, v in stand_in.items() for x in (v, k)])
+
+def _shown(back: DataFrame) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for k, v in _STAND_IN.items() for x in (v, k)])
     ids = lambda c: F.array_join(F.transform(F.array_sort(F.transform(c, lambda x: x["id"])), lambda x: x.cast("string")), ",")
     return back.select("id", names[F.col("label")].alias("label"), ids("in").alias("ins"), ids("out").alias("outs"))
 
 
+_LISTS = f"{G} SELECT v.id, v.label, coalesce((SELECT string_agg(CAST(e.src AS VARCHAR), ',' ORDER BY e.src) FROM e WHERE e.dst = v.id), '') AS ins, coalesce((SELECT string_agg(CAST(e.dst AS VARCHAR), ',' ORDER BY e.dst) FROM e WHERE e.src = v.id), '') AS outs FROM v"
+
+
+@query(_LISTS)
+def json_neighbourhoods_whole(spark, d):
+    """Every vertex's adjacency list, written by the executors as JSON objects, many files, and read back whole."""
+    path = stored_graph.shared_folder(spark, "json")
+    _adjacency_text(spark, d).write.text(path)
+    return _shown(adjacency.read_neighbourhoods(spark, path, "music", lines=True))
+
+
+@query(_LISTS)
+def json_neighbourhoods_array(spark, d):
+    """The same through files that are one array each, cut anywhere by the tasks that read them."""
+    path = stored_graph.shared_folder(spark, "json")
+    json_array.write_arrays(_adjacency_text(spark, d), path)
+    return _shown(adjacency.read_neighbourhoods(spark, path, "music", split=True))
+
+
 @query(f"{graph_sql()}, walk AS (SELECT id, 0 AS level FROM v WHERE label = 'Region' UNION SELECT nb.u, level + 1 FROM walk JOIN nb ON nb.v = walk.id WHERE level < 3) SELECT level, count(*) AS n FROM (SELECT id, CAST(min(level) AS INTEGER) AS level FROM walk GROUP BY id) GROUP BY level")
 def bfs_levels(spark, d):
     v, e = relational.vertices(spark, d), relational.edges(spark, d)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quilt.sources import json_array
+
 _NEIGHBOUR = "array<struct<rel:string,id:bigint>>"
 SCHEMA = f"id bigint, label string, `in` {_NEIGHBOUR}, `out` {_NEIGHBOUR}"
 
@@ -57,12 +59,13 @@ def _until_null(a: Column) -> Column:
     return F.coalesce(F.when(cut > 0, F.slice(a, 1, (cut - 1).cast("int"))).otherwise(a), F.array().cast(_NEIGHBOUR))
 
 
-def read_neighbourhoods(spark: SparkSession, path: str, dataset: str, lines: bool = False) -> DataFrame:
+def read_neighbourhoods(spark: SparkSession, path: str, dataset: str, lines: bool = False, split: bool = False) -> DataFrame:
     """(id, label, in, out), neighbours as arrays of (id, label), once each by id; the last entry of an id counts.
 
-    lines: the files hold one object a line instead of one array each, so that they can be split.
+    lines: the files hold one object a line instead of one array each. split: the files are arrays, and many tasks read each of them;
+    else one task reads a file that is an array.
     """
-    raw = spark.read.schema(SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+    raw = json_array.read_array(spark, path, SCHEMA).drop("line") if split else spark.read.schema(SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     side = lambda name, direction: F.transform(_until_null(F.col(name)), lambda x: F.struct(_int(x["id"], "neighbour").alias("id"), neighbour_label(dataset, x["rel"], direction).alias("label")))
     out = raw.select(_int(F.col("id"), "vertex").alias("id"), _lookup(vertex_labels(dataset), F.col("label"), "vertex").alias("label"), side("`in`", "out").alias("in"), side("`out`", "in").alias("out"))
 
