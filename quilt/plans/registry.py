@@ -248,7 +248,7 @@ def take_frontier(spark, d):
     return graph(spark, d).get_all("Supplier").neighbours("Part").take(100).paths()
 
 
-def _hops_sql(start: str, steps: list[str | int | None]) -> str:
+def _hops_sql(start: str, steps: list[str | int | None], graph_ctes: str = G) -> str:
     """Paths of each hop as a CTE; a number takes, None samples."""
     ctes, hop = [f"t0 AS (SELECT id AS v0, id AS cur, part AS p, 0 AS ipt FROM v WHERE label = '{start}')"], 0
     name, outs = "t0", ["SELECT 0 AS hop, count(*) AS n_paths, CAST(0 AS BIGINT) AS ipt FROM t0"]
@@ -263,7 +263,7 @@ def _hops_sql(start: str, steps: list[str | int | None]) -> str:
         else:
             ctes.append(f"s{i} AS (SELECT * FROM {name} ORDER BY {cols} LIMIT {s})")
         name = f"s{i}"
-    return f"{G}, {', '.join(ctes)} {' UNION ALL '.join(outs)}"
+    return f"{graph_ctes}, {', '.join(ctes)} {' UNION ALL '.join(outs)}"
 
 
 def _workload(q):
@@ -285,6 +285,64 @@ def ipt_per_hop(spark, d):
     return flagship(spark, d)
 
 
+# the provenance and music data sets, from the same tables
+
+_PROVENANCE_SQL = (
+    "SELECT c_custkey + 1000000, 'Agent' FROM customer UNION ALL SELECT o_orderkey + 10000000, 'Activity' FROM orders UNION ALL SELECT p_partkey + 100000, 'Entity' FROM part",
+    "SELECT o_orderkey + 10000000, o_custkey + 1000000 FROM orders UNION SELECT l_orderkey + 10000000, l_partkey + 100000 FROM lineitem UNION SELECT * FROM (SELECT p_partkey + 100000, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) + 100000 AS y FROM part) WHERE y IS NOT NULL",
+)
+_BRAND = f"CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER) + {relational.BRANDS}"
+_MUSIC_SQL = (
+    f"SELECT n_nationkey + 100, 'Area' FROM nation UNION ALL SELECT c_custkey + 1000000, 'Artist' FROM customer UNION ALL SELECT s_suppkey + 1000, 'Label' FROM supplier UNION ALL SELECT o_orderkey + 10000000, 'ArtistCredit' FROM orders UNION ALL SELECT p_partkey + 100000, 'Track' FROM part UNION ALL SELECT DISTINCT {_BRAND}, 'Medium' FROM part",
+    f"SELECT c_custkey + 1000000, c_nationkey + 100 FROM customer UNION SELECT s_suppkey + 1000, s_nationkey + 100 FROM supplier UNION SELECT o_custkey + 1000000, l_suppkey + 1000 FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION SELECT o_orderkey + 10000000, o_custkey + 1000000 FROM orders UNION SELECT l_orderkey + 10000000, l_partkey + 100000 FROM lineitem UNION SELECT p_partkey + 100000, {_BRAND} FROM part",
+)
+
+
+def _data_set_sql(parts: tuple[str, str]) -> str:
+    v, e = parts
+    return f"""WITH v0(id, label) AS ({v}), v AS (SELECT CAST(id AS INTEGER) AS id, label, CAST((row_number() OVER (ORDER BY id) - 1) % {K} AS INTEGER) AS part FROM v0), e(src, dst) AS ({e}),
+nb AS (SELECT x.v, x.u, v.label AS u_label, v.part AS u_part FROM (SELECT src AS v, dst AS u FROM e UNION SELECT dst, src FROM e) x JOIN v ON v.id = x.u)"""
+
+
+def _weights_sql(start: str, steps: list[str | None]) -> str:
+    """Counts of each hop by weights on vertices; None samples."""
+    ctes, hop, name = [f"w0 AS (SELECT id AS cur, part, 1::HUGEINT AS w, 0::HUGEINT AS x FROM v WHERE label = '{start}')"], 0, "w0"
+    for i, s in enumerate(steps):
+        if s is None:
+            ctes.append(f"s{i} AS (SELECT * FROM {name} WHERE (CAST(cur AS BIGINT) * 2654435761) % 100 > 89)")
+            name = f"s{i}"
+        else:
+            hop += 1
+            ctes.append(f"w{hop} AS (SELECT nb.u AS cur, nb.u_part AS part, sum(h.w) AS w, sum(CASE WHEN h.part <> nb.u_part THEN h.w ELSE 0 END) AS x FROM {name} h JOIN nb ON nb.v = h.cur WHERE nb.u_label = '{s}' GROUP BY ALL)")
+            name = f"w{hop}"
+    return ", ".join(ctes) + " " + " UNION ALL ".join(f"SELECT {i} AS hop, CAST(coalesce(sum(w), 0) AS BIGINT) AS n_paths, CAST(coalesce(sum(x), 0) AS BIGINT) AS ipt FROM w{i}" for i in range(hop + 1))
+
+
+_DATA_SETS = {"provenance": (relational.provenance_graph, _PROVENANCE_SQL), "music": (relational.music_graph, _MUSIC_SQL)}
+_DATA_STEPS = {
+    "provenance": {"q1": ("Entity", [None, "Entity", "Entity"]), "q2": ("Agent", [None, "Activity", "Entity", "Entity", "Activity", "Agent"]), "q3": ("Agent", [None, "Activity"])},
+    "music": {"q1": ("Area", ["Artist", 1000, "Label", "Area"]), "q2": ("Artist", [100, "ArtistCredit", "Track", 100, "ArtistCredit", 100, "Artist"]), "q3": ("Artist", [100, "ArtistCredit", "Track", "Medium"])},
+}
+
+
+def _data_set_query(name: str, q: str):
+    def f(spark, d):
+        v, e = _DATA_SETS[name][0](spark, d)
+        g = Graph(P.round_robin(relational.sequence(v, "id"), K).select("id", "label", "part"), e)
+        start, steps = W.QUERIES[name][q]
+        return count_one(start(Field.of(g, K)), *steps)
+
+    f.__name__ = f"{name}_{q}"
+    f.__doc__ = f"Query {q} of the {name} data set, over a view of the tables with its labels: paths and crossings of each hop."
+    return f
+
+
+for _name, _queries in _DATA_STEPS.items():
+    for _q, (_start, _path) in _queries.items():
+        _head = _data_set_sql(_DATA_SETS[_name][1])
+        query(_hops_sql(_start, _path, _head) if any(isinstance(x, int) for x in _path) else f"{_head}, {_weights_sql(_start, _path)}")(_data_set_query(_name, _q))
+
+
 _ALL_HOPS = " UNION ALL ".join(f"SELECT {i} AS hop, CAST(sum(w) AS BIGINT) AS n_paths, CAST(coalesce(sum(x), 0) AS BIGINT) AS ipt FROM h{i}" for i in range(4))
 
 

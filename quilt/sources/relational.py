@@ -57,6 +57,40 @@ def event_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return v, e.select(event.alias("src"), user.alias("dst")).union(to_next)
 
 
+#: Id offset of brands, the media of the music view.
+BRANDS = 90_000
+
+
+def provenance_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) with provenance labels: orders are activities of customers, the agents, and use parts, the entities.
+
+    A part is derived from the part of the same brand with the next key.
+    """
+    label = F.create_map(*[F.lit(x) for kv in {"Customer": "Agent", "Order": "Activity", "Part": "Entity"}.items() for x in kv])
+    some = ("Customer", "Order", "Part")
+    v = vertices(spark, sf_dir, some).select("id", label[F.col("label")].alias("label"))
+    known = edges(spark, sf_dir, some).select("src", "dst", label[F.col("src_label")].alias("src_label"), label[F.col("dst_label")].alias("dst_label"))
+    following = F.lead("p_partkey").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    derived = spark.read.parquet(f"{sf_dir}/part.parquet").select(_id("Part", "p_partkey").alias("src"), (following + OFFSETS["Part"]).cast("int").alias("dst")).where("dst is not null")
+    return v, known.union(derived.select("src", "dst", F.lit("Entity"), F.lit("Entity")))
+
+
+def music_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) with music labels: nations are areas, customers artists, suppliers labels, orders credits, parts tracks, brands media.
+
+    An artist is with the labels that have supplied the artist's orders.
+    """
+    names = {"Nation": "Area", "Customer": "Artist", "Supplier": "Label", "Order": "ArtistCredit", "Part": "Track"}
+    label = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    brand = (F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int") + BRANDS).alias("dst")
+    v = vertices(spark, sf_dir, tuple(names)).select("id", label[F.col("label")].alias("label")).union(part.select(brand, F.lit("Medium")).distinct())
+    known = edges(spark, sf_dir, tuple(names)).where("dst_label <> 'Supplier'").select("src", "dst", label[F.col("src_label")].alias("src_label"), label[F.col("dst_label")].alias("dst_label"))
+    bought = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey"))
+    supplied = bought.select(_id("Customer", "o_custkey").alias("src"), _id("Supplier", "l_suppkey").alias("dst")).distinct()
+    return v, known.union(supplied.select("src", "dst", F.lit("Artist"), F.lit("Label"))).union(part.select(_id("Part", "p_partkey").alias("src"), brand, F.lit("Track"), F.lit("Medium")))
+
+
 def literal_graph(spark: SparkSession, vertex_rows: list[tuple], edge_rows: list[tuple]) -> tuple[DataFrame, DataFrame]:
     """(vertices(id, label, part), edges(src, dst)) from Python rows."""
     return spark.createDataFrame(vertex_rows, "id int, label string, part int"), spark.createDataFrame(edge_rows, "src int, dst int")
