@@ -429,8 +429,22 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     return materialise(both.groupBy("doc", "alt").agg(F.flatten(F.collect_list("runs")).alias("runs")).mapInArrow(lean(_merge), "doc long, alt long, runs array<long>"))
 
 
-def cut_out(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, **options) -> DataFrame:
-    """The columns of ``docs``, and four more at the end: bytes, removed bytes, removed runs, the remaining bytes."""
+def whole_characters(data: bytes, begin: int, end: int, first: int, last: int) -> bytes:
+    """Bytes ``begin`` to ``end`` of a text from ``first`` to ``last``, without the parts of characters that a cut at either end has broken."""
+    if begin > first:
+        while begin < end and data[begin] & 0xC0 == 0x80:
+            begin += 1
+    if end < last and data[end] & 0xC0 == 0x80:  # what was cut away begins inside a character
+        while end > begin and data[end] & 0xC0 == 0x80:
+            end -= 1
+    return data[begin:end]
+
+
+def cut_out(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, characters: bool = False, **options) -> DataFrame:
+    """The columns of ``docs``, and four more at the end: bytes, removed bytes, removed runs, the remaining bytes.
+
+    characters: a character that a removal cuts through is left out of the remaining bytes whole.
+    """
     known, most = survey(docs, key, text), options.get("broadcast_rows", 2_000_000)
     found = repeats(docs, key, text, length, known=known, **options)
     few = (found.agg(F.sum(F.size("runs"))).first()[0] or 0) <= most
@@ -467,7 +481,8 @@ def cut_out(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
                     removed.append(int((stop - begin).sum()))
                     spans.append(len(begin))
                     edges = [0, *np.column_stack([begin, stop]).ravel().tolist(), z - a]
-                    kept.append(b"".join(data[a + p : a + q] for p, q in zip(edges[::2], edges[1::2], strict=True)))
+                    pieces = zip(edges[::2], edges[1::2], strict=True)
+                    kept.append(b"".join(whole_characters(data, a + p, a + q, a, z) if characters else data[a + p : a + q] for p, q in pieces))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(at_starts)), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=names)
 
     from pyspark.sql.types import StructType
@@ -480,17 +495,12 @@ def cut_out(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
 
 def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, **options) -> DataFrame:
     """``docs`` with repeats removed from the text; a character that a removal cuts through goes whole. A null text stays null."""
-    cut = cut_out(docs, key, text, length, **options)
+    cut = cut_out(docs, key, text, length, characters=True, **options)
     _, removed, _, kept = cut.columns[len(docs.columns) :]
-    whole = F.when(F.col(text).isNull(), F.lit(None)).when(F.col(removed) == 0, F.col(text)).otherwise(_decode(F.col(kept)))
+    whole = F.when(F.col(text).isNull(), F.lit(None)).when(F.col(removed) == 0, F.col(text)).otherwise(F.col(kept).cast("string"))
     return cut.select(*[whole.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
-def _decode(kept):
-    """Text of the kept bytes without broken characters."""
-    return F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("�"), F.lit(""))
-
-
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, **options) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256)."""
     cut = cut_out(docs.select(key, text), key, text, length, **options)

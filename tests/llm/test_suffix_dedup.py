@@ -54,3 +54,30 @@ def test_many_buckets_give_the_same_result(spark):
     want = dict(zip([i for i, _ in rows], brute([t.encode() for _, t in rows]), strict=True))
     for buckets in (1, 97):
         assert {x.doc_id: tuple(x)[1:] for x in suffix_dedup.digest(df, buckets=buckets).collect()} == want
+
+
+def test_characters_outside_the_cuts_stay(spark):
+    """Cuts that begin or end inside characters, beside replacement characters that belong to the text."""
+    r = random.Random(10)
+    passage = "".join(r.choice(["a", "é", "語", "\ufffd", "😀"]) for _ in range(120))
+    rows = [(1, "\ufffd head " + passage)]
+    # the same leading or trailing bytes with another character: cuts stop inside it
+    for i, (a, b) in enumerate([("é", "é"), ("\ufffd", "\ufffd"), ("語", "誟"), ("😀", "😁"), ("", "")]):
+        rows.append((2 + i, f"\ufffdx{i}{a}" + passage + f"{b}\ufffdy{i}\ufffd"))
+    rows.append((9, "èé" * 80))
+    rows.append((10, "ê" + "éè" * 80 + "\ufffd"))
+    want, seen = {}, set()
+    for i, t in rows:
+        raw, gone = t.encode(), set()
+        for j in range(len(raw) - 99):
+            w = raw[j : j + 100]
+            gone |= set(range(j, j + 100)) if w in seen else set()
+            seen.add(w)
+        at, out = 0, ""
+        for c in t:
+            n = len(c.encode())
+            out += "" if gone & set(range(at, at + n)) else c
+            at += n
+        want[i] = out
+    got = {x.doc_id: x.text for x in suffix_dedup.strip(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert got == want and "\ufffd" in got[3] and sum(len(want[i]) < len(t) for i, t in rows) >= 6
