@@ -91,6 +91,11 @@ def wrap_offset(value: Column, offset: Column) -> Column:
     return F.when(moved >= 3.5, moved - 7).otherwise(moved)
 
 
+def time_now() -> Column:
+    """Milliseconds since 1970 at the start of the query, the same in every row of it."""
+    return F.unix_millis(F.current_timestamp())
+
+
 def timed(action: Callable[[], Any]) -> tuple[int, Any]:
     """(whole milliseconds, result) of an action that really runs."""
     began = time.perf_counter_ns()

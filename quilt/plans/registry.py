@@ -167,6 +167,17 @@ def bfs_levels(spark, d):
     return relational.bfs_order(v, e, v.where("label = 'Region'").select("id")).where("level < 4").groupBy("level").agg(F.count("*").alias("n"))
 
 
+#: Labels whose links are keys of keys, hence a forest.
+FOREST = ("Region", "Nation", "Supplier", "Customer", "Order")
+
+
+@query(f"{graph_sql(FOREST)}, walk AS (SELECT id, [id] AS path FROM v WHERE label = 'Region' UNION ALL SELECT e.src, list_append(walk.path, e.src) FROM walk JOIN e ON e.dst = walk.id) SELECT id, row_number() OVER (ORDER BY path) - 1 AS seq FROM walk")
+def depth_first_order(spark, d):
+    """Depth-first order from the regions over nations, suppliers, customers and orders."""
+    v, e = relational.vertices(spark, d, FOREST), relational.edges(spark, d, FOREST)
+    return relational.depth_first(e, v.where("label = 'Region'").select("id"))
+
+
 # partitions
 
 
@@ -486,6 +497,43 @@ def motif_edges(spark, d):
     return _coded(relational.edges(spark, d)).withColumn("s", signature.for_edge_col(F.col("sc"), F.col("dc"), zero, zero, PRIME)).join(m, "s", "left_semi").select("src", "dst")
 
 
+# the trie of a workload that stands in a table: sessions of the events
+
+#: Events of a user at most this far apart are one session; a motif is in this share of the sessions that have a step.
+GAP, SHARE = 6 * 3600, 0.01
+_EVENT_CODE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in relational.EVENT_CODES.items()) + " END"
+_SESSION_SETS = f"""WITH RECURSIVE timed AS (SELECT user_id, ts, event_id, {_EVENT_CODE} AS code, ts - lag(ts) OVER w AS gap FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND {_EVENT_CODE} IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+cut AS (SELECT *, count(*) FILTER (gap IS NULL OR gap > INTERVAL {GAP} SECOND) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM timed),
+paths AS (SELECT min_by(event_id, (ts, event_id)) AS query, list(code ORDER BY ts, event_id) AS c FROM cut GROUP BY user_id, s HAVING count(*) > 1),
+ends AS (SELECT query, c, i, unnest(range(i + 1, len(c) + 1)) AS j FROM (SELECT query, c, unnest(range(1, len(c))) AS i FROM paths)),
+s AS MATERIALIZED (SELECT query, i, j, CAST(j - i AS INTEGER) AS depth, array_to_string(list_sort(flatten([[abs(c[k] - c[k + 1]) % {PRIME} + 1 for k in range(i, j)], [(c[k] + 1) % {PRIME} + 1 for k in range(i, j + 1)], [(c[k] + 2) % {PRIME} + 1 for k in range(i + 1, j)]])), ',') AS sig FROM ends),
+nodes AS MATERIALIZED (SELECT depth, sig, count(DISTINCT query) AS support FROM s GROUP BY depth, sig),
+links AS MATERIALIZED (SELECT DISTINCT p.depth, p.sig AS parent, c.sig AS child FROM s p JOIN s c ON c.query = p.query AND ((c.i = p.i AND c.j = p.j + 1) OR (c.i = p.i - 1 AND c.j = p.j))),
+often AS MATERIALIZED (SELECT * FROM nodes WHERE support / CAST((SELECT count(*) FROM paths) AS DOUBLE) >= {SHARE}),
+keep AS (SELECT depth, sig, support FROM often WHERE depth = 1 UNION SELECT n.depth, n.sig, n.support FROM keep JOIN links l ON l.depth = keep.depth AND l.parent = keep.sig JOIN often n ON n.depth = keep.depth + 1 AND n.sig = l.child)"""
+
+
+def _session_trie(spark, d) -> tuple[DataFrame, DataFrame]:
+    paths = materialise(relational.sessions(spark.read.parquet(f"{d}/events.parquet"), GAP))
+    adds = materialise(paths.select("query").distinct().withColumn("n", F.lit(1)))
+    return trie.frequent(paths, adds, PRIME, adds.count(), SHARE)
+
+
+@query(f"{_SESSION_SETS} SELECT depth, sig, support FROM keep")
+def session_motifs(spark, d):
+    """Sub-patterns of event types that many sessions hold, grown only where their support allows it."""
+    nodes, _ = _session_trie(spark, d)
+    return nodes.select("depth", signature.show_col(F.col("sig")).alias("sig"), "support")
+
+
+@query(f"{_SESSION_SETS} SELECT DISTINCT l.depth, l.parent AS parent_sig, l.child AS child_sig FROM links l JOIN keep p ON p.depth = l.depth AND p.sig = l.parent JOIN keep c ON c.depth = l.depth + 1 AND c.sig = l.child UNION SELECT 0, '', sig FROM keep WHERE depth = 1")
+def session_trie_edges(spark, d):
+    """How those sub-patterns grow out of each other."""
+    _, grown = _session_trie(spark, d)
+    show = lambda c: signature.show_col(F.col(c)).alias(c)
+    return grown.select("depth", show("parent_sig"), show("child_sig")).distinct()
+
+
 # partitioner scores against a frozen partitioning
 
 _CNT = "sizes AS (SELECT part, count(*) AS size FROM v GROUP BY part), n AS (SELECT count(*) AS n FROM v), cnt AS (SELECT v.id, s.part, s.size, count(nb.u) AS c FROM v CROSS JOIN sizes s LEFT JOIN nb ON nb.v = v.id AND nb.u_part = s.part"

@@ -57,6 +57,42 @@ def event_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return v, e.select(event.alias("src"), user.alias("dst")).union(to_next)
 
 
+#: Label codes of event types modulo 13.
+EVENT_CODES = {"click": 2, "error": 4, "view": 6, "purchase": 8, "signup": 11}
+
+
+def sessions(events: DataFrame, gap_seconds: int, codes: dict[str, int] = EVENT_CODES) -> DataFrame:
+    """(query, e, src, src_code, dst, dst_code): a workload of query patterns, one path of event types for each session of a user.
+
+    A session is a run of a user's events with at most ``gap_seconds`` from each to the next, by (ts, event_id); ``query`` is its first
+    event, an edge is named by the event it leads to, and a session of one event has none. Events without a user, a time or a known
+    type belong to no session.
+
+    Events are windowed by user and stretch of time as long as the gap, with the last event of the stretch before as a guest, so that a
+    user with very many events is many tasks' work; only stretches, bounded by the calendar, are windowed by user.
+    """
+    gap = gap_seconds * 1_000_000
+    code = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
+    # local times are counted from their fields, so that the session's time zone can't stretch them
+    local = F.unix_date(F.to_date("ts")) * F.lit(86_400_000_000) + (F.hour("ts") * 3600 + F.minute("ts") * 60) * F.lit(1_000_000).cast("long") + (F.expr("extract(SECOND FROM ts)") * 1_000_000).cast("long")
+    t = F.unix_micros("ts") if dict(events.dtypes)["ts"] == "timestamp" else local
+    rows = events.select(F.col("user_id").alias("user"), t.alias("t"), F.col("event_id").alias("event"), code[F.col("event_type")].alias("code"))
+    rows = rows.where("user is not null and t is not null and event is not null and code is not null").withColumn("stretch", F.expr(f"t div {gap}"))
+    last = rows.groupBy("user", "stretch").agg(F.max(F.struct("t", "event", "code")).alias("l"))
+    guests = last.select("user", "l.t", "l.event", "l.code", (F.col("stretch") + 1).alias("stretch"), F.lit(True).alias("guest"))
+    by_time = Window.partitionBy("user", "stretch").orderBy("t", "event")
+    near = rows.withColumn("guest", F.lit(False)).union(guests).withColumn("prev", F.lag(F.struct("t", "event", "code")).over(by_time)).where("not guest")
+    starts = F.col("prev").isNull() | (F.col("t") - F.col("prev.t") > gap)
+    # null in the run that goes on from the stretch before
+    own = F.last(F.when(starts, F.col("event")), ignorenulls=True).over(by_time)
+    near = near.withColumn("starts", starts).withColumn("own", own)
+    tails = near.groupBy("user", "stretch").agg(F.max_by("own", F.struct("t", "event")).alias("tail"))
+    earlier = Window.partitionBy("user").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select("user", "stretch", F.last("tail", ignorenulls=True).over(earlier).alias("carried"))
+    steps = near.where("not starts").join(carried, ["user", "stretch"], "left")
+    return steps.select(F.coalesce("own", "carried").alias("query"), F.col("event").alias("e"), F.col("prev.event").alias("src"), F.col("prev.code").alias("src_code"), F.col("event").alias("dst"), F.col("code").alias("dst_code"))
+
+
 #: Id offset of brands, the media of the music view.
 BRANDS = 90_000
 
@@ -138,6 +174,99 @@ def bfs_order(v: DataFrame, e: DataFrame, roots: DataFrame) -> DataFrame:
     return v.select("id").join(seen, "id", "left").select("id", F.coalesce("level", F.lit(2**31 - 1)).alias("level"))
 
 
+def spanning_forest(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges(a, b), components(id, comp)): the least spanning forest of the undirected graph, a < b, edges compared by (a, b).
+
+    Each component chooses its least edge to another, components hook along them and chains are halved until all know their root:
+    at least half of the components go in a round. Of a forest these are all its edges. Loops are left out, and vertices without other edges.
+    """
+    from quilt.functions.storage import materialise
+
+    pair = e.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    # ca and cb are the components of the ends
+    left, chosen = materialise(pair.withColumns({"ca": F.col("a"), "cb": F.col("b")})), []
+    comp = materialise(left.select(F.col("a").alias("id")).union(left.select("b")).distinct().select("id", F.col("id").alias("comp")))
+    while not left.isEmpty():
+        # in the edges' order, so that no cycle can arise but of two that choose the same edge
+        side = left.select(F.col("ca").alias("c"), F.struct("a", "b", F.col("cb").alias("to")).alias("x")).union(left.select("cb", F.struct("a", "b", F.col("ca").alias("to"))))
+        hook = materialise(side.groupBy("c").agg(F.min("x").alias("x")).select("c", "x.a", "x.b", "x.to"))
+        chosen.append(hook.select("a", "b").distinct())
+        back = hook.select(F.col("c").alias("to"), F.col("to").alias("beyond"))
+        up = hook.join(back, "to").select("c", F.when((F.col("beyond") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
+        while True:
+            over = up.select(F.col("c").alias("to"), F.col("to").alias("beyond"))
+            further = materialise(up.join(over, "to").select("c", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved")))
+            up = further.select("c", "to")
+            if further.where("moved").isEmpty():
+                break
+        root = lambda c: up.select(F.col("c").alias(c), F.col("to").alias(f"{c}_root"))
+        left = left.join(root("ca"), "ca").join(root("cb"), "cb").where("ca_root <> cb_root")
+        left = materialise(left.select("a", "b", F.col("ca_root").alias("ca"), F.col("cb_root").alias("cb")))
+        comp = materialise(comp.join(root("comp"), "comp", "left").select("id", F.coalesce("comp_root", "comp").alias("comp")))
+    return (reduce(DataFrame.union, chosen).distinct() if chosen else left.select("a", "b")), comp
+
+
+def list_sums(links: DataFrame) -> DataFrame:
+    """(k, total): the sum of ``step`` from each element of disjoint lists or trees links(k, next, step) to where next is null.
+
+    Pointers double: logarithmic rounds in the longest way. Elements at their end wait outside of the join.
+    """
+    from quilt.functions.storage import materialise
+
+    at = materialise(links.select("k", "next", F.col("step").cast("long").alias("total")))
+    while True:
+        open_ = at.where("next is not null")
+        if open_.isEmpty():
+            return at.select("k", "total")
+        far = at.select(F.col("k").alias("next"), F.col("next").alias("beyond"), F.col("total").alias("more"))
+        moved = open_.join(far, "next").select("k", F.col("beyond").alias("next"), (F.col("total") + F.col("more")).alias("total"))
+        at = materialise(moved.union(at.where("next is null")))
+
+
+def depth_first(e: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, seq): depth-first order from ``roots``(id), roots and neighbours by id, over the least spanning forest of the graph.
+
+    Of a forest this is the order that a stack gives; elsewhere it is a depth-first order of the tree of ``spanning_forest``. A component
+    starts at its least root; vertices without a root in their component have no row; a root without edges is a row of its own.
+
+    Every tree edge is two arcs, each followed by the next arc around the vertex it leads to, by id and cyclically; ranking this tour from
+    the root tells down from up and the size of every subtree. A vertex comes after its parent by one and the sizes of its lesser
+    siblings, which follow from the ranks too; these steps are summed up to the root. All rounds are logarithmic. Arcs around a vertex
+    are numbered by one global sort, so a vertex of any degree is spread over tasks.
+    """
+    from quilt.functions.storage import materialise
+
+    roots = materialise(roots.select("id").where("id is not null").distinct())
+    tree, comp = spanning_forest(e)
+    chosen = roots.join(comp, "id").groupBy("comp").agg(F.min("id").alias("root"))
+    rooted = materialise(comp.join(chosen, "comp").select("id", "root"))
+    both = tree.select(F.col("a").alias("u"), F.col("b").alias("v")).union(tree.select("b", "a"))
+    arcs = materialise(sequence(both.join(rooted.withColumnRenamed("id", "u"), "u"), "u", "v", name="k"))
+    ends = arcs.groupBy("u").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).select(F.col("u").alias("v"), "lo", "hi")
+    twin = arcs.select(F.col("u").alias("v"), F.col("v").alias("u"), F.col("k").alias("t"))
+    following = F.when(F.col("t") == F.col("hi"), F.col("lo")).otherwise(F.col("t") + 1)
+    # a tour ends where it would begin again: at the first arc of its root
+    over = (F.col("v") == F.col("root")) & (F.col("t") == F.col("hi"))
+    tour = materialise(arcs.join(twin, ["u", "v"]).join(ends, "v").select("k", "u", "v", "t", "root", F.when(~over, following).alias("next"), F.lit(1).alias("step")))
+    ranked = materialise(tour.select("k", "u", "v", "t", "root").join(list_sums(tour), "k"))
+    # more of the tour is left at the arc down than at the arc up, twice the size of the subtree less one
+    other = ranked.select(F.col("k").alias("t"), F.col("total").alias("other"))
+    down = ranked.join(other, "t").where("total > other").select(F.col("u").alias("parent"), F.col("v").alias("id"), "root", "total", F.expr("(total - other + 1) div 2").alias("size"))
+    down = materialise(down)
+    whole = ranked.groupBy("root").agg((F.max("total") + 1).alias("total"))
+    came = down.select("id", "parent", "total").union(whole.select(F.col("root").alias("id"), F.lit(None).alias("parent"), "total"))
+    near = down.join(came.select(F.col("id").alias("parent"), F.col("parent").alias("above"), F.col("total").alias("entered")), "parent")
+    near = materialise(near.withColumn("before", F.expr("(entered - total - 1) div 2")).withColumn("greater", F.col("id") > F.col("above")))
+    # around a vertex greater ids than its parent's come first
+    sums = near.groupBy("parent").agg(F.sum(F.when(F.col("greater"), F.col("size")).otherwise(0)).alias("above_sum"), F.sum(F.when(~F.col("greater"), F.col("size")).otherwise(0)).alias("below_sum"))
+    lesser = F.when(F.col("greater"), F.col("before") + F.col("below_sum")).when(~F.col("greater"), F.col("before") - F.col("above_sum")).otherwise(F.col("before"))
+    steps = near.join(sums, "parent").select(F.col("id").alias("k"), F.col("parent").alias("next"), (lesser + 1).alias("step"))
+    starts = whole.select(F.col("root").alias("k"), F.lit(None).alias("next"), F.lit(0).cast("long").alias("step"))
+    placed = list_sums(steps.union(starts)).join(rooted.select(F.col("id").alias("k"), "root"), "k").select(F.col("k").alias("id"), "root", "total")
+    alone = roots.join(comp, "id", "left_anti").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("total"))
+    return sequence(placed.union(alone), "root", "total").select("id", "seq")
+
+
 def dfs_order(edge_rows: list[tuple[int, int]], roots: list[int]) -> list[int]:
     """Depth-first order of a graph small enough for the driver; neighbours by id."""
     near: dict[int, set[int]] = {}
