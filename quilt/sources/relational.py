@@ -174,35 +174,46 @@ def bfs_order(v: DataFrame, e: DataFrame, roots: DataFrame) -> DataFrame:
     return v.select("id").join(seen, "id", "left").select("id", F.coalesce("level", F.lit(2**31 - 1)).alias("level"))
 
 
+def _at_rest(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: its size is that of its files.
+
+    A checkpoint keeps its plan's estimate, and a join's is the product of its sides', whose digits double with each round of a loop
+    until planning is all that a round does.
+    """
+    from quilt.sources.stored import shared_folder
+
+    path = shared_folder(df.sparkSession, "rounds")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spanning_forest(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges(a, b), components(id, comp)): the least spanning forest of the undirected graph, a < b, edges compared by (a, b).
 
     Each component chooses its least edge to another, components hook along them and chains are halved until all know their root:
     at least half of the components go in a round. Of a forest these are all its edges. Loops are left out, and vertices without other edges.
     """
-    from quilt.functions.storage import materialise
-
     pair = e.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     # ca and cb are the components of the ends
-    left, chosen = materialise(pair.withColumns({"ca": F.col("a"), "cb": F.col("b")})), []
-    comp = materialise(left.select(F.col("a").alias("id")).union(left.select("b")).distinct().select("id", F.col("id").alias("comp")))
+    left, chosen = _at_rest(pair.withColumns({"ca": F.col("a"), "cb": F.col("b")})), []
+    comp = _at_rest(left.select(F.col("a").alias("id")).union(left.select("b")).distinct().select("id", F.col("id").alias("comp")))
     while not left.isEmpty():
         # in the edges' order, so that no cycle can arise but of two that choose the same edge
         side = left.select(F.col("ca").alias("c"), F.struct("a", "b", F.col("cb").alias("to")).alias("x")).union(left.select("cb", F.struct("a", "b", F.col("ca").alias("to"))))
-        hook = materialise(side.groupBy("c").agg(F.min("x").alias("x")).select("c", "x.a", "x.b", "x.to"))
+        hook = _at_rest(side.groupBy("c").agg(F.min("x").alias("x")).select("c", "x.a", "x.b", "x.to"))
         chosen.append(hook.select("a", "b").distinct())
         back = hook.select(F.col("c").alias("to"), F.col("to").alias("beyond"))
         up = hook.join(back, "to").select("c", F.when((F.col("beyond") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
         while True:
             over = up.select(F.col("c").alias("to"), F.col("to").alias("beyond"))
-            further = materialise(up.join(over, "to").select("c", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved")))
+            further = _at_rest(up.join(over, "to").select("c", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved")))
             up = further.select("c", "to")
             if further.where("moved").isEmpty():
                 break
         root = lambda c: up.select(F.col("c").alias(c), F.col("to").alias(f"{c}_root"))
         left = left.join(root("ca"), "ca").join(root("cb"), "cb").where("ca_root <> cb_root")
-        left = materialise(left.select("a", "b", F.col("ca_root").alias("ca"), F.col("cb_root").alias("cb")))
-        comp = materialise(comp.join(root("comp"), "comp", "left").select("id", F.coalesce("comp_root", "comp").alias("comp")))
+        left = _at_rest(left.select("a", "b", F.col("ca_root").alias("ca"), F.col("cb_root").alias("cb")))
+        comp = _at_rest(comp.join(root("comp"), "comp", "left").select("id", F.coalesce("comp_root", "comp").alias("comp")))
     return (reduce(DataFrame.union, chosen).distinct() if chosen else left.select("a", "b")), comp
 
 
@@ -211,16 +222,14 @@ def list_sums(links: DataFrame) -> DataFrame:
 
     Pointers double: logarithmic rounds in the longest way. Elements at their end wait outside of the join.
     """
-    from quilt.functions.storage import materialise
-
-    at = materialise(links.select("k", "next", F.col("step").cast("long").alias("total")))
+    at = _at_rest(links.select("k", "next", F.col("step").cast("long").alias("total")))
     while True:
         open_ = at.where("next is not null")
         if open_.isEmpty():
             return at.select("k", "total")
         far = at.select(F.col("k").alias("next"), F.col("next").alias("beyond"), F.col("total").alias("more"))
         moved = open_.join(far, "next").select("k", F.col("beyond").alias("next"), (F.col("total") + F.col("more")).alias("total"))
-        at = materialise(moved.union(at.where("next is null")))
+        at = _at_rest(moved.union(at.where("next is null")))
 
 
 def depth_first(e: DataFrame, roots: DataFrame) -> DataFrame:
@@ -234,29 +243,27 @@ def depth_first(e: DataFrame, roots: DataFrame) -> DataFrame:
     siblings, which follow from the ranks too; these steps are summed up to the root. All rounds are logarithmic. Arcs around a vertex
     are numbered by one global sort, so a vertex of any degree is spread over tasks.
     """
-    from quilt.functions.storage import materialise
-
-    roots = materialise(roots.select("id").where("id is not null").distinct())
+    roots = _at_rest(roots.select("id").where("id is not null").distinct())
     tree, comp = spanning_forest(e)
     chosen = roots.join(comp, "id").groupBy("comp").agg(F.min("id").alias("root"))
-    rooted = materialise(comp.join(chosen, "comp").select("id", "root"))
+    rooted = _at_rest(comp.join(chosen, "comp").select("id", "root"))
     both = tree.select(F.col("a").alias("u"), F.col("b").alias("v")).union(tree.select("b", "a"))
-    arcs = materialise(sequence(both.join(rooted.withColumnRenamed("id", "u"), "u"), "u", "v", name="k"))
+    arcs = _at_rest(sequence(both.join(rooted.withColumnRenamed("id", "u"), "u"), "u", "v", name="k"))
     ends = arcs.groupBy("u").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).select(F.col("u").alias("v"), "lo", "hi")
     twin = arcs.select(F.col("u").alias("v"), F.col("v").alias("u"), F.col("k").alias("t"))
     following = F.when(F.col("t") == F.col("hi"), F.col("lo")).otherwise(F.col("t") + 1)
     # a tour ends where it would begin again: at the first arc of its root
     over = (F.col("v") == F.col("root")) & (F.col("t") == F.col("hi"))
-    tour = materialise(arcs.join(twin, ["u", "v"]).join(ends, "v").select("k", "u", "v", "t", "root", F.when(~over, following).alias("next"), F.lit(1).alias("step")))
-    ranked = materialise(tour.select("k", "u", "v", "t", "root").join(list_sums(tour), "k"))
+    tour = _at_rest(arcs.join(twin, ["u", "v"]).join(ends, "v").select("k", "u", "v", "t", "root", F.when(~over, following).alias("next"), F.lit(1).alias("step")))
+    ranked = _at_rest(tour.select("k", "u", "v", "t", "root").join(list_sums(tour), "k"))
     # more of the tour is left at the arc down than at the arc up, twice the size of the subtree less one
     other = ranked.select(F.col("k").alias("t"), F.col("total").alias("other"))
     down = ranked.join(other, "t").where("total > other").select(F.col("u").alias("parent"), F.col("v").alias("id"), "root", "total", F.expr("(total - other + 1) div 2").alias("size"))
-    down = materialise(down)
+    down = _at_rest(down)
     whole = ranked.groupBy("root").agg((F.max("total") + 1).alias("total"))
     came = down.select("id", "parent", "total").union(whole.select(F.col("root").alias("id"), F.lit(None).alias("parent"), "total"))
     near = down.join(came.select(F.col("id").alias("parent"), F.col("parent").alias("above"), F.col("total").alias("entered")), "parent")
-    near = materialise(near.withColumn("before", F.expr("(entered - total - 1) div 2")).withColumn("greater", F.col("id") > F.col("above")))
+    near = _at_rest(near.withColumn("before", F.expr("(entered - total - 1) div 2")).withColumn("greater", F.col("id") > F.col("above")))
     # around a vertex greater ids than its parent's come first
     sums = near.groupBy("parent").agg(F.sum(F.when(F.col("greater"), F.col("size")).otherwise(0)).alias("above_sum"), F.sum(F.when(~F.col("greater"), F.col("size")).otherwise(0)).alias("below_sum"))
     lesser = F.when(F.col("greater"), F.col("before") + F.col("below_sum")).when(~F.col("greater"), F.col("before") - F.col("above_sum")).otherwise(F.col("before"))

