@@ -59,22 +59,16 @@ def _until_null(a: Column) -> Column:
     return F.coalesce(F.when(cut > 0, F.slice(a, 1, (cut - 1).cast("int"))).otherwise(a), F.array().cast(_NEIGHBOUR))
 
 
-def read_neighbourhoods(spark: SparkSession, path: str, dataset: str, lines: bool = False, split: bool = False) -> DataFrame:
-    """(id, label, in, out), neighbours as arrays of (id, label), once each by id; the last entry of an id counts.
+def read_neighbourhoods(spark: SparkSession, path: str, dataset: str, lines: bool = False, split: bool = False, once: bool = True) -> DataFrame:
+    """(id, label, in, out), neighbours as arrays of (id, label), once each: vertices of two labels are two, even if they share an id.
 
-    lines: the files hold one object a line instead of one array each. split: the files are arrays, and many tasks read each of them;
+    once: else all entries of a list stay, an edge each. lines: the files hold one object a line instead of one array each. split: the files are arrays, and many tasks read each of them;
     else one task reads a file that is an array.
     """
     raw = json_array.read_array(spark, path, SCHEMA).drop("line") if split else spark.read.schema(SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     side = lambda name, direction: F.transform(_until_null(F.col(name)), lambda x: F.struct(_int(x["id"], "neighbour").alias("id"), neighbour_label(dataset, x["rel"], direction).alias("label")))
     out = raw.select(_int(F.col("id"), "vertex").alias("id"), _lookup(vertex_labels(dataset), F.col("label"), "vertex").alias("label"), side("`in`", "out").alias("in"), side("`out`", "in").alias("out"))
-
-    def last_of_each(a: Column) -> Column:
-        """Long lists without repeats are told at once; the filter's time grows with the square of a list."""
-        last = F.filter(a, lambda x, i: ~F.exists(F.slice(a, i + 2, F.size(a)), lambda y: y["id"] == x["id"]))
-        return F.when(F.size(F.array_distinct(F.transform(a, lambda x: x["id"]))) == F.size(a), a).otherwise(last)
-
-    return out.select("id", "label", last_of_each(F.col("in")).alias("in"), last_of_each(F.col("out")).alias("out"))
+    return out.select("id", "label", F.array_distinct("in").alias("in"), F.array_distinct("out").alias("out")) if once else out
 
 
 def to_vertices(n: DataFrame) -> DataFrame:
