@@ -74,6 +74,26 @@ def test_sessions_cross_stretches_and_skip_nulls(spark):
     assert all(x.e == x.dst and x.src_code == relational.EVENT_CODES[rows[x.src][3]] for x in got)
 
 
+def test_alike_sessions_are_one_pattern(spark):
+    """Supports are those of all sessions; long ones and those that share an id are kept as they are."""
+    r = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(seconds=100 * (i // 4) + i % 4), i // 4 % 5, r.choice(["view", "click"])) for i in range(160)]
+    rows += [(500 + i, start + dt.timedelta(seconds=i), 9, "view") for i in range(7)]
+    # two sessions with the ids of one, so that their steps are no path
+    rows += [(600 + i, start + dt.timedelta(days=day, seconds=i), 10 + day, "click") for day in (1, 2) for i in range(3)]
+    steps = relational.sessions(spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string"), 60)
+    paths, adds = relational.alike(steps, 5)
+    n = {x.query: x.n for x in adds.collect()}
+    assert sum(n.values()) == 42 and len(n) <= 16 + 2 and n[500] == n[600] == 1
+    assert paths.where("query = 500").count() == 6 and paths.where("query = 600").count() == 4 and paths.count() < steps.count()
+    all_adds = steps.select("query").distinct().withColumn("n", F.lit(1))
+    want, got = trie.frequent(steps, all_adds, 13, 42, 0.1), trie.frequent(paths, adds, 13, 42, 0.1)
+    for one, other, columns in zip(want, got, (["depth", "sig", "support"], ["depth", "parent_sig", "factor", "child_sig"]), strict=True):
+        rows_of = lambda df: sorted(map(repr, df.select(*columns).distinct().collect()))  # noqa: B023, E731
+        assert rows_of(one) == rows_of(other) != []
+
+
 def forest(seed, n):
     r = random.Random(seed)
     names = r.sample(range(1, 500), n)
