@@ -113,6 +113,19 @@ def test_depth_first_equals_the_stack(spark):
     assert [r.seq for r in got] == list(range(len(got)))
 
 
+def test_leaves_go_before_the_tour(spark):
+    """A tree of few levels is raked whole; what a leaf took with it counts, and siblings' sizes are summed by id."""
+    edges = [(1, x) for x in range(10, 14)] + [(10, x) for x in range(20, 29)] + [(12, 5), (30, 31)]
+    pair = spark.createDataFrame([tuple(sorted(x)) for x in edges], "a int, b int")
+    left, layers, sums = relational.rake(pair, spark.createDataFrame([(1,)], "id int"))
+    assert left.isEmpty() and [x.count() for x in layers] == [14, 2]
+    assert {x.id: x["size"] for x in layers[1].collect()} == {10: 10, 12: 2}
+    assert {x.id: x["size"] for x in sums.collect()}[1] == 14
+    children = layers[0].withColumn("layer", F.lit(1)).union(layers[1].withColumn("layer", F.lit(2)))
+    before = {(x.parent, x.id): x.before for x in relational.lesser_siblings(children).collect()}
+    assert [before[1, x] for x in range(10, 14)] == [0, 10, 11, 13] and before[10, 28] == 8 and len(before) == 16
+
+
 def test_spanning_forest_is_the_least(spark):
     r = random.Random(8)
     edges = sorted({tuple(sorted(r.sample(range(14), 2))) for _ in range(24)})
