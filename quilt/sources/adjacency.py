@@ -82,9 +82,10 @@ def to_edges(n: DataFrame) -> DataFrame:
     return n.select(F.explode("in").alias("x"), "id").select(F.col("x.id").alias("src"), F.col("id").alias("dst")).union(n.select(F.col("id").alias("src"), F.explode("out").alias("x")).select("src", F.col("x.id")))
 
 
-def neighbourhoods(v: DataFrame, e: DataFrame) -> DataFrame:
-    """(id, label, in, out) of a graph, neighbours as sorted arrays of ids."""
-    side = lambda key, other, name: e.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_set(other)).alias(name))
+def neighbourhoods(v: DataFrame, e: DataFrame, once: bool = True) -> DataFrame:
+    """(id, label, in, out) of a graph, neighbours as sorted arrays of ids, once each; else as often as ``e`` has an edge."""
+    some = F.collect_set if once else F.collect_list
+    side = lambda key, other, name: e.groupBy(F.col(key).alias("id")).agg(F.array_sort(some(other)).alias(name))
     none = F.array().cast("array<int>")
     both = v.join(side("dst", "src", "in"), "id", "left").join(side("src", "dst", "out"), "id", "left")
     return both.select("id", "label", F.coalesce("in", none).alias("in"), F.coalesce("out", none).alias("out"))
