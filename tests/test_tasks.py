@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quilt.functions import signature
 from quilt.operators.traversal import Graph
+from quilt.plans import registry
 from quilt.sources import relational
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +32,16 @@ def test_distinct_edges_neighbours_and_merges_are_dealt_by_number(spark):
     merged = signature.merge_all(rows, ["g"], "s", 7)
     assert ", 7), REPARTITION_BY_NUM" in dealt(merged)
     assert {r.g: [tuple(x) for x in r.counts] for r in merged.collect()} == {1: [(2, 2), (3, 3)], 2: [], 3: []}
+
+
+def test_adjacency_lists_are_shuffled_as_numbers(spark):
+    """Edges go once to either end, with no exchange that makes them distinct before, and without strings."""
+    plan = registry._adjacency_text(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and "collect_set" in plan
+
+
+def test_adjacency_lists_are_stored_compressed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry.stored_graph, "shared_folder", lambda spark, name: str(tmp_path / name))
+    registry.QUERIES["json_neighbourhoods_whole"](spark, SF)
+    files = [p for p in (tmp_path / "json").iterdir() if p.name.startswith("part-")]
+    assert files and all(p.suffix == ".gz" for p in files)
