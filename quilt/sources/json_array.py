@@ -2,7 +2,7 @@
 
 Spark's text reader cuts the files into byte ranges at any closing brace, in a string or not. What a range means depends on all before it:
 whether it starts inside a string, and how deep. One pass sums up each range for either case (parity of quotes, change of depth, lines,
-bytes); the driver composes these few numbers, one row a range, into the state each range starts with. A second pass cuts the elements:
+bytes); the driver composes these few numbers, one row a range, into the state each range starts with. Two more passes cut the elements:
 those that lie in one range are rows at once, the pieces of those that cross borders, two a range, are put together by a shuffle of their own.
 Any store that Spark reads will do. All or nothing: what isn't an array of objects is an error that names the line.
 """
@@ -99,11 +99,12 @@ def compose(rows: list, sizes: dict[int, int], names: dict[int, str]) -> dict[tu
     return out
 
 
-def _cut(states: dict[tuple[int, int], State], names: dict[int, str]):
-    """Elements whole (kind 1) and the pieces at both ends of each range (kinds 0 and 2) with file, start, line."""
+def _cut(states: dict[tuple[int, int], State], names: dict[int, str], whole: bool):
+    """Elements whole (kind 1), or the pieces at both ends of each range (kinds 0 and 2), with file, start, line."""
     fields = [("file", pa.int64()), ("start", pa.int64()), ("kind", pa.int32()), ("line", pa.int64()), ("value", pa.string())]
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
+        rows = [r for r in rows if (r[2] == 1) == whole]
         cols = zip(*rows, strict=True) if rows else [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(cols, fields, strict=True)], [n for n, _ in fields])
 
@@ -157,15 +158,16 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
     rows = text.select("value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     sums = rows.mapInArrow(_sum_up, "file long, start long, quotes long, outside long, within long, lines long, bytes long").collect()
     states = compose(sums, sizes, names)
-    cut = rows.mapInArrow(_cut(states, names), "file long, start long, kind int, line long, value string")
-    return _whole(materialise(cut), names)
+    # cut twice rather than once and written: the elements are the files' whole text
+    cut = lambda whole: rows.mapInArrow(_cut(states, names, whole), "file long, start long, kind int, line long, value string")
+    return cut(True).select("file", "line", "value").union(_crossing(materialise(cut(False)), names))
 
 
-def _whole(cut: DataFrame, names: dict[int, str]) -> DataFrame:
-    """Elements that lie in one range, and those whose pieces follow each other; the array's own brackets are checked."""
+def _crossing(pieces: DataFrame, names: dict[int, str]) -> DataFrame:
+    """Elements whose pieces follow each other; the array's own brackets are checked."""
     # pieces up to a head belong together: two rows a range at most
     order = Window.partitionBy("file").orderBy("start", "kind")
-    pieces = cut.where("kind <> 1").withColumn("nth", F.coalesce(F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    pieces = pieces.withColumn("nth", F.coalesce(F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     joined = pieces.groupBy("file", "nth").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "line", "value"))).alias("p"), F.max((F.col("kind") == 0).cast("int")).alias("ends"))
     text = joined.select("file", "nth", "ends", F.get("p", F.lit(0))["line"].alias("line"), F.array_join(F.transform("p", lambda x: x["value"]), "").alias("value"))
     before = F.when(F.col("nth") == 0, r"^\s*\[\s*").otherwise(r"^\s*,\s*")
@@ -176,8 +178,7 @@ def _whole(cut: DataFrame, names: dict[int, str]) -> DataFrame:
     line = F.col("line") + F.length(opening) - F.length(F.replace(opening, F.lit("\n"), F.lit("")))
     checked = F.when(good, body).otherwise(F.raise_error(F.concat(where, F.lit(": an array of objects is expected"))))
     # filtering on the checked text keeps the check where only the closing bracket is left
-    crossing = text.select("file", line.alias("line"), checked.alias("value")).where(F.startswith(F.col("value"), F.lit("{")))
-    return cut.where("kind = 1").select("file", "line", "value").union(crossing)
+    return text.select("file", line.alias("line"), checked.alias("value")).where(F.startswith(F.col("value"), F.lit("{")))
 
 
 def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -104,3 +104,12 @@ def test_neighbourhoods_read_alike(spark, tmp_path, cut_small):
     assert sorted(map(str, adjacency.read_neighbourhoods(spark, lines, "music", lines=True).collect())) == whole
     with pytest.raises(PySparkException):
         adjacency.read_neighbourhoods(spark, put(tmp_path, "c.json", '[{"id": 1, "label": "Nope"}]'), "music", split=True).collect()
+
+
+def test_only_pieces_are_written(spark, tmp_path, monkeypatch):
+    """Elements that lie in one range are cut where they are read, not stored once more."""
+    (tmp_path / "a.json").write_text("[" + ",".join(f'{{"id":{i}}}' for i in range(50)) + "]")
+    kept = []
+    monkeypatch.setattr(json_array, "materialise", lambda df: kept.append(df) or df)
+    assert json_array.read_elements(spark, str(tmp_path)).count() == 50
+    assert [sorted({r.kind for r in df.collect()}) for df in kept] == [[0, 2]]
