@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quilt.functions import signature
+from quilt.functions import signature, storage
 from quilt.operators.traversal import Graph
 from quilt.plans import registry
 from quilt.sources import relational
@@ -45,3 +45,13 @@ def test_adjacency_lists_are_stored_compressed(spark, tmp_path, monkeypatch):
     registry.QUERIES["json_neighbourhoods_whole"](spark, SF)
     files = [p for p in (tmp_path / "json").iterdir() if p.name.startswith("part-")]
     assert files and all(p.suffix == ".gz" for p in files)
+
+
+def test_levels_compare_vertices_not_edges(spark, monkeypatch):
+    """What a level reaches is written before it is compared with the vertices and earlier levels, which else are joined with every edge."""
+    plans, real = [], storage.materialise
+    monkeypatch.setattr(storage, "materialise", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    v = relational.vertices(spark, SF)
+    relational.bfs_order(v, relational.edges(spark, SF, distinct=False), v.where("label = 'Region'").select("id"))
+    assert any("Join Inner" in p for p in plans) and any("LeftAnti" in p for p in plans)
+    assert not any("Join Inner" in p and ("LeftAnti" in p or "LeftSemi" in p) for p in plans)
